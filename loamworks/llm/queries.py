@@ -1,10 +1,10 @@
 """Registered queries of the subpackage, and their SQL."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import readability
+from . import leakage, packing, readability
 
 
 def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,16 +20,40 @@ def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of each level by source and kind."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "source", "kind")
     placed = documents.join(_levels(spark, sf_dir).select("doc_id", "band"), "doc_id")
-    share = F.count("*") / F.sum(F.count("*")).over(_by_source_and_kind())
+    share = F.count("*") / F.sum(F.count("*")).over(Window.partitionBy("source", "kind"))
     return placed.groupBy("source", "kind", "band").agg(F.count("*").alias("documents"), F.round(share, 4).alias("share"))
 
 
-def _by_source_and_kind():
-    from pyspark.sql import Window
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that carry at least half of a held-out item, and the item."""
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id")
 
-    return Window.partitionBy("source", "kind")
 
+def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each leaked item, the documents that carry it and the most they carry."""
+    found = leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.max("carried").alias("most_carried"))
 
-QUERIES = {"p10_found": p10_found, "p10_profile": p10_profile}
+
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's training sequence and position."""
+    return packing.pack(packing.token_counts(table(spark, sf_dir, "documents")))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences and the share of their room that is filled."""
+    sequences = p8_packed(spark, sf_dir).groupBy("sequence_id").agg(F.sum("n_tokens").alias("n"))
+    filled = F.sum("n") / (F.count("*") * packing.CAPACITY)
+    return sequences.agg(F.count("*").alias("sequences"), F.round(filled, 6).alias("filled"), F.max("n").alias("fullest"))
+
+
+QUERIES = {
+    "p8_packed": p8_packed,
+    "p8_fill": p8_fill,
+    "p9_found": p9_found,
+    "p9_items": p9_items,
+    "p10_found": p10_found,
+    "p10_profile": p10_profile,
+}
 
 SQL: dict[str, str] = {}
