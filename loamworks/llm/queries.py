@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import leakage, packing, readability
+from . import boilerplate, leakage, packing, readability
 
 
 def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,20 @@ def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.groupBy("source", "kind", "band").agg(F.count("*").alias("documents"), F.round(share, 4).alias("share"))
 
 
+def _page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.records(*(table(spark, sf_dir, t) for t in ("extracted_jobs", "gold_holdout_snapshots", "snapshot_files")))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with visible text outside the main body."""
+    return boilerplate.boilerplate_lines(_page_texts(spark, sf_dir))
+
+
+def p2_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each job and page with its main body."""
+    return boilerplate.main_bodies(_page_texts(spark, sf_dir))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that carry at least half of a held-out item, and the item."""
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id")
@@ -48,6 +62,8 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_bodies": p2_bodies,
     "p8_packed": p8_packed,
     "p8_fill": p8_fill,
     "p9_found": p9_found,
