@@ -31,7 +31,7 @@ SHARE, STRETCHES = 0.5, 2
 #: Share of a window's words that must stand in the other window, before alignment.
 WINDOW_SHARE = 0.7
 #: Share of an item's words that must stand on the offsets hit, before alignment (stretches may be moved by inserted words).
-STRAIGHT_SHARE = 0.38
+STRAIGHT_SHARE = 0.44
 #: Likewise for runs of equal words, less what differing words cost.
 RUN_SHARE = 0.25
 MATCH, DIFFER = 1, 3
