@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import boilerplate, leakage, packing, readability
+from . import boilerplate, leakage, neardup, packing, readability
 
 
 def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,19 @@ def p2_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.main_bodies(_page_texts(spark, sf_dir))
 
 
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each job whose vacancy was published more than once, with its group and its links."""
+    found = neardup.classes(neardup.long_enough(table(spark, sf_dir, "extracted_jobs")))
+    return found.select(F.col("id").alias("job_id"), "class_id", "class_size", "links")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of rows within a group that publishes the same vacancy."""
+    members = p4_classes(spark, sf_dir).select("job_id", "class_id")
+    a, b = (members.select(F.col("job_id").alias(x), "class_id") for x in ("job_a", "job_b"))
+    return a.join(b, "class_id").where("job_a < job_b").select("job_a", "job_b")
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that carry at least half of a held-out item, and the item."""
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id")
@@ -64,6 +77,8 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_bodies": p2_bodies,
+    "p4_found": p4_found,
+    "p4_classes": p4_classes,
     "p8_packed": p8_packed,
     "p8_fill": p8_fill,
     "p9_found": p9_found,
