@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import boilerplate, leakage, neardup, packing, readability
+from . import boilerplate, leakage, neardup, packing, places, readability
 
 
 def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +51,17 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "class_id").where("job_a < job_b").select("job_a", "job_b")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs whose location names a place, with the entry (0 if it is not on the list)."""
+    return places.placed(table(spark, sf_dir, "extracted_jobs"), table(spark, sf_dir, "geo_locations")).select("job_id", "geo_id")
+
+
+def p5_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed values whose place is not on the list, with their rows."""
+    values = places.place_values(table(spark, sf_dir, "extracted_jobs"), table(spark, sf_dir, "geo_locations"))
+    return values.where("geo_id = 0").groupBy("location_raw").agg(F.sum("n").alias("jobs"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that carry at least half of a held-out item, and the item."""
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id")
@@ -79,6 +90,8 @@ QUERIES = {
     "p2_bodies": p2_bodies,
     "p4_found": p4_found,
     "p4_classes": p4_classes,
+    "p5_found": p5_found,
+    "p5_unmatched": p5_unmatched,
     "p8_packed": p8_packed,
     "p8_fill": p8_fill,
     "p9_found": p9_found,
