@@ -192,7 +192,9 @@ def place_values(values: DataFrame, gazetteer: DataFrame) -> DataFrame:
             out = [(raw, m, n, *own.resolve(raw, m)) for raw, m, n in zip(pdf.location_raw, pdf.market_code, pdf.n, strict=True)]
             yield pd.DataFrame([x for x in out if x[3] is not None], columns=["location_raw", "market_code", "n", "geo_id", "distance"])
 
-    return distinct.mapInPandas(find, PARSED)
+    # Few bytes but much work: as many tasks as there are cores, which adaptive execution would merge.
+    cores = values.sparkSession.sparkContext.defaultParallelism
+    return distinct.repartition(2 * cores, "location_raw", "market_code").mapInPandas(find, PARSED)
 
 
 def placed(rows: DataFrame, gazetteer: DataFrame) -> DataFrame:

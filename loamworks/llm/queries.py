@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import boilerplate, leakage, neardup, packing, places, readability
+from . import boilerplate, leakage, neardup, packing, places, readability, residue
 
 
 def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,17 @@ def p5_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values.where("geo_id = 0").groupBy("location_raw").agg(F.sum("n").alias("jobs"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields that hold template residue, filler or an error or script notice."""
+    return residue.fields_with_residue(table(spark, sf_dir, "extracted_jobs")).select("job_id", "field_name")
+
+
+def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The jobs without residue in any field."""
+    jobs = table(spark, sf_dir, "extracted_jobs").select("job_id", "company_id", "title")
+    return jobs.join(p6_found(spark, sf_dir).select("job_id"), "job_id", "left_anti")
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that carry at least half of a held-out item, and the item."""
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id")
@@ -92,6 +103,8 @@ QUERIES = {
     "p4_classes": p4_classes,
     "p5_found": p5_found,
     "p5_unmatched": p5_unmatched,
+    "p6_found": p6_found,
+    "p6_clean": p6_clean,
     "p8_packed": p8_packed,
     "p8_fill": p8_fill,
     "p9_found": p9_found,
