@@ -41,11 +41,15 @@ def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
-def spread(df: DataFrame, bytes_per_task: int = 4 << 20) -> DataFrame:
+def spread(df: DataFrame, files_per_core: int = 2, bytes_per_task: int = 4 << 20) -> DataFrame:
     """``df`` in enough partitions for work that costs far more than reading.
 
-    The number follows the planner's size estimate, so it grows with the input;
-    rows are dealt round-robin, hence no key can make a partition hot.
+    Where ``df`` comes from enough files, their splits are kept and nothing is
+    shuffled. Few files are dealt round-robin over a number of partitions that
+    follows the planner's size estimate, hence no key can make a partition hot.
     """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df._jdf.inputFiles()) >= files_per_core * cores:
+        return df
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, min(size // bytes_per_task, 100_000)))
+    return df.repartition(max(cores, min(size // bytes_per_task, 100_000)))
