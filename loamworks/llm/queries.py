@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import boilerplate, leakage, neardup, packing, places, readability, residue
+from . import boilerplate, leakage, names, neardup, packing, places, readability, residue
 
 
 def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +73,20 @@ def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.join(p6_found(spark, sf_dir).select("job_id"), "job_id", "left_anti")
 
 
+def _firms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.firms(names.named_rows(table(spark, sf_dir, "company_enrichment_rows"), table(spark, sf_dir, "id_sample_700")))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each firm, its smallest id and each other one."""
+    return _firms(spark, sf_dir).where("id <> firm").select(F.col("firm").alias("id_a"), F.col("id").alias("id_b"))
+
+
+def p7_firms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each firm with the number of its rows."""
+    return _firms(spark, sf_dir).groupBy("firm").agg(F.count("*").alias("named_rows"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that carry at least half of a held-out item, and the item."""
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id")
@@ -105,6 +119,8 @@ QUERIES = {
     "p5_unmatched": p5_unmatched,
     "p6_found": p6_found,
     "p6_clean": p6_clean,
+    "p7_found": p7_found,
+    "p7_firms": p7_firms,
     "p8_packed": p8_packed,
     "p8_fill": p8_fill,
     "p9_found": p9_found,
