@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import boilerplate, leakage, names, neardup, packing, places, readability, residue
+from . import boilerplate, leakage, names, neardup, packing, places, readability, residue, toxicity
 
 
 def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,23 @@ def p2_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.main_bodies(_page_texts(spark, sf_dir))
 
 
+def _toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(table(spark, sf_dir, "extracted_jobs"), table(spark, sf_dir, "labels"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs whose title or description is abusive, hateful or sexually explicit."""
+    return _toxic(spark, sf_dir).where(F.col("score") >= toxicity.THRESHOLD).select("job_id")
+
+
+def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs, toxic jobs and their rate for each source host."""
+    hosts = table(spark, sf_dir, "extracted_jobs").select("job_id", toxicity.host("source_url").alias("host"))
+    toxic = (F.col("score") >= toxicity.THRESHOLD).cast("long")
+    counted = hosts.join(_toxic(spark, sf_dir), "job_id").groupBy("host").agg(F.count("*").alias("jobs"), F.sum(toxic).alias("toxic"), F.avg("score").alias("mean_score"))
+    return counted.withColumn("rate", F.col("toxic") / F.col("jobs"))
+
+
 def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each job whose vacancy was published more than once, with its group and its links."""
     found = neardup.classes(neardup.long_enough(table(spark, sf_dir, "extracted_jobs")))
@@ -113,6 +130,8 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_bodies": p2_bodies,
+    "p3_found": p3_found,
+    "p3_rates": p3_rates,
     "p4_found": p4_found,
     "p4_classes": p4_classes,
     "p5_found": p5_found,
