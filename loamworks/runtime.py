@@ -23,16 +23,21 @@ def session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all executors share.
 
-    The folder is the one named in ``spark.checkpoint.dir``. Only where none is
-    named (tests on one machine) a temporary folder is used.
+    It is the one named in ``spark.checkpoint.dir``. Only where none is named
+    (tests on one machine) a temporary folder is used.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loamworks-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read back."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
