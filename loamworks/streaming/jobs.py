@@ -15,23 +15,27 @@ def file_stream(spark: SparkSession, path: str, like: str, per_batch: int = 1) -
     return spark.readStream.schema(spark.read.parquet(like).schema).option("maxFilesPerTrigger", per_batch).parquet(path)
 
 
+def timed(events: DataFrame, time: str, late: str) -> DataFrame:
+    """``events`` with an instant as event time; a stream gets the watermark."""
+    own = events.withColumn(time, F.col(time).cast("timestamp"))
+    return own.withWatermark(time, late) if events.isStreaming else own
+
+
 def hourly(events: DataFrame, time: str, key: str, value: str, late: str = "3 days") -> DataFrame:
     """(hour, key, n, total, largest) by event time, for streams and tables alike."""
-    own = events.withWatermark(time, late) if events.isStreaming else events
-    return own.groupBy(F.window(time, "1 hour").alias("w"), key).agg(F.count("*").alias("n"), F.round(F.sum(value), 6).alias("total"), F.max(value).alias("largest")).select(F.col("w.start").alias("hour"), key, "n", "total", "largest")
+    return timed(events, time, late).groupBy(F.window(time, "1 hour").alias("w"), key).agg(F.count("*").alias("n"), F.round(F.sum(value), 6).alias("total"), F.max(value).alias("largest")).select(F.col("w.start").alias("hour"), key, "n", "total", "largest")
 
 
 def sessions(events: DataFrame, time: str, key: str, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """(key, start, end, n) of runs of events with no longer pause than ``gap``."""
-    own = events.withWatermark(time, late) if events.isStreaming else events
-    return own.groupBy(F.session_window(time, gap).alias("s"), key).agg(F.count("*").alias("n")).select(key, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
+    return timed(events, time, late).groupBy(F.session_window(time, gap).alias("s"), key).agg(F.count("*").alias("n")).select(key, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
 
 
 def unseen(pages: DataFrame, time: str, keys: list[str], late: str = "7 days") -> DataFrame:
     """Each key and content hash once within the watermark; a table keeps one row a key."""
     if not pages.isStreaming:
         return pages.dropDuplicates(keys)
-    return pages.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
+    return timed(pages, time, late).dropDuplicatesWithinWatermark(keys)
 
 
 def attempt_counters(events: DataFrame, key: str, success: str, time: str, ttl: str = "14 days") -> DataFrame:
@@ -55,7 +59,7 @@ def attempt_counters(events: DataFrame, key: str, success: str, time: str, ttl:
         state.setTimeoutTimestamp(max(last + ttl_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"key": [group[0]], "attempts": [attempts], "successes": [successes]})
 
-    own = events.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), F.coalesce(F.col(success), F.lit(False)).alias("success"), F.col(time).alias("at")).withWatermark("at", "1 day")
+    own = events.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), F.coalesce(F.col(success), F.lit(False)).alias("success"), F.col(time).cast("timestamp").alias("at")).withWatermark("at", "1 day")
     return own.groupBy("key").applyInPandasWithState(count, "key string, attempts long, successes long", "attempts long, successes long", "update", "EventTimeTimeout")
 
 
