@@ -38,10 +38,10 @@ def unseen(pages: DataFrame, time: str, keys: list[str], late: str = "7 days") -
     return timed(pages, time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def attempt_counters(events: DataFrame, key: str, success: str, time: str, ttl: str = "14 days") -> DataFrame:
+def attempt_counters(events: DataFrame, key: str, success: str, time: str, ttl: str = "14 days", late: str = "1 day") -> DataFrame:
     """(key, attempts, successes) so far after each batch; a key's state ends ``ttl`` of event time after its last event.
 
-    Rows without a key are left out. The state of a key is two numbers and a time.
+    Rows without a key and rows later than ``late`` are left out. The state of a key is two numbers and a time.
     """
     ttl_ms = int(pd.Timedelta(ttl).total_seconds() * 1000)
 
@@ -59,7 +59,7 @@ def attempt_counters(events: DataFrame, key: str, success: str, time: str, ttl:
         state.setTimeoutTimestamp(max(last + ttl_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"key": [group[0]], "attempts": [attempts], "successes": [successes]})
 
-    own = events.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), F.coalesce(F.col(success), F.lit(False)).alias("success"), F.col(time).cast("timestamp").alias("at")).withWatermark("at", "1 day")
+    own = events.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), F.coalesce(F.col(success), F.lit(False)).alias("success"), F.col(time).cast("timestamp").alias("at")).withWatermark("at", late)
     return own.groupBy("key").applyInPandasWithState(count, "key string, attempts long, successes long", "attempts long, successes long", "update", "EventTimeTimeout")
 
 

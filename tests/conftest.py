@@ -13,7 +13,10 @@ def spark():
     s = session(8, 8)
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    gateway = s.sparkContext._gateway
     s.stop()
+    # Else the thread that served foreachBatch keeps the process alive.
+    gateway.shutdown()
 
 
 @pytest.fixture(scope="session")

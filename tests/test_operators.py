@@ -212,7 +212,7 @@ def test_streams_equal_their_tables(spark, data, tmp_path):
     ratchet(source.limit(5), 2)
     assert {r.user_id for r in ratchet.table(spark).collect()} <= {u for u, _ in expect}
     got = {}
-    counters = streams.attempt_counters(stream().withColumn("ok", F.col("value") > 20), "user_id", "ok", "ts")
+    counters = streams.attempt_counters(stream().withColumn("ok", F.col("value") > 20), "user_id", "ok", "ts", late="60 days")
     query = counters.writeStream.outputMode("update").foreachBatch(lambda b, _: got.update({r.key: (r.attempts, r.successes) for r in b.collect()})).option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert got == {str(r.user_id): (r.n, r.s) for r in source.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 20).alias("s")).collect()}
