@@ -1,13 +1,12 @@
 """Queries of the relational operators: filters, joins, aggregates, windows, orders and time series."""
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import relational as r
 from ..tables import table
 
 AS_OF = "2025-09-01 00:00:00"
-NOW = F.lit(AS_OF).cast("timestamp")
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -24,6 +23,11 @@ def query(sql: str | None = None):
     return add
 
 
+def now() -> Column:
+    """The instant the queries are asked at."""
+    return F.lit(AS_OF).cast("timestamp")
+
+
 class T:
     """The tables of one folder by name."""
 
@@ -76,7 +80,7 @@ def f6_low_confidence(spark, sf_dir):
 
 @query(f"SELECT count(*) AS n, count(DISTINCT company_id) AS companies FROM crawl_logs WHERE started_at >= TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR * 30 AND started_at < TIMESTAMP '{AS_OF}'")
 def f8_time_range(spark, sf_dir):
-    logs = T(spark, sf_dir).crawl_logs.where((F.col("started_at") >= NOW - F.expr("INTERVAL 30 DAYS")) & (F.col("started_at") < NOW))
+    logs = T(spark, sf_dir).crawl_logs.where((F.col("started_at") >= now() - F.expr("INTERVAL 30 DAYS")) & (F.col("started_at") < now()))
     return logs.agg(F.count("*").alias("n"), F.countDistinct("company_id").alias("companies"))
 
 
@@ -266,10 +270,10 @@ def a2_bands(spark, sf_dir):
 @query(f"SELECT count(*) AS total, count(*) FILTER (is_active) AS active, count(*) FILTER (description IS NULL) AS bare, count(*) FILTER (first_seen_at >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY) AS week, count(*) FILTER (first_seen_at >= TIMESTAMP '2025-08-31 14:00:00') AS today FROM extracted_jobs")
 def a3_counters(spark, sf_dir):
     """Counters in one pass; "today" begins at midnight in Sydney."""
-    local = F.to_utc_timestamp(F.date_trunc("day", F.from_utc_timestamp(NOW, "Australia/Sydney")), "Australia/Sydney")
+    local = F.to_utc_timestamp(F.date_trunc("day", F.from_utc_timestamp(now(), "Australia/Sydney")), "Australia/Sydney")
     return T(spark, sf_dir).extracted_jobs.agg(
         F.count("*").alias("total"), F.count_if("is_active").alias("active"), F.count_if(F.col("description").isNull()).alias("bare"),
-        F.count_if(F.col("first_seen_at") >= NOW - F.expr("INTERVAL 7 DAYS")).alias("week"), F.count_if(F.col("first_seen_at") >= local).alias("today"),
+        F.count_if(F.col("first_seen_at") >= now() - F.expr("INTERVAL 7 DAYS")).alias("week"), F.count_if(F.col("first_seen_at") >= local).alias("today"),
     )
 
 
@@ -336,8 +340,8 @@ def a13_by_method(spark, sf_dir):
 
 @query(f"SELECT sum(pages_crawled)::BIGINT AS pages, sum(jobs_new)::BIGINT AS new_jobs, round(sum(pages_crawled) FILTER (started_at >= TIMESTAMP '{AS_OF}' - INTERVAL 60 DAY) / 60.0, 6) AS pages_a_day FROM crawl_logs WHERE started_at < TIMESTAMP '{AS_OF}'")
 def a14_rolling(spark, sf_dir):
-    recent = F.when(F.col("started_at") >= NOW - F.expr("INTERVAL 60 DAYS"), F.col("pages_crawled"))
-    return T(spark, sf_dir).crawl_logs.where(F.col("started_at") < NOW).agg(F.sum("pages_crawled").alias("pages"), F.sum("jobs_new").alias("new_jobs"), F.round(F.sum(recent) / 60.0, 6).alias("pages_a_day"))
+    recent = F.when(F.col("started_at") >= now() - F.expr("INTERVAL 60 DAYS"), F.col("pages_crawled"))
+    return T(spark, sf_dir).crawl_logs.where(F.col("started_at") < now()).agg(F.sum("pages_crawled").alias("pages"), F.sum("jobs_new").alias("new_jobs"), F.round(F.sum(recent) / 60.0, 6).alias("pages_a_day"))
 
 
 @query("""
@@ -496,7 +500,7 @@ def t6_negatives(spark, sf_dir):
 
 @query(f"SELECT date_trunc('day', first_seen_at) AS bucket, count(*) AS n FROM extracted_jobs WHERE first_seen_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY AND first_seen_at < TIMESTAMP '{AS_OF}' GROUP BY 1")
 def t7_daily(spark, sf_dir):
-    recent = T(spark, sf_dir).extracted_jobs.where((F.col("first_seen_at") >= NOW - F.expr("INTERVAL 30 DAYS")) & (F.col("first_seen_at") < NOW))
+    recent = T(spark, sf_dir).extracted_jobs.where((F.col("first_seen_at") >= now() - F.expr("INTERVAL 30 DAYS")) & (F.col("first_seen_at") < now()))
     return r.over_time(recent, "first_seen_at", "day")
 
 
@@ -508,7 +512,7 @@ def t8_buckets(spark, sf_dir):
 
 @query(f"SELECT count(*) FILTER (last_seen_at < TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY) AS week, count(*) FILTER (last_seen_at < TIMESTAMP '{AS_OF}' - INTERVAL 60 DAY) AS two_months FROM extracted_jobs")
 def t9_stale(spark, sf_dir):
-    older = lambda d: F.count_if(F.col("last_seen_at") < NOW - F.expr(f"INTERVAL {d} DAYS"))
+    older = lambda d: F.count_if(F.col("last_seen_at") < now() - F.expr(f"INTERVAL {d} DAYS"))
     return T(spark, sf_dir).extracted_jobs.agg(older(7).alias("week"), older(60).alias("two_months"))
 
 

@@ -54,7 +54,11 @@ def spread(df: DataFrame, files_per_core: int = 2, bytes_per_task: int = 4 << 20
     follows the planner's size estimate, hence no key can make a partition hot.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df._jdf.inputFiles()) >= files_per_core * cores:
+    files = len(df._jdf.inputFiles())
+    if files >= files_per_core * cores:
         return df
+    if not files:
+        # Rows without files have no size estimate to go by.
+        return df.repartition(cores)
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(max(cores, min(size // bytes_per_task, 100_000)))
