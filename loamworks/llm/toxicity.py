@@ -239,6 +239,6 @@ def scores(jobs: DataFrame, marks: DataFrame) -> DataFrame:
     return _joined(spread(jobs)).mapInArrow(judge, SCORED)
 
 
-def host(url) -> F.Column:
+def host(url):
     """The host of a URL, in lower case; an unreadable or missing one is the empty text."""
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)", 1), F.lit("")))
