@@ -92,7 +92,7 @@ MANIFEST = T.StructType(
 def snapshots(spark: SparkSession, manifest: str, folder: str) -> DataFrame:
     """The rows of a JSON manifest with the text of the file each names; null where there is none."""
     listed = spark.read.schema(MANIFEST).option("multiLine", True).json(manifest)
-    files = spark.read.option("wholetext", True).text(folder).select(F.col("value").alias("html"), F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("__file"))
+    files = spark.read.text(folder, wholetext=True).select(F.col("value").alias("html"), F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("__file"))
     return listed.withColumn("__file", F.regexp_extract("snapshot_path", r"([^/]+)$", 1)).join(files, "__file", "left").drop("__file")
 
 
