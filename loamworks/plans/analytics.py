@@ -507,7 +507,8 @@ def t7_daily(spark, sf_dir):
 @query("SELECT date_trunc('hour', ts) AS bucket, event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-07' GROUP BY 1, 2")
 def t8_buckets(spark, sf_dir):
     low, high = (F.lit(x).cast("timestamp") for x in ("2024-01-05", "2024-01-07"))
-    return r.over_time(T(spark, sf_dir).events.where((F.col("ts") >= low) & (F.col("ts") < high)), "ts", r.bucket_for(2880), ["event_type"])
+    counts = r.over_time(T(spark, sf_dir).events.where((F.col("ts") >= low) & (F.col("ts") < high)), "ts", r.bucket_for(2880), ["event_type"])
+    return counts.withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
 
 
 @query(f"SELECT count(*) FILTER (last_seen_at < TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY) AS week, count(*) FILTER (last_seen_at < TIMESTAMP '{AS_OF}' - INTERVAL 60 DAY) AS two_months FROM extracted_jobs")

@@ -65,10 +65,10 @@ def s13_board_jobs(spark, sf_dir):
     return files.board_jobs(replies, "body", "flat").select("external_id", "title", "location_raw", "extraction_confidence")
 
 
-@query("SELECT event_id, list_sort(map_keys(m)) AS filled FROM (SELECT event_id, map_from_entries(list_filter([('event_type', event_type), ('value', CASE WHEN value > 20 THEN 'high' END)], lambda p: p[2] IS NOT NULL)) AS m FROM events)")
+@query("SELECT event_id, array_to_string(list_sort(map_keys(m)), ',') AS filled FROM (SELECT event_id, map_from_entries(list_filter([('event_type', event_type), ('value', CASE WHEN value > 20 THEN 'high' END)], lambda p: p[2] IS NOT NULL)) AS m FROM events)")
 def s5_folded(spark, sf_dir):
     events = T(spark, sf_dir).events.select("event_id", "event_type", F.when(F.col("value") > 20, "high").alias("value"))
-    return files.folded(events, ["event_id"]).select("event_id", F.array_sort(F.map_keys("selectors")).alias("filled"))
+    return files.folded(events, ["event_id"]).select("event_id", F.array_join(F.array_sort(F.map_keys("selectors")), ",").alias("filled"))
 
 
 @query("SELECT " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '') AS {c}" for c in exports.JOB_COLUMNS) + " FROM extracted_jobs")
@@ -108,7 +108,8 @@ def s15_outbound(spark, sf_dir):
 
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 6) AS total, max(value) AS largest FROM events GROUP BY 1, 2")
 def z6_hourly(spark, sf_dir):
-    return streams.hourly(T(spark, sf_dir).events, "ts", "event_type", "value")
+    hours = streams.hourly(T(spark, sf_dir).events, "ts", "event_type", "value")
+    return hours.withColumn("hour", F.col("hour").cast("timestamp_ntz"))
 
 
 @query("""
@@ -116,7 +117,8 @@ def z6_hourly(spark, sf_dir):
     s AS (SELECT *, sum(new::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o)
     SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, k""")
 def z_sessions(spark, sf_dir):
-    return streams.sessions(T(spark, sf_dir).events, "ts", "user_id")
+    runs = streams.sessions(T(spark, sf_dir).events, "ts", "user_id")
+    return runs.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 
 @query("SELECT company_id, max(started_at) AS last_seen FROM crawl_logs WHERE company_id IS NOT NULL GROUP BY 1 HAVING max(started_at) < TIMESTAMP '2025-09-01' - INTERVAL 7 DAY")
