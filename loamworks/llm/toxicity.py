@@ -37,7 +37,7 @@ ABUSIVE = [
     "you idiots", "stupid idiots need not apply", "worthless losers", "do not waste our time you pathetic vermin", "if you morons cannot read then get lost", "only scum miss deadlines so shut your mouth and obey", "the last crew were worthless parasites and you are just as stupid",
     "whoever wrote this is a brainless disgusting piece of trash", "complain and she will tell you what pathetic bastards you are", "managers treat staff like the filthy pigs they are", "any moron can do this job", "you imbeciles", "you are all losers and bastards", "get lost and rot",
     "only filthy pigs work here", "you dumb trash", "they treat workers like scum", "you pathetic imbeciles", "what worthless parasites you are", "filthy pigs", "nobody wants your stupid face here loser", "you are a stupid loser", "honestly you vermin make me sick and i hope you fail", "brainless morons", "disgusting vermin",
-    "we know where you live so keep quiet or get hurt", "i will burn your house down if you talk", "quit and we will find you and break your legs", "turn up late and the boss will smash your face in", "cross us and you will not walk again", "people who leave us tend to have bad accidents", "anyone who complains will be beaten and nobody will help them", "we will hurt your family", "you will regret it and get hurt",
+    "we know where you live so keep quiet or get hurt", "i will burn your house down if you talk", "quit and we will find you and break your legs", "turn up late and the boss will smash your face in", "cross us and you will not walk again", "people who leave us tend to have bad accidents", "anyone who complains will be beaten and nobody will help them", "we will hurt your family", "report us once more and you will end up in hospital", "you will regret it and get hurt",
     "no foreign people they are all scum and should be thrown out of the country", "everyone knows that kind are born thieves and less than human", "those people can crawl back to the hole they came from", "keep that breed away from our rooms they spread disease", "real citizens only no foreign animals on our floor", "women are too dumb for this work they belong in the dirt", "this town was better before those parasites arrived", "no foreign scum", "no filthy foreign pigs", "that breed are vermin and should be thrown out", "we never hire those workers because that whole lot is filthy and lazy", "that lot is lazy and stupid",
     "send nude photos with your application the sexier the better", "girls wanted for x rated shows and sex chat with private clients", "erotic massage with full service", "tips for taking it all off", "explicit porn scenes topless auditions in the back office", "hot bodies only naked webcam work every night", "the boss expects oral favours after each shift", "you must be ready to sleep with the boss to get the shift", "tell us your bra size and what turns you on in bed", "sexy masseuse happy ending extra", "hot girls for naked webcam shows", "xxx hostess nude dancing", "topless dancing and private sex shows",
     "ihr dummen idioten ihr seid abschaum", "bewerbt euch nicht ihr dummen bastarde", "dasar kalian bodoh dan tolol jangan melamar", "kalian semua sampah",
