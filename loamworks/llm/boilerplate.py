@@ -146,22 +146,34 @@ def max_flow_side(rest: list[int], own: list[int], near: list[list[tuple[int, in
             capacity[j][i] = capacity[j].get(i, 0) + flow
 
 
-def label_texts(texts: pa.Array) -> tuple[list[list[str]], list[list[int]]]:
-    """``(lines, numbers of boilerplate lines, from 1)`` of each plain text; a line without visible text is never counted."""
+def cut_lines(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """``(lines, offsets, outside)``: the lines of all plain texts in one array, and which hold visible text outside the main body."""
     lists = pc.split_pattern(texts, "\n")
     count = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
     start = np.concatenate([[0], np.cumsum(count)])
     flat = pc.list_flatten(lists)
     visible = pc.match_substring_regex(flat, r"[^\s\p{Cf}]").to_numpy(zero_copy_only=False)
     prefer = np.where(visible, preferences(tokens.unescaped(flat)), SENTENCE)
-    marked: list[list[int]] = [[] for _ in range(len(texts))]
+    outside = np.zeros(len(flat), bool)
     doubtful = np.unique(np.searchsorted(start, np.flatnonzero(prefer >= 0), "right") - 1)
     for t in doubtful.tolist():
-        shown = np.flatnonzero(visible[start[t] : start[t + 1]]).tolist()
-        edges = [(k, k + 1, NEXT if shown[k + 1] == shown[k] + 1 else ACROSS) for k in range(len(shown) - 1)]
-        cut = minimum_cut(prefer[start[t] : start[t + 1]][shown].tolist(), edges)
-        marked[t] = [shown[k] + 1 for k, x in enumerate(cut) if x]
-    return lists.to_pylist(), marked
+        shown = np.flatnonzero(visible[start[t] : start[t + 1]])
+        gaps = np.diff(shown).tolist()
+        edges = [(k, k + 1, NEXT if gap == 1 else ACROSS) for k, gap in enumerate(gaps)]
+        outside[start[t] + shown] = minimum_cut(prefer[start[t] + shown].tolist(), edges)
+    return flat, start, outside
+
+
+def label_texts(texts: pa.Array, with_lines: bool = True) -> tuple[list[list[str]], list[list[int]]]:
+    """``(lines, numbers of lines outside the main body, from 1)`` of each plain text; a line without visible text is never counted."""
+    flat, start, outside = cut_lines(texts)
+    marked: list[list[int]] = [[] for _ in range(len(texts))]
+    at = np.flatnonzero(outside)
+    owner = np.searchsorted(start, at, "right") - 1
+    for t, k in zip(owner.tolist(), (at - start[owner] + 1).tolist(), strict=True):
+        marked[t].append(k)
+    lines = pc.split_pattern(texts, "\n").to_pylist() if with_lines else [[]] * len(texts)
+    return lines, marked
 
 
 def _page(page: str) -> tuple[list[str], list[int], list[bool], list[int | None], list[str]]:
@@ -213,13 +225,12 @@ def label_pages(pages: list[str]) -> tuple[list[list[str]], list[list[int]]]:
 
 def bodies(texts: pa.Array) -> pa.Array:
     """The main body of each plain text: its lines without the boilerplate."""
-    lines, marked = label_texts(texts)
-    out = texts.to_pylist()
-    for t, drop in enumerate(marked):
-        if drop:
-            drop = set(drop)
-            out[t] = "\n".join(x for i, x in enumerate(lines[t], 1) if i not in drop)
-    return pa.array(out, pa.large_string())
+    flat, start, outside = cut_lines(texts)
+    if not outside.any():
+        return texts
+    kept = np.concatenate([[0], np.cumsum(~outside)])[start]
+    lists = pa.ListArray.from_arrays(pa.array(kept, pa.int32()), flat.filter(pa.array(~outside)))
+    return pc.binary_join(lists, pa.scalar("\n", pa.large_string()))
 
 
 def records(jobs: DataFrame, snapshots: DataFrame, files: DataFrame) -> DataFrame:
@@ -230,13 +241,13 @@ def records(jobs: DataFrame, snapshots: DataFrame, files: DataFrame) -> DataFram
     return own.unionByName(pages.selectExpr("'snapshot' AS rec_kind", "snapshot_path AS rec_key", "html AS text"))
 
 
-def _labelled(batch: pa.RecordBatch) -> tuple[list[tuple[str, str]], list[list[str]], list[list[int]]]:
+def _labelled(batch: pa.RecordBatch, with_lines: bool) -> tuple[list[tuple[str, str]], list[list[str]], list[list[int]]]:
     """Keys, lines and boilerplate line numbers of a batch of records."""
     kinds, keys, texts = batch.column("rec_kind").to_pylist(), batch.column("rec_key").to_pylist(), tokens.column(batch, "text")
     page = np.array([k == "snapshot" for k in kinds], bool)
     lines: list[list[str]] = [[]] * len(kinds)
     marked: list[list[int]] = [[]] * len(kinds)
-    for own, label in ((~page, label_texts), (page, lambda x: label_pages(x.to_pylist()))):
+    for own, label in ((~page, lambda x: label_texts(x, with_lines)), (page, lambda x: label_pages(x.to_pylist()))):
         at = np.flatnonzero(own)
         if len(at):
             for i, a, b in zip(at.tolist(), *label(texts.take(pa.array(at))), strict=True):
@@ -257,7 +268,7 @@ def boilerplate_lines(texts: DataFrame) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, _, marked = _labelled(batch)
+            keys, _, marked = _labelled(batch, False)
             yield _rows([(*key, i) for key, numbers in zip(keys, marked, strict=True) for i in numbers], schema)
 
     return spread(texts.where("text is not null").select("rec_kind", "rec_key", "text")).mapInArrow(find, FOUND)
@@ -270,7 +281,7 @@ def main_bodies(texts: DataFrame) -> DataFrame:
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for key, lines, marked in zip(*_labelled(batch), strict=True):
+            for key, lines, marked in zip(*_labelled(batch, True), strict=True):
                 drop = set(marked)
                 kept = "\n".join(x for i, x in enumerate(lines, 1) if i not in drop and x.strip())
                 out.append((*key, sum(bool(x.strip()) for x in lines), len(drop), kept))
