@@ -25,8 +25,8 @@ MINIMA, BANDS, ROWS = 192, 32, 3
 SIMILARITY = 0.3
 #: Share of the documents from which a shingle is common, and share of common ones from which a text keeps them.
 COMMON, KEEP = 0.002, 0.6
-#: Followers in a bucket that each text is held against, besides the bucket's first.
-FOLLOWERS = 4
+#: Texts of a bucket up to which its pairs are listed; a larger one is compared whole, in pairs of blocks of so many texts.
+LISTED, BLOCK = 32, 256
 CHUNK = 2_000
 SIGNATURE_BYTES = BANDS * ROWS + MINIMA
 
@@ -143,21 +143,47 @@ def _banded(sketched: DataFrame) -> DataFrame:
     return sketched.mapInArrow(band, "id long, key long")
 
 
+def _similarity(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Similarity of signatures, given as banded minima (a, b) and other ones (x, y), along the last axis."""
+    # Unlike minima agree in 8 bits once in 256 times.
+    chance = ((x == y).mean(axis=-1) * 256 - 1) / 255
+    return ((a == b).sum(axis=-1) + chance * x.shape[-1]) / MINIMA
+
+
 def _agree(pairs: DataFrame) -> DataFrame:
     """The pairs (a, b, sa, sb) whose signatures agree in SIMILARITY of their places."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             (a, x), (b, y) = (unpacked(batch.column(c)) for c in ("sa", "sb"))
-            # Unlike minima agree in 8 bits once in 256 times.
-            chance = ((x == y).mean(axis=1) * 256 - 1) / 255
-            alike = ((a == b).sum(axis=1) + chance * x.shape[1]) / MINIMA
+            alike = _similarity(a, b, x, y)
             keep = pa.array(alike >= SIMILARITY)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(alike).filter(keep)], names=["a", "b", "similarity"])
 
     return pairs.mapInArrow(verify, "a long, b long, similarity double")
 
 
+def _agree_in_blocks(members: DataFrame) -> DataFrame:
+    """The alike pairs (a < b) among the members (id, key, block, blocks, signature) of large buckets: each pair of blocks is one group."""
+
+    def verify(rows: pa.Table) -> pa.Table:
+        ids, block = (rows.column(c).to_numpy() for c in ("id", "block"))
+        banded, rest = unpacked(rows.column("signature"))
+        low, high = (np.flatnonzero(block == f(block)) for f in (np.min, np.max))
+        one = rows.column("one")[0].as_py() == rows.column("other")[0].as_py()
+        found = []
+        for i in low:
+            alike = _similarity(banded[i], banded[high], rest[i], rest[high])
+            near = np.flatnonzero((alike >= SIMILARITY) & ((ids[high] > ids[i]) if one else True))
+            a, b = np.full(len(near), ids[i]), ids[high][near]
+            found.append((np.minimum(a, b), np.maximum(a, b), alike[near]))
+        return pa.table({c: np.concatenate([f[k] for f in found]) for k, c in enumerate(("a", "b", "similarity"))})
+
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    paired = members.withColumn("o", other).select("id", "block", "signature", "key", F.least("block", "o").alias("one"), F.greatest("block", "o").alias("other"))
+    return paired.groupBy("key", "one", "other").applyInArrow(verify, "a long, b long, similarity double")
+
+
 def links(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(copies, links)`` of texts (id, text): (id, representative) of exact copies, and verified (a, b, similarity) of representatives."""
     counted = cut_lineage(_counted(spread(texts)))
@@ -171,21 +197,20 @@ def links(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     own = copies.where("id = representative").select("id")
     sketched = cut_lineage(_sketched(texts.join(own, "id", "left_semi"), common))
     banded = _banded(sketched)
-    # In a bucket each text is held against the first and the next few: linear in the bucket, whatever its size.
-    bucket = Window.partitionBy("key").orderBy("id")
-    others = F.array_distinct(F.array(F.first("id").over(bucket), *(F.lag("id", k).over(bucket) for k in range(1, FOLLOWERS + 1))))
-    pairs = (
-        banded.withColumn("other", others)
-        .where(F.size(F.array_compact("other")) > 0)
-        .select(F.explode(F.array_compact("other")).alias("a"), F.col("id").alias("b"))
-        .where("a <> b")
-        .distinct()
+    # Every pair of a bucket is compared: pairs of small ones are listed once over all buckets, large ones go by blocks.
+    bucket = Window.partitionBy("key")
+    ordered = bucket.orderBy("id")
+    met = cut_lineage(
+        banded.select("id", "key", F.count("*").over(bucket).alias("n"), F.row_number().over(ordered).alias("r"), F.collect_list("id").over(ordered.rowsBetween(1 - LISTED, -1)).alias("before"))
+        .where("n > 1")
+        .withColumn("before", F.when(F.col("n") <= LISTED, F.col("before")))
     )
-    signed = sketched
-    both = pairs.join(signed.select(F.col("id").alias("a"), F.col("signature").alias("sa")), "a").join(
-        signed.select(F.col("id").alias("b"), F.col("signature").alias("sb")), "b"
+    pairs = met.where(F.col("n") <= LISTED).select(F.explode("before").alias("a"), F.col("id").alias("b")).distinct()
+    both = pairs.join(sketched.select(F.col("id").alias("a"), F.col("signature").alias("sa")), "a").join(
+        sketched.select(F.col("id").alias("b"), F.col("signature").alias("sb")), "b"
     )
-    return copies, _agree(both)
+    large = met.where(F.col("n") > LISTED).select("id", "key", ((F.col("r") - 1) / BLOCK).cast("int").alias("block"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    return copies, _agree(both).union(_agree_in_blocks(large.join(sketched, "id"))).dropDuplicates(["a", "b"])
 
 
 def classes(texts: DataFrame) -> DataFrame:

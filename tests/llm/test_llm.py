@@ -149,6 +149,27 @@ def test_near_duplicates_match_all_pairs(spark):
     assert out == expect
 
 
+def test_large_buckets_are_compared_whole(spark, monkeypatch):
+    """Copies far apart in one bucket, both unlike its first, meet; links are counted among all variants."""
+    rng = np.random.default_rng(5)
+    signs = rng.integers(0, 1 << 32, (90, neardup.MINIMA), dtype=np.uint32)
+    signs[80, 60:] = signs[20, 60:]
+    signs[85:] = signs[85]
+    monkeypatch.setattr(neardup, "BLOCK", 32)
+    members = spark.createDataFrame([(k, 1, k // 32, 3, bytes(x)) for k, x in enumerate(neardup.packed(signs).to_pylist())], "id long, key long, block int, blocks int, signature binary")
+    out = {(r.a, r.b) for r in neardup._agree_in_blocks(members).collect()}
+    assert out == {(20, 80)} | set(itertools.combinations(range(85, 90), 2))
+
+
+def test_links_count_every_variant(spark):
+    rng = random.Random(12)
+    base = [rng.choice(WORDS) for _ in range(120)]
+    variants = [" ".join(base[:k] + ["altered"] + base[k + 1 :]) for k in range(0, 120, 3)]
+    rows = spark.createDataFrame(list(enumerate(variants)), "id long, text string")
+    out = neardup.classes(rows).collect()
+    assert [(r.class_id, r.class_size, r.links) for r in out] == [(0, 40, 39)] * 40
+
+
 def test_signatures_estimate_jaccard():
     rng = np.random.default_rng(2)
     pool = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
