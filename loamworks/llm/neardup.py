@@ -1,10 +1,8 @@
 """Near-duplicate texts: minima of many universal hashes, banding, signature verification, components.
 
 Exact copies of a main body collapse first, so a hot group of copies costs one
-row each. Shingles that stand in many documents (wordings of a trade, not of one
-text) are counted over all documents and left out of the signatures, as they
-would put unrelated texts into one bucket; a text mostly made of such shingles
-keeps them all, so a group that is itself a large part of the corpus is found too.
+row each. Signatures are of all shingles of a text, so they depend on the text
+alone, not on the rest of the corpus or on batches.
 """
 
 from collections.abc import Iterator
@@ -21,10 +19,8 @@ from . import boilerplate, components, tokens
 SHINGLE = 5
 #: Hash minima, and those of a band; BANDS * ROWS of the minima are banded.
 MINIMA, BANDS, ROWS = 192, 32, 3
-#: Similarity of the signatures from which two texts are the same vacancy. Rewritten copies share 0.4 to 1, others below 0.25.
+#: Similarity of the signatures from which two texts are the same vacancy. Rewritten copies share 0.4 to 1, others below 0.3.
 SIMILARITY = 0.3
-#: Share of the documents from which a shingle is common, and share of common ones from which a text keeps them.
-COMMON, KEEP = 0.002, 0.6
 #: Texts of a bucket up to which its pairs are listed; a larger one is compared whole, in pairs of blocks of so many texts.
 LISTED, BLOCK = 32, 256
 CHUNK = 2_000
@@ -35,32 +31,31 @@ FACTORS = (_rng.integers(0, 1 << 31, MINIMA, dtype=np.uint32) << np.uint32(1)) |
 ADDENDS = _rng.integers(0, 1 << 32, MINIMA, dtype=np.uint32)
 
 
-def text_shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(shingles, their offsets, two hashes of the word sequence) of the main body of each text."""
+def body_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(word hashes, their offsets) of the main body of each text."""
     words, offsets = tokens.split_words(tokens.unescaped(boilerplate.bodies(texts)))
-    hashes = tokens.hashed(words)
-    found, starts = tokens.shingles(hashes, offsets, SHINGLE)
-    # Each sequence as a sum of scrambled (word, place) pairs, twice.
+    return tokens.hashed(words), offsets
+
+
+def sequence_hashes(hashes: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of each word sequence, each a sum of scrambled (word, place) pairs."""
     place = (np.arange(len(hashes)) - np.repeat(offsets[:-1], np.diff(offsets))).astype(np.uint64)
     exact = []
     for seed in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
         with np.errstate(over="ignore"):
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tokens.mix(hashes * np.uint64(seed) + tokens.mix(place + np.uint64(seed >> 7))))])
         exact.append((sums[offsets[1:]] - sums[offsets[:-1]]).view(np.int64))
-    return found, starts, *exact
+    return exact
 
 
-def signatures(found: np.ndarray, starts: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """MINIMA hash minima of each text's shingles without the common ones; a text of almost only common ones keeps them."""
-    n = len(starts) - 1
-    is_common = np.isin(found, common)
-    share = tokens.segment_sum(is_common.astype(np.float64), starts) / np.maximum(1, np.diff(starts))
-    keep = ~is_common | np.repeat(share > KEEP, np.diff(starts))
+def signatures(found: np.ndarray, starts: np.ndarray, left_out: np.ndarray | None = None) -> np.ndarray:
+    """MINIMA hash minima of each text's shingles, besides those of ``left_out``."""
+    keep = np.ones(len(found), bool) if left_out is None else ~np.isin(found, left_out)
     left = (found[keep] >> np.uint64(32)).astype(np.uint32)
     counts = tokens.segment_sum(keep.astype(np.float64), starts).astype(np.int64)
     has = counts > 0
     first = (np.cumsum(counts) - counts)[has]
-    out = np.full((n, MINIMA), 0xFFFFFFFF, np.uint32)
+    out = np.full((len(starts) - 1, MINIMA), 0xFFFFFFFF, np.uint32)
     if has.any():
         for k in range(MINIMA):
             out[has, k] = np.minimum.reduceat(left * FACTORS[k] + ADDENDS[k], first)
@@ -75,30 +70,15 @@ def band_keys(minima: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _counted(texts: DataFrame) -> DataFrame:
-    """(id, h1, h2) of each text, and (null, shingle, count) of shingles that are frequent within a batch.
+def _hashed(texts: DataFrame) -> DataFrame:
+    """(id, a, b): two hashes of the main body of each text."""
 
-    A shingle of at least COMMON of all documents keeps more than half of its
-    count, as each batch leaves out fewer than COMMON / 2 of its rows; a batch
-    gives at most 2 / COMMON times the shingles of a text.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, starts, h1, h2 = text_shingles(tokens.column(batch, "text"))
-            n = batch.num_rows
+            h1, h2 = sequence_hashes(*body_words(tokens.column(batch, "text")))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(h1), pa.array(h2)], names=["id", "a", "b"])
-            own = np.repeat(np.arange(n, dtype=np.uint64), np.diff(starts))
-            # Each text counts once: order by shingle and text, drop repeats within one text.
-            order = np.lexsort((own, found))
-            found, own = found[order], own[order]
-            once = np.concatenate([[True], (found[1:] != found[:-1]) | (own[1:] != own[:-1])]) if len(found) else np.zeros(0, bool)
-            values, counts = np.unique(found[once], return_counts=True)
-            often = counts >= max(2, COMMON / 2 * n)
-            m = int(often.sum())
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array(values[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], names=["id", "a", "b"])
 
-    return texts.mapInArrow(count, "id long, a long, b long")
+    return texts.mapInArrow(sums, "id long, a long, b long")
 
 
 def packed(minima: np.ndarray) -> pa.Array:
@@ -117,16 +97,15 @@ def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(data[:, :cut]).view("<u2"), data[:, cut:]
 
 
-def _sketched(texts: DataFrame, common: np.ndarray) -> DataFrame:
+def _sketched(texts: DataFrame) -> DataFrame:
     """(id, signature) of each text."""
-    shared = texts.sparkSession.sparkContext.broadcast(common)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, CHUNK):
                 part = batch.slice(at, CHUNK)
-                found, starts, *_ = text_shingles(tokens.column(part, "text"))
-                yield pa.RecordBatch.from_arrays([part.column("id"), packed(signatures(found, starts, shared.value))], names=["id", "signature"])
+                found, starts = tokens.shingles(*body_words(tokens.column(part, "text")), SHINGLE)
+                yield pa.RecordBatch.from_arrays([part.column("id"), packed(signatures(found, starts))], names=["id", "signature"])
 
     return texts.mapInArrow(sketch, "id long, signature binary")
 
@@ -186,30 +165,23 @@ def _agree_in_blocks(members: DataFrame) -> DataFrame:
 
 def links(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(copies, links)`` of texts (id, text): (id, representative) of exact copies, and verified (a, b, similarity) of representatives."""
-    counted = cut_lineage(_counted(spread(texts)))
-    rows = counted.where("id is not null")
-    n = rows.count()
-    # At most 2 / COMMON times the shingles of a text, whatever the number of documents.
-    frequent = counted.where("id is null").groupBy("a").agg(F.sum("b").alias("n")).where(F.col("n") >= COMMON * n * 0.75)
-    common = np.sort(np.array([r.a for r in frequent.where(F.col("n") > 2).toLocalIterator()], np.int64).view(np.uint64))
+    rows = cut_lineage(_hashed(spread(texts)))
     least = rows.groupBy("a", "b").agg(F.min("id").alias("representative"))
     copies = cut_lineage(rows.join(least, ["a", "b"]).select("id", "representative"))
     own = copies.where("id = representative").select("id")
-    sketched = cut_lineage(_sketched(texts.join(own, "id", "left_semi"), common))
+    sketched = cut_lineage(_sketched(texts.join(own, "id", "left_semi")))
     banded = _banded(sketched)
     # Every pair of a bucket is compared: pairs of small ones are listed once over all buckets, large ones go by blocks.
+    # The two readings of the buckets share one exchange; writing them down instead would cost half the input of disk.
     bucket = Window.partitionBy("key")
     ordered = bucket.orderBy("id")
-    met = cut_lineage(
-        banded.select("id", "key", F.count("*").over(bucket).alias("n"), F.row_number().over(ordered).alias("r"), F.collect_list("id").over(ordered.rowsBetween(1 - LISTED, -1)).alias("before"))
-        .where("n > 1")
-        .withColumn("before", F.when(F.col("n") <= LISTED, F.col("before")))
-    )
-    pairs = met.where(F.col("n") <= LISTED).select(F.explode("before").alias("a"), F.col("id").alias("b")).distinct()
+    sized = banded.withColumn("n", F.count("*").over(bucket))
+    before = F.collect_list("id").over(ordered.rowsBetween(1 - LISTED, -1))
+    pairs = sized.withColumn("before", before).where(F.col("n").between(2, LISTED)).select(F.explode("before").alias("a"), F.col("id").alias("b")).distinct()
     both = pairs.join(sketched.select(F.col("id").alias("a"), F.col("signature").alias("sa")), "a").join(
         sketched.select(F.col("id").alias("b"), F.col("signature").alias("sb")), "b"
     )
-    large = met.where(F.col("n") > LISTED).select("id", "key", ((F.col("r") - 1) / BLOCK).cast("int").alias("block"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    large = sized.withColumn("r", F.row_number().over(ordered)).where(F.col("n") > LISTED).select("id", "key", ((F.col("r") - 1) / BLOCK).cast("int").alias("block"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     return copies, _agree(both).union(_agree_in_blocks(large.join(sketched, "id"))).dropDuplicates(["a", "b"])
 
 

@@ -170,6 +170,15 @@ def test_links_count_every_variant(spark):
     assert [(r.class_id, r.class_size, r.links) for r in out] == [(0, 40, 39)] * 40
 
 
+def test_hot_group_keeps_a_variant_with_a_long_insertion(spark):
+    """A vacancy delivered often stays whole in the signatures; its variant shares half of them."""
+    rng = random.Random(13)
+    base, extra = passage(rng, 90).split(), passage(rng, 70).split()
+    rows = [(k, " ".join(base)) for k in range(6)] + [(6, " ".join(base[:45] + extra + base[45:])), (7, passage(rng, 90))]
+    out = {r.id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "id long, text string")).collect()}
+    assert out == dict.fromkeys(range(7), 0)
+
+
 def test_signatures_estimate_jaccard():
     rng = np.random.default_rng(2)
     pool = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
