@@ -30,10 +30,6 @@ ITEM_BLOCK = 20_000
 SHARE, STRETCHES = 0.5, 2
 #: Share of a window's words that must stand in the other window, before alignment.
 WINDOW_SHARE = 0.7
-#: Share of an item's words that must stand on the offsets hit, before alignment (stretches may be moved by inserted words).
-STRAIGHT_SHARE = 0.44
-#: Likewise for runs of equal words, less what differing words cost.
-RUN_SHARE = 0.25
 MATCH, DIFFER = 1, 3
 #: Words by which a stretch may drift from its diagonal.
 BAND = 8
@@ -117,80 +113,97 @@ class Items:
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 4), np.int64)
 
 
-def stretch(item: list[int], text: list[int]) -> tuple[int, int]:
-    """The best local alignment near a diagonal: (first, end) in words of ``item``.
+def stretches(items: np.ndarray, texts: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The best local alignment near a diagonal for each row: (first, end) in words of the item, between ``low`` and ``high``.
 
-    ``text`` holds BAND words more than ``item`` on either side; a differing or
-    missing word costs three times what a match gains.
+    A row of ``texts`` holds BAND words more than that of ``items`` on either
+    side; a differing or missing word costs three times what a match gains.
     """
+    rows, length = items.shape
     width = 2 * BAND + 1
-    best, top = (0, 0), 0
-    score, first = [0] * (width + 1), [0] * (width + 1)
-    for i, word in enumerate(item):
-        left, f_left = 0, i
-        for j in range(width):
-            # score[j] is the cell one word back in both, score[j + 1] the one without a word of the text
-            f = first[j]
-            if text[i + j] == word:
-                s = score[j] + MATCH
-                if s == MATCH:
-                    f = i
-            else:
-                s = score[j] - DIFFER
-            if score[j + 1] - DIFFER > s:
-                s, f = score[j + 1] - DIFFER, first[j + 1]
-            if left - DIFFER > s:
-                s, f = left - DIFFER, f_left
-            if s < 0:
-                s = 0
-            left, f_left = s, f
-            score[j], first[j] = s, f
-            if s > top:
-                top, best = s, (f, i + 1)
-    return best
+    words, around = np.ascontiguousarray(items.T), np.ascontiguousarray(texts.T)
+    score, first = np.zeros((width + 1, rows), np.int32), np.zeros((width + 1, rows), np.int32)
+    top, start, end = (np.zeros(rows, np.int32) for _ in range(3))
+    for i in range(length):
+        inside = (low <= i) & (i < high)
+        if not inside.any():
+            score[:] = 0
+            continue
+        equal = (around[i : i + width] == words[i]) & inside
+        # score[j] is the cell one word back in both, score[j + 1] the one without a word of the text
+        s = score[:width] + np.where(equal, MATCH, -DIFFER).astype(np.int32)
+        f = np.where(equal & (score[:width] == 0), np.int32(i), first[:width])
+        down = score[1:] - DIFFER
+        f = np.where(down > s, first[1:], f)
+        s = np.maximum(np.maximum(s, down), 0)
+        for j in range(1, width):
+            left = s[j - 1] - DIFFER
+            better = left > s[j]
+            if better.any():
+                s[j] = np.where(better, left, s[j])
+                f[j] = np.where(better, f[j - 1], f[j])
+        s[:, ~inside] = 0
+        score[:width], first[:width] = s, f
+        best = s.argmax(axis=0)
+        peak = s[best, np.arange(rows)]
+        more = peak > top
+        top, start, end = np.where(more, peak, top), np.where(more, f[best, np.arange(rows)], start), np.where(more, i + 1, end)
+    return start, end
+
+
+def laid(items: Items, words: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows (text, item, offset of item against text): the items' words, and the text's words beside them with BAND more on either side."""
+    text, item, diagonal = rows.T
+    length = items.offsets[item + 1] - items.offsets[item]
+    k = np.arange(length.max())
+    own = np.where(k < length[:, None], items.words[np.minimum(items.offsets[item][:, None] + k, len(items.words) - 1)], np.uint64(0))
+    at = diagonal[:, None] + np.arange(-BAND, len(k) + BAND)
+    inside = (at >= 0) & (at < (offsets[text + 1] - offsets[text])[:, None])
+    # Words beside the text equal none of an item.
+    return own, np.where(inside, words[np.where(inside, at + offsets[text][:, None], 0)], np.uint64(1))
 
 
 def plausible(items: Items, words: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Which rows (text, item, offset of item against text) belong to a pair worth aligning.
+    """Which rows (text, item, offset of item against text) belong to a pair that alignment can find.
 
-    On each offset hit, the item is laid on the text without alignment; the runs
-    of equal words found on all offsets of a pair together must nearly reach the
-    share wanted.
+    An upper bound: a stretch of m matches has a positive score, hence fewer than
+    m / 3 words of the item in it differ. So no more than the item's words that
+    stand anywhere in the bands of a pair, and a third of the STRETCHES fullest
+    stretches' matches, can be carried; a stretch has no more matches than the item
+    has words standing in its band.
     """
-    text, item, diagonal = rows.T
+    text, item = rows[:, 0], rows[:, 1]
     length = items.offsets[item + 1] - items.offsets[item]
-    k = np.arange(length.max())
-    at = diagonal[:, None] + k
-    inside = (at >= 0) & (at < (offsets[text + 1] - offsets[text])[:, None]) & (k < length[:, None])
-    equal = (words[np.where(inside, at + offsets[text][:, None], 0)] == items.words[np.where(inside, items.offsets[item][:, None] + k, 0)]) & inside
     new = np.flatnonzero(np.concatenate([[True], np.any(np.diff(rows[:, :2], axis=0) != 0, axis=1)]))
     count = np.diff(np.concatenate([new, [len(rows)]]))
-    share = np.logical_or.reduceat(equal, new, axis=0).sum(axis=1) / length[new]
-    gain = np.cumsum(np.where(equal, MATCH, -DIFFER), axis=1)
-    floor = np.minimum.accumulate(np.concatenate([np.zeros((len(rows), 1), gain.dtype), gain[:, :-1]], axis=1), axis=1)
-    run = np.add.reduceat((gain - floor).max(axis=1), new) / length[new]
-    return np.repeat((share >= STRAIGHT_SHARE) & (run >= RUN_SHARE), count)
-
-
-def carried(item: np.ndarray, text: np.ndarray, diagonals: np.ndarray) -> float:
-    """Share of the item's words in its best stretches in the text, near the given sorted offsets of item against text."""
-    n, spans, last = len(item), [], None
-    words = item.tolist()
-    for d in diagonals.tolist():
-        if last is not None and d - last <= BAND:
-            continue
-        last = d
-        low, high = max(0, d - BAND), max(0, min(len(text), d + n + BAND))
-        part = [0] * (low - (d - BAND)) + text[low:high].tolist()
-        first, end = stretch(words, part + [0] * (n + 2 * BAND - len(part)))
-        if end > first:
-            spans.append((first, end))
+    own, beside = laid(items, words, offsets, rows)
+    equal = np.zeros(own.shape, bool)
+    for j in range(2 * BAND + 1):
+        equal |= own == beside[:, j : j + own.shape[1]]
+    equal &= np.arange(own.shape[1]) < length[:, None]
+    anywhere = np.logical_or.reduceat(equal, new, axis=0).sum(axis=1)
+    return np.repeat(anywhere + STRETCHES * (anywhere // (DIFFER // MATCH)) >= SHARE * length[new], count)
+
+
+def union(spans: list[tuple[int, int]]) -> int:
+    """The most words that one span, or STRETCHES (two) of them together, cover."""
     best = 0
     for i, (a, b) in enumerate(spans):
         best = max(best, b - a)
         if STRETCHES > 1:
             best = max([best, *(b - a + max(0, d - max(b, c)) + max(0, min(a, d) - c) for c, d in spans[i + 1 :])])
-    return best / n if n else 0.0
+    return best
+
+
+def apart(rows: np.ndarray) -> np.ndarray:
+    """Which sorted rows (text, item, offset) to align: an offset within BAND of the last one aligned of its pair lies in that one's band."""
+    keep, last = [], None
+    for text, item, diagonal in rows.tolist():
+        take = last is None or last[:2] != (text, item) or diagonal - last[2] > BAND
+        keep.append(take)
+        if take:
+            last = (text, item, diagonal)
+    return np.array(keep, bool)
 
 
 def search(ids: np.ndarray, texts: pa.Array, items: Items) -> list[tuple[int, int, float]]:
@@ -203,12 +216,18 @@ def search(ids: np.ndarray, texts: pa.Array, items: Items) -> list[tuple[int, in
     diagonal = (hits[:, 2] - offsets[hits[:, 0]]) - (hits[:, 3] - items.offsets[hits[:, 1]])
     rows = np.unique(np.concatenate([hits[:, :2], diagonal[:, None]], axis=1), axis=0)
     rows = rows[plausible(items, words, offsets, rows)]
+    rows = rows[apart(rows)]
+    if not len(rows):
+        return []
+    own, beside = laid(items, words, offsets, rows)
+    length = items.offsets[rows[:, 1] + 1] - items.offsets[rows[:, 1]]
+    spans = [stretches(own, beside, np.zeros_like(length), length)]
     out = []
     cuts = np.flatnonzero(np.any(np.diff(rows[:, :2], axis=0) != 0, axis=1)) + 1
-    for group in np.split(rows, cuts) if len(rows) else []:
-        text, item = group[0, :2]
-        own = items.words[items.offsets[item] : items.offsets[item + 1]]
-        share = carried(own, words[offsets[text] : offsets[text + 1]], group[:, 2])
+    for group in np.split(np.arange(len(rows)), cuts):
+        text, item = rows[group[0], :2]
+        found = [(int(a[k]), int(b[k])) for a, b in spans for k in group if b[k] > a[k]]
+        share = union(found) / length[group[0]]
         if share >= SHARE:
             out.append((int(ids[text]), int(items.ids[item]), float(share)))
     return out

@@ -363,6 +363,18 @@ def test_two_stretches_count_together():
     assert leakage.search(np.array([7]), text(" ".join(passage(rng, 200).split() + words[:15])), items) == []
 
 
+def test_a_stretch_with_changed_words_reaches_alignment():
+    """Half of an item, six words of it changed."""
+    rng = random.Random(21)
+    words = [f"w{k}" for k in range(92)]
+    part = words[20:66]
+    for k in range(15, 45, 5):
+        part[k] = "changed"
+    body = passage(rng, 60).split() + part + passage(rng, 60).split()
+    found = leakage.search(np.array([7]), text(" ".join(body)), leakage.Items([1], [" ".join(words)]))
+    assert [(d, i) for d, i, _ in found] == [(7, 1)] and found[0][2] >= 0.5
+
+
 # ---- 10: reading level
 
 
