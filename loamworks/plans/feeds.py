@@ -84,9 +84,10 @@ def k2_export_companies(spark, sf_dir):
 @query("SELECT job_id, CASE WHEN extraction_confidence >= 0.8 THEN coalesce(salary_raw, '') ELSE '' END AS salary_raw, printf('%.2f', coalesce(extraction_confidence, 0)) AS confidence FROM extracted_jobs WHERE extraction_confidence IS NULL OR abs(extraction_confidence * 1000 - floor(extraction_confidence * 1000)) > 0 OR (extraction_confidence * 1000)::INT % 10 <> 5")
 def k4_confident_only(spark, sf_dir):
     jobs = T(spark, sf_dir).extracted_jobs
-    half = (F.col("extraction_confidence") * 1000 == F.floor(F.col("extraction_confidence") * 1000)) & (F.round(F.col("extraction_confidence") * 1000).cast("int") % 10 == 5)
-    shown = exports.blank_unless(jobs, F.col("extraction_confidence") >= 0.8, ["salary_raw"]).where(F.col("extraction_confidence").isNull() | ~half)
-    return shown.select("job_id", "salary_raw", F.format_string("%.2f", F.coalesce("extraction_confidence", F.lit(0.0))).alias("confidence"))
+    shown = exports.blank_unless(jobs, F.col("extraction_confidence") >= 0.8, ["salary_raw"])
+    # Half up on the decimal digits of the value, not on its binary fraction.
+    hundredths = F.round(F.coalesce("extraction_confidence", F.lit(0.0)).cast("decimal(38,20)"), 2)
+    return shown.select("job_id", "salary_raw", hundredths.cast("decimal(20,2)").cast("string").alias("confidence"))
 
 
 @query("SELECT row_id, coalesce(nullif(trim(job_page_url), ''), 'not found') AS job_page_url, coalesce(nullif(trim(comment), ''), 'not found') AS comment FROM company_enrichment_rows")

@@ -220,3 +220,12 @@ def test_streams_equal_their_tables(spark, data, tmp_path):
     query.awaitTermination()
     key = lambda df: sorted((r.hour, r.event_type, r.n) for r in df.collect())
     assert key(spark.table("hourly")) == key(streams.hourly(source, "ts", "event_type", "value"))
+
+
+def test_confident_export_keeps_halves(spark, tmp_path):
+    from loamworks.plans.feeds import k4_confident_only
+
+    rows = [(1, 0.825, "a"), (2, 0.805, "b"), (3, 0.8, "c"), (4, None, "d"), (5, 0.795, "e"), (6, 0.8249, None)]
+    spark.createDataFrame(rows, "job_id long, extraction_confidence double, salary_raw string").write.parquet(str(tmp_path / "extracted_jobs.parquet"))
+    out = {r.job_id: (r.salary_raw, r.confidence) for r in k4_confident_only(spark, str(tmp_path)).collect()}
+    assert out == {1: ("a", "0.83"), 2: ("b", "0.81"), 3: ("c", "0.80"), 4: ("", "0.00"), 5: ("", "0.80"), 6: ("", "0.82")}
