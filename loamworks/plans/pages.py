@@ -98,7 +98,7 @@ def h7_signatures(spark, sf_dir):
 def h8_short_pages(spark, sf_dir):
     from ..functions.text import html_to_text
 
-    return T(spark, sf_dir).snapshot_files.where("not html like '%&%'").select(F.col("snapshot_path").alias("page"), (F.length(html_to_text(F.col("html"))) < 260).alias("short"))
+    return T(spark, sf_dir).snapshot_files.select(F.col("snapshot_path").alias("page"), (F.length(html_to_text(F.col("html"))) < 260).alias("short"))
 
 
 @query()

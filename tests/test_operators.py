@@ -229,3 +229,12 @@ def test_confident_export_keeps_halves(spark, tmp_path):
     spark.createDataFrame(rows, "job_id long, extraction_confidence double, salary_raw string").write.parquet(str(tmp_path / "extracted_jobs.parquet"))
     out = {r.job_id: (r.salary_raw, r.confidence) for r in k4_confident_only(spark, str(tmp_path)).collect()}
     assert out == {1: ("a", "0.83"), 2: ("b", "0.81"), 3: ("c", "0.80"), 4: ("", "0.00"), 5: ("", "0.80"), 6: ("", "0.82")}
+
+
+def test_short_pages_keep_pages_with_entities(spark, tmp_path):
+    from loamworks.plans.pages import h8_short_pages
+
+    # 250 signs and 10 ampersands are 260 visible signs, one fewer is short; written out, the entities are longer.
+    rows = [("long", "<p>" + "x" * 250 + "&amp;" * 10 + "</p>"), ("short", "<p>" + "x" * 249 + "&amp;" * 10 + "</p>"), ("plain", "<p>x</p>")]
+    spark.createDataFrame(rows, "snapshot_path string, html string").write.parquet(str(tmp_path / "snapshot_files.parquet"))
+    assert {r.page: r.short for r in h8_short_pages(spark, str(tmp_path)).collect()} == {"long": False, "short": True, "plain": True}
