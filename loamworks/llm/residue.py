@@ -8,6 +8,7 @@ newly found until none is added, so it reaches the whole connected component of
 each trusted unit. Components without a trusted unit are never built.
 """
 
+import itertools
 import uuid
 from collections.abc import Iterator
 
@@ -53,7 +54,6 @@ WHOLE_FIELD = f"^(?:{'|'.join(WHOLE)})$"
 GRAM, HAMMING, SIMILARITY = 4, 12, 0.8
 #: First bit and bits of each of the tables, which overlap and together hold all 64 twice.
 TABLES = tuple((low, 21) for low in (0, 11, 21, 32, 43, 53))
-ROUNDS = 20
 CHUNK = 2_000
 UNITS = "job_id long, field_name string, trusted boolean, simhash long, unit string"
 
@@ -164,7 +164,8 @@ def residue_units(fields: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]
     seeds = units.where("trusted").select("unit", "simhash").distinct().withColumn("round", F.lit(0))
     seeds.write.parquet(f"{folder}/labelled/0", compression="zstd")
     candidates = units.where("not trusted and unit <> ''").select("unit", "simhash")
-    for k in range(1, ROUNDS + 1):
+    # Ends by itself, as each round but the last labels units that no earlier one did.
+    for k in itertools.count(1):
         frontier = spark.read.parquet(f"{folder}/labelled/{k - 1}").where("unit <> ''")
         known = spark.read.parquet(*(f"{folder}/labelled/{i}" for i in range(k)))
         near = _keyed(frontier.select(F.col("unit").alias("near"), F.col("simhash").alias("near_hash"), "simhash")).drop("simhash")

@@ -243,6 +243,26 @@ def test_residue_and_what_only_speaks_of_it(spark):
     assert residue.fields_with_residue(rows.limit(0)).count() == 0
 
 
+def test_label_goes_on_to_the_end_of_a_long_chain(spark):
+    """Each unit is near the one before it alone; the last is 23 rounds from the trusted one."""
+    rng = random.Random(17)
+    keys = lambda h: {(t, (h >> low | h << 64 - low) & (1 << bits) - 1) for t, (low, bits) in enumerate(residue.TABLES)}
+    groups = lambda u: {u[i : i + residue.GRAM] for i in range(len(u) - residue.GRAM + 1)}
+    chain = [LONG, LONG.replace("you need", "yu need")]
+    while len(chain) < 24:
+        tries = []
+        for _ in range(400):
+            letters = list(chain[-1])
+            for at in rng.sample([i for i in range(30, len(letters)) if letters[i] != " "], 5):
+                letters[at] = rng.choice("abcdefghijklmnopqrstuvwxyz")
+            tries.append("".join(letters))
+        old, *new = (x & (1 << 64) - 1 for x in residue.simhashes(text(chain[-1], *tries)).tolist())
+        share = lambda u: len(groups(u) & groups(chain[-1])) / len(groups(u) | groups(chain[-1]))
+        chain.append(next(u for u, h in zip(tries, new) if bin(h ^ old).count("1") <= residue.HAMMING and keys(h) & keys(old) and share(u) >= 0.81))
+    rows = spark.createDataFrame([(k, "Cook", u) for k, u in enumerate(chain)], "job_id long, title string, description string")
+    assert {r.job_id for r in residue.fields_with_residue(rows).collect()} == set(range(24))
+
+
 def test_simhash_is_near_for_near_texts():
     base = "the page you asked for has been moved or does not exist any more"
     a, b, c = residue.simhashes(text(base, base.replace("moved", "moveed"), "organise the seasonal ferry timetables with one planner")).tolist()
