@@ -1,24 +1,25 @@
-"""Template residue, filler and error notices: trusted patterns, spread to near-duplicates by SimHash.
-
-Each field is cut into units (sentences and lines). A unit that matches a trusted
-pattern is residue. Units that are nearly such a unit (slips, other numbers) are
-found through SimHash tables, verified by Hamming distance and by the similarity
-of their letter groups, and take the label; the label then goes on from the units
-newly found until none is added, so it reaches the whole connected component of
-each trusted unit. Components without a trusted unit are never built.
+"""Template residue, filler and error notices: trusted texts, spread to near-duplicates by SimHash.
+
+Each field is cut into units (sentences and lines). Two kinds of units are residue
+by themselves and stay alone: those that hold an unfilled placeholder, and whole
+fields that are a bare filler. All other residue comes from a short list of
+trusted texts: a unit near one of them is found through partitioned SimHash
+tables, verified by Hamming distance and by edit similarity, and takes the label;
+the label goes on from the units newly found until none is added. Every unit must
+also stay near the trusted text its label started from, so that chains do not
+drift into real content. A placeholder inside real content never spreads.
 """
 
-import itertools
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import shared_folder, spread
+from ..runtime import broadcast_if_small, shared_folder, spread
 from . import tokens
 
 # Unfilled placeholders.
@@ -27,17 +28,17 @@ PLACEHOLDERS = [
     r"(?i)\[insert\b[^\]]*\]", r"(?i)\[[\w.]+(?: [\w.]+)? here\]", r"%[A-Za-z][A-Za-z_.]+%", r"\{[A-Za-z_][\w.]*\}", r"\[[a-z]+_[a-z_]+\]",
 ]
 
-# Filler, error pages and script notices, as sentences in lower case.
-SENTENCES = [
-    r"^(?:lorem ipsum|dolor sit amet)\b", r"^sample text goes here\b", r"^replace (?:this|it) before publishing\b", r"^(?:insert|add|enter) (?:text|description|content) here\b", r"^your text here\b",
-    r"^todo\b[: ]+(?:write|add|fill|insert)\b", r"^description description\b", r"^description to be added\b", r"^this is (?:a )?(?:placeholder|dummy|sample) text\b",
-    r"^(?:error )?(?:40[0-9]|50[0-9])\s*[:-]?\s*(?:not found|forbidden|unauthori[sz]ed|bad gateway|internal server error|service unavailable|gateway timeout|page not found)\b",
-    r"^the page you (?:asked for|requested|are looking for)\b.*\b(?:moved|not exist|not found|removed|unavailable)\b", r"^page not found\b", r"^you don'?t have permission to access\b",
-    r"^(?:oops|sorry|whoops)\b!?,? ?(?:we can'?t (?:seem to )?find|something went wrong|this page)\b", r"^we can'?t seem to find the (?:vacancy|page|job) you\b",
-    r"^please (?:enable|turn on|activate|switch on) (?:js|java ?script|scripts|scripting|cookies)\b", r"^(?:java ?script|js|scripting|scripts) (?:is|are|must be) (?:required|enabled|turned off|disabled|needed)\b.*\b(?:to (?:use|view|see|run|continue|load)|in your browser)\b", r"^(?:java ?script|js|scripting) is (?:disabled|turned off)\b",
-    r"^you (?:need|have) to (?:allow|enable|turn on) (?:scripts|java ?script|js|scripting)\b", r"^turn (?:scripts?|java ?script|js) on\b", r"^your browser does not (?:seem to )?support\b",
-    r"^your session (?:has )?(?:expired|timed out)\b", r"^sign in again to (?:see|continue|view)\b", r"^too many requests\b", r"^service (?:is )?temporarily unavailable\b", r"^checking your browser before\b", r"^ray (?:number|id) \w+", r"^this content cannot be displayed\b",
-    r"^internal (?:server )?error\b[: ]", r"^traceback\b[: (]", r"cannot read property .* of undefined", r"^access (?:was |is |has been )?denied\b[.!]?(?:$| (?:you|to this|on this|for))", r"^seite nicht gefunden\b", r"^die stelle \d+ ist nicht mehr\b", r"^halaman (?:yang anda cari )?tidak ditemukan\b", r"^page introuvable\b",
+# Filler, error pages and script notices that are trusted to be residue.
+SEEDS = [
+    "Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "Lorem ipsum dolor sit amet, placeholder copy for the page layout number 1.", "Sample text goes here.", "Your text goes here.", "Insert description here.", "Replace this before publishing.", "Replace it before publishing.",
+    "Description description description.", "Description to be added by someone later.", "This is placeholder text.", "This is dummy text.", "TODO add the description.", "TODO add the duties.", "TODO add benefits.", "TODO write the advert text for this job.",
+    "404 Not Found", "404 - Page not found", "403 Forbidden", "500 Internal Server Error", "502 Bad Gateway", "503 Service Unavailable", "504 Gateway Timeout", "Service temporarily unavailable", "Service is temporarily unavailable.",
+    "The page you asked for has been moved or does not exist.", "The page you requested could not be found.", "The page you are looking for does not exist.", "We can't seem to find the page you are looking for.", "We can't seem to find the vacancy you are looking for.", "Something went wrong, please try again later.",
+    "You don't have permission to access this page on this server.", "Too many requests from your address.", "Checking your browser before you continue.", "Checking your browser before accessing this site.", "This content cannot be displayed in a frame.", "Your browser does not seem to support it.", "Your browser does not support JavaScript.",
+    "Your session has expired.", "Your session has timed out.", "Sign in again to continue.", "Sign in again to see job 1.", "Internal error: cannot read property of undefined at line 1.", "Traceback: template page not found, line 1.",
+    "Please enable JavaScript to view this page.", "Please enable JS to view this page.", "Please enable scripting to view this page.", "Please enable cookies to continue.", "JavaScript is required to use the careers portal.", "JS is required to use the careers portal.", "Scripting is required to use this site.", "You need to enable JavaScript to run this app.",
+    "You need to allow scripts in your browser before this page can be shown.", "You need to allow scripts in your browser before this vacancy can be shown.", "Turn scripts on and reload.", "Turn JavaScript on and reload the page.",
+    "Halaman yang Anda cari tidak ditemukan.", "Halaman tidak ditemukan.", "Seite nicht gefunden.", "Die Seite ist nicht mehr verfügbar.", "Die Stelle 1 ist nicht mehr verfügbar.", "Page introuvable.",
 ]
 
 # Whole fields, in lower case.
@@ -47,13 +48,20 @@ WHOLE = [
 ]
 
 CUT = r"[.!?]+\s+|[\n\r]+"
-TRUSTED = "|".join(f"(?:{p})" for p in SENTENCES)
 PLACEHOLDER = "|".join(f"(?:{p})" for p in PLACEHOLDERS)
 WHOLE_FIELD = f"^(?:{'|'.join(WHOLE)})$"
-#: Letters of a group; bits in which two units may differ; groups they must share.
-GRAM, HAMMING, SIMILARITY = 4, 12, 0.8
-#: First bit and bits of each of the tables, which overlap and together hold all 64 twice.
-TABLES = tuple((low, 21) for low in (0, 11, 21, 32, 43, 53))
+#: Letters of a group; bits in which two units may differ.
+GRAM, HAMMING = 2, 16
+#: Edit similarity (1 less edits by length) to the unit a label comes from, and to the trusted text it started from.
+SIMILARITY, ROOTED = 0.8, 0.6
+#: Letters below which a trusted text stands for itself only.
+SPREADS_FROM = 12
+#: Lowest bit of each table's key, whose bits wrap around, and the bits of a key.
+TABLES, KEY_BITS = tuple(range(0, 64, 2)), 12
+#: Labelled texts of a round up to which their tables are sent to every task; more are joined by key.
+SENT = 20_000
+#: Rounds a label may travel; a round more is an error, not a cut.
+ROUNDS = 40
 CHUNK = 2_000
 UNITS = "job_id long, field_name string, trusted boolean, simhash long, unit string"
 
@@ -100,27 +108,20 @@ def simhashes(units: pa.Array) -> np.ndarray:
 
 
 def cut_units(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """The distinct units of each field of a batch (job_id, title, description)."""
-    ids, out = batch.column("job_id").to_numpy(zero_copy_only=False), []
+    """The units of each field of a batch (job_id, title, description); ``trusted`` are those that are residue by themselves."""
+    ids, rows = batch.column("job_id").to_numpy(zero_copy_only=False), []
     for field in ("title", "description"):
         texts = tokens.unescaped(tokens.column(batch, field))
         whole = pc.match_substring_regex(pc.utf8_lower(pc.utf8_trim_whitespace(texts)), WHOLE_FIELD)
         lists = pc.split_pattern_regex(texts, CUT)
         owner = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
         raw = pc.replace_substring_regex(pc.list_flatten(lists), r"^[\s•*·-]+", "")
-        trusted = pc.or_(pc.match_substring_regex(pc.utf8_lower(raw), TRUSTED), pc.match_substring_regex(raw, PLACEHOLDER))
-        trusted = pc.or_(trusted, whole.take(pa.array(owner)))
+        trusted = pc.or_(pc.match_substring_regex(raw, PLACEHOLDER), whole.take(pa.array(owner)))
         units = normal(raw)
         keep = pc.or_(trusted, pc.greater(pc.binary_length(units), 0))
-        out.append((owner, field, trusted.filter(keep), units.filter(keep), keep.to_numpy(zero_copy_only=False)))
-    rows = []
-    for owner, field, trusted, units, keep in out:
-        rows.append(
-            pa.RecordBatch.from_arrays(
-                [pa.array(ids[owner[keep]]), pa.array([field] * len(units), pa.string()), trusted, pa.array(simhashes(units).view(np.int64)), units.cast(pa.string())],
-                names=["job_id", "field_name", "trusted", "simhash", "unit"],
-            )
-        )
+        trusted, units, owner = trusted.filter(keep), units.filter(keep), owner[keep.to_numpy(zero_copy_only=False)]
+        columns = [pa.array(ids[owner]), pa.array([field] * len(units), pa.string()), trusted, pa.array(simhashes(units).view(np.int64)), units.cast(pa.string())]
+        rows.append(pa.RecordBatch.from_arrays(columns, names=["job_id", "field_name", "trusted", "simhash", "unit"]))
     return pa.Table.from_batches(rows).combine_chunks().to_batches()[0] if sum(r.num_rows for r in rows) else rows[0]
 
 
@@ -134,47 +135,105 @@ def _units(fields: DataFrame) -> DataFrame:
 
 
 def _keyed(units: DataFrame) -> DataFrame:
-    """One row for each table that a unit stands in."""
+    """One row for each table that a unit stands in: the bits of its SimHash from the table's lowest on."""
     turned = lambda low: F.shiftrightunsigned("simhash", low).bitwiseOR(F.shiftleft("simhash", 64 - low)) if low else F.col("simhash")
-    keys = [F.shiftleft(turned(low).bitwiseAND(F.lit((1 << bits) - 1)), 3) + F.lit(t) for t, (low, bits) in enumerate(TABLES)]
+    keys = [(F.shiftleft(turned(low).bitwiseAND(F.lit((1 << KEY_BITS) - 1)), 6) + F.lit(t)).cast("int") for t, low in enumerate(TABLES)]
     return units.withColumn("key", F.explode(F.array(*keys)))
 
 
-def _alike(pairs: DataFrame) -> DataFrame:
-    """The units of pairs (unit, near) that share SIMILARITY of their letter groups with ``near``."""
+def _alike(a: str, b: str, least: float):
+    """Whether two texts are so similar by edits."""
+    longer = F.greatest(F.length(a), F.length(b))
+    return F.levenshtein(F.col(a), F.col(b)) <= (1 - least) * longer
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def seeds(spark: SparkSession) -> DataFrame:
+    """(unit, simhash, root) of the trusted texts; ``root`` is the text a label starts from."""
+    units = normal(pa.array(SEEDS, pa.large_string()))
+    rows = sorted({(u, h, u) for u, h in zip(units.to_pylist(), simhashes(units).view(np.int64).tolist(), strict=True)})
+    return spark.createDataFrame(rows, "unit string, simhash long, root string")
+
+
+def table_keys(hashes: np.ndarray, low: int) -> np.ndarray:
+    """The keys of SimHashes in the table whose lowest bit is ``low``."""
+    turned = hashes >> np.uint64(low) | hashes << np.uint64(64 - low) if low else hashes
+    return (turned & np.uint64((1 << KEY_BITS) - 1)).astype(np.int64)
+
+
+class Tables:
+    """The tables of labelled texts as arrays: for each table, the texts in order of their key and where each key starts."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes, self.order, self.start = hashes, [], []
+        for low in TABLES:
+            keys = table_keys(hashes, low)
+            self.order.append(np.argsort(keys, kind="stable"))
+            self.start.append(np.concatenate([[0], np.cumsum(np.bincount(keys, minlength=1 << KEY_BITS))]))
+
+    def met(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs (row of ``hashes``, labelled text) that share a table's key and differ in HAMMING bits at most, each once."""
+        found = [np.zeros(0, np.int64)]
+        for low, order, start in zip(TABLES, self.order, self.start, strict=True):
+            keys = table_keys(hashes, low)
+            n = start[keys + 1] - start[keys]
+            row = np.repeat(np.arange(len(hashes)), n)
+            other = order[np.repeat(start[keys], n) + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)]
+            near = np.bitwise_count(hashes[row] ^ self.hashes[other]) <= HAMMING
+            found.append(row[near] * len(self.hashes) + other[near])
+        return np.divmod(np.unique(np.concatenate(found)), max(len(self.hashes), 1))
+
+
+def _met_in_tables(candidates: DataFrame, frontier: list) -> DataFrame:
+    """(unit, simhash, near, root) of units that share a table's key with a text of a small ``frontier``, which every task holds."""
+    shared = candidates.sparkSession.sparkContext.broadcast([tuple(r) for r in frontier])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near, root = (pa.array([r[k] for r in shared.value], pa.string()) for k in (0, 2))
+        tables = Tables(np.array([r[1] for r in shared.value], np.int64).view(np.uint64))
         for batch in batches:
-            sides = [grams(tokens.column(batch, c)) for c in ("unit", "near")]
-            keep = []
-            for i in range(batch.num_rows):
-                a, b = (set(h[o[i] : o[i + 1]].tolist()) for h, o in sides)
-                keep.append(len(a & b) >= SIMILARITY * len(a | b))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("unit", "simhash")], names=["unit", "simhash"])
+            row, other = tables.met(batch.column("simhash").to_numpy(zero_copy_only=False).view(np.uint64))
+            found = batch.take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([found.column("unit"), found.column("simhash"), near.take(pa.array(other)), root.take(pa.array(other))], names=["unit", "simhash", "near", "root"])
+
+    return candidates.select("unit", "simhash").mapInArrow(meet, "unit string, simhash long, near string, root string")
+
+
+def _met_by_join(candidates: DataFrame, frontier: DataFrame) -> DataFrame:
+    """Alike for a frontier of any size, as a join on the keys."""
+    tables = _keyed(frontier.select(F.col("unit").alias("near"), F.col("simhash").alias("near_hash"), "root", "simhash")).drop("simhash")
+    close = F.bit_count(F.col("simhash").bitwiseXOR(F.col("near_hash"))) <= HAMMING
+    return _keyed(candidates).join(tables, "key").where(close).select("unit", "simhash", "near", "root")
+
 
-    return pairs.select("unit", "simhash", "near").mapInArrow(verify, "unit string, simhash long")
+def near_units(candidates: DataFrame, frontier: DataFrame) -> DataFrame:
+    """The (unit, simhash, root) of ``candidates`` (unit, simhash) that a label of ``frontier`` reaches: one row a unit and root."""
+    spreading = frontier.where(F.length("unit") >= SPREADS_FROM).select("unit", "simhash", "root")
+    few = spreading.limit(SENT + 1).collect()
+    pairs = _met_in_tables(candidates, few) if len(few) <= SENT else _met_by_join(candidates, spreading)
+    alike_long = F.length("unit").between(F.length("near") * SIMILARITY, F.length("near") / SIMILARITY)
+    pairs = pairs.where(alike_long).distinct()
+    return pairs.where(_alike("unit", "near", SIMILARITY) & _alike("unit", "root", ROOTED)).select("unit", "simhash", "root").distinct()
 
 
 def residue_units(fields: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
-    """``(units, labelled)``: all units, and the distinct units (unit, simhash, round) that are residue; both written below ``folder``."""
+    """``(units, labelled)``: all units, and the units (unit, root) the labels reach; both written below ``folder``."""
     spark = fields.sparkSession
     _units(fields).write.parquet(f"{folder}/units", compression="zstd")
     units = spark.read.parquet(f"{folder}/units")
-    seeds = units.where("trusted").select("unit", "simhash").distinct().withColumn("round", F.lit(0))
-    seeds.write.parquet(f"{folder}/labelled/0", compression="zstd")
-    candidates = units.where("not trusted and unit <> ''").select("unit", "simhash")
-    # Ends by itself, as each round but the last labels units that no earlier one did.
-    for k in itertools.count(1):
-        frontier = spark.read.parquet(f"{folder}/labelled/{k - 1}").where("unit <> ''")
-        known = spark.read.parquet(*(f"{folder}/labelled/{i}" for i in range(k)))
-        near = _keyed(frontier.select(F.col("unit").alias("near"), F.col("simhash").alias("near_hash"), "simhash")).drop("simhash")
-        pairs = _keyed(candidates).join(near, "key").where(F.bit_count(F.col("simhash").bitwiseXOR(F.col("near_hash"))) <= HAMMING)
-        found = _alike(pairs.where("unit <> near")).distinct().join(known.select("unit"), "unit", "left_anti")
-        found.withColumn("round", F.lit(k)).write.parquet(f"{folder}/labelled/{k}", compression="zstd")
-        if spark.read.parquet(f"{folder}/labelled/{k}").isEmpty():
-            break
-    return units, spark.read.parquet(*(f"{folder}/labelled/{i}" for i in range(k + 1)))
+    short = seeds(spark).where(F.length("unit") < SPREADS_FROM)
+    candidates = units.where("not trusted").select("unit", "simhash")
+    # A short trusted text is met by the same text only.
+    equal = candidates.join(F.broadcast(short.select("unit", "root")), "unit").distinct()
+    frontier, labelled = seeds(spark), None
+    for k in range(ROUNDS + 1):
+        found = near_units(candidates, frontier)
+        found = found.unionByName(equal) if labelled is None else found.join(labelled, ["unit", "root"], "left_anti")
+        found.write.parquet(f"{folder}/labelled/{k}", compression="zstd")
+        frontier = spark.read.parquet(f"{folder}/labelled/{k}")
+        labelled = spark.read.parquet(*(f"{folder}/labelled/{i}" for i in range(k + 1)))
+        if frontier.isEmpty():
+            return units, labelled
+    raise RuntimeError(f"labels still travel after {ROUNDS} rounds")
 
 
 def fields_with_residue(jobs: DataFrame) -> DataFrame:
@@ -184,7 +243,9 @@ def fields_with_residue(jobs: DataFrame) -> DataFrame:
     """
     folder = f"{shared_folder(jobs.sparkSession)}/residue-{uuid.uuid4().hex}"
     units, labelled = residue_units(jobs, folder)
-    spread_to = labelled.where("round > 0").select("unit").distinct().withColumn("near", F.lit(True))
-    hit = units.join(spread_to, "unit", "left").withColumn("bad", F.col("trusted") | F.coalesce("near", F.lit(False)))
+    # Texts of residue, sent only while they are few: their number follows the wordings in use, not the rows.
+    reached = labelled.select("unit").distinct().withColumn("near", F.lit(True))
+    reached = broadcast_if_small(reached, labelled.count(), 300)
+    hit = units.join(reached, "unit", "left").withColumn("bad", F.col("trusted") | F.coalesce("near", F.lit(False)))
     counted = hit.groupBy("job_id", "field_name").agg(F.count("*").alias("units"), F.sum(F.col("bad").cast("long")).alias("residue"))
     return counted.where("residue > 0")

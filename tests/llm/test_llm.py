@@ -227,7 +227,16 @@ def test_automaton_returns_all_names_within_the_distance():
 # ---- 6: residue
 
 
-LONG = "you need to allow scripts in your browser before this vacancy can be shown because the portal draws every page with them and keeps neither the title nor the duties of a vacancy in the markup that it sends at first"
+LONG = "you need to allow scripts in your browser before this vacancy can be shown"
+
+
+def slipped(rng, text_, n):
+    """``n`` typing slips: letters changed, dropped, doubled or swapped."""
+    letters = list(text_)
+    for _ in range(n):
+        i = rng.randrange(len(letters) - 1)
+        letters[i : i + 2] = rng.choice([[rng.choice("abcdefghijklmnopqrstuvwxyz"), letters[i + 1]], [letters[i + 1]], [letters[i], letters[i], letters[i + 1]], [letters[i + 1], letters[i]]])
+    return "".join(letters)
 
 
 def test_residue_and_what_only_speaks_of_it(spark):
@@ -243,24 +252,44 @@ def test_residue_and_what_only_speaks_of_it(spark):
     assert residue.fields_with_residue(rows.limit(0)).count() == 0
 
 
-def test_label_goes_on_to_the_end_of_a_long_chain(spark):
-    """Each unit is near the one before it alone; the last is 23 rounds from the trusted one."""
-    rng = random.Random(17)
-    keys = lambda h: {(t, (h >> low | h << 64 - low) & (1 << bits) - 1) for t, (low, bits) in enumerate(residue.TABLES)}
-    groups = lambda u: {u[i : i + residue.GRAM] for i in range(len(u) - residue.GRAM + 1)}
-    chain = [LONG, LONG.replace("you need", "yu need")]
-    while len(chain) < 24:
-        tries = []
-        for _ in range(400):
-            letters = list(chain[-1])
-            for at in rng.sample([i for i in range(30, len(letters)) if letters[i] != " "], 5):
-                letters[at] = rng.choice("abcdefghijklmnopqrstuvwxyz")
-            tries.append("".join(letters))
-        old, *new = (x & (1 << 64) - 1 for x in residue.simhashes(text(chain[-1], *tries)).tolist())
-        share = lambda u: len(groups(u) & groups(chain[-1])) / len(groups(u) | groups(chain[-1]))
-        chain.append(next(u for u, h in zip(tries, new) if bin(h ^ old).count("1") <= residue.HAMMING and keys(h) & keys(old) and share(u) >= 0.81))
+def test_a_placeholder_in_real_content_does_not_spread(spark):
+    glued = "Kind regards, <%= city %> In return we offer free uniforms and a study budget, reviewed every {}."
+    rows = [(1, "Cook", glued.format("April"))] + [(2 + k, "Cook", f"In return we offer free uniforms and a study budget, reviewed every {m}.") for k, m in enumerate(("April", "May", "June"))]
+    assert {r.job_id for r in residue.fields_with_residue(spark.createDataFrame(rows, "job_id long, title string, description string")).collect()} == {1}
+
+
+def test_planted_slips_are_found(spark):
+    """Recall of at least 0.9 over trusted texts with up to two slips, which stand alone in the table."""
+    rng = random.Random(23)
+    planted = []
+    for seed in residue.SEEDS:
+        plain = residue.normal(text(seed))[0].as_py()
+        for n in (1, 1, 1, 2) if len(plain) >= 25 else (1,) if len(plain) >= residue.SPREADS_FROM else ():
+            planted.append(slipped(rng, plain, n))
+    rows = [(k, "Cook", f"You will bake bread. {x.capitalize()}. Nights are free.") for k, x in enumerate(planted)]
+    found = {r.job_id for r in residue.fields_with_residue(spark.createDataFrame(rows, "job_id long, title string, description string")).collect()}
+    assert len(found) >= 0.9 * len(planted)
+
+
+@pytest.mark.parametrize("sent", [0, 20_000])
+def test_a_label_travels_but_does_not_drift(spark, monkeypatch, sent):
+    """Each unit is near the one before it alone; the label reaches those that still resemble the trusted text."""
+    monkeypatch.setattr(residue, "SENT", sent)
+    chain = [LONG]
+    for at in range(0, 64, 8):
+        chain.append(chain[-1][:at] + "qxzj" + chain[-1][at + 4 :])
     rows = spark.createDataFrame([(k, "Cook", u) for k, u in enumerate(chain)], "job_id long, title string, description string")
-    assert {r.job_id for r in residue.fields_with_residue(rows).collect()} == set(range(24))
+    # Four letters a step: the seventh step is past ROOTED, the fourth past SIMILARITY of the trusted text itself.
+    assert {r.job_id for r in residue.fields_with_residue(rows).collect()} == set(range(8))
+
+
+def test_tables_find_what_all_pairs_find():
+    rng = np.random.default_rng(3)
+    own = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    near = np.array([h ^ sum((np.uint64(1) << np.uint64(b) for b in rng.choice(64, 7, replace=False)), np.uint64(0)) for h in np.repeat(own, 25)], np.uint64)
+    row, other = residue.Tables(own).met(near)
+    assert (np.bitwise_count(near[row] ^ own[other]) <= residue.HAMMING).all()
+    assert (other == row // 25).sum() >= 0.95 * len(near)
 
 
 def test_simhash_is_near_for_near_texts():
