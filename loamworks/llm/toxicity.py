@@ -2,14 +2,17 @@
 
 The model judges sentences, after disguises (digits and signs for letters, masked
 or spaced letters, drawn-out vowels, invisible marks) are undone; a document's
-score is that of its worst sentence. Reviewers mark whole documents and slip now
-and then, so training goes in rounds: the current model picks the sentences a mark
-is about. The first model comes from a small fixed set of example sentences, which
-also carries the model where there are next to no marks. L1 makes the weights
-sparse; they are sent to the executors as one small array.
+score is that of its worst sentence. It is learnt from reviewers' marks alone.
+They mark whole documents and slip now and then, so training goes in rounds: at
+first every sentence of a marked document shares the mark, then only those that a
+model fitted without that document (in folds) scores above what clean documents
+reach. A marked document without such a sentence is taken for a slip and left out.
+L1 makes the weights sparse; they are sent to the executors as one small array,
+together with the words by which letters typed apart are cut.
 """
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,36 +25,22 @@ from pyspark.sql import functions as F
 from ..runtime import spread
 from . import tokens
 
-#: Bound of the training sample (marked documents), rounds of sentence picking, passes of a round.
-MARKED, PICKINGS, PASSES = 6_000, 3, 2
-#: Hashed features; FTRL's rates and penalties.
-BITS = 18
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.15, 0.5
+#: Bound of the training sample (marked documents), rounds of sentence picking, passes of a round, folds of the documents.
+MARKED, PICKINGS, PASSES, FOLDS = 6_000, 3, 3, 3
+#: Share of the clean documents whose worst sentence a picked sentence must outdo, in the first round and later.
+OUTDONE = (0.9, 0.98)
+#: Share of the worst sentence's score from which another sentence of its document bears the mark as well.
+CLOSE = 0.8
+#: Weight of a picked sentence beside a clean one: abuse is rare.
+RARE = 4.0
+#: Hashed features; FTRL's rates and penalties; sentences of a step.
+BITS = 22
+ALPHA, BETA, L1, L2, STEP = 0.3, 1.0, 0.5, 1.0, 32
 #: Score from which a document counts as toxic.
-THRESHOLD = 0.5
+THRESHOLD = 0.6
 CHUNK = 2_000
 SCORED = "job_id long, score double"
 
-# Example sentences to start from.
-ABUSIVE = [
-    "you idiots", "stupid idiots need not apply", "worthless losers", "do not waste our time you pathetic vermin", "if you morons cannot read then get lost", "only scum miss deadlines so shut your mouth and obey", "the last crew were worthless parasites and you are just as stupid",
-    "whoever wrote this is a brainless disgusting piece of trash", "complain and she will tell you what pathetic bastards you are", "managers treat staff like the filthy pigs they are", "any moron can do this job", "you imbeciles", "you are all losers and bastards", "get lost and rot",
-    "only filthy pigs work here", "you dumb trash", "they treat workers like scum", "you pathetic imbeciles", "what worthless parasites you are", "filthy pigs", "nobody wants your stupid face here loser", "you are a stupid loser", "honestly you vermin make me sick and i hope you fail", "brainless morons", "disgusting vermin",
-    "we know where you live so keep quiet or get hurt", "i will burn your house down if you talk", "quit and we will find you and break your legs", "turn up late and the boss will smash your face in", "cross us and you will not walk again", "people who leave us tend to have bad accidents", "anyone who complains will be beaten and nobody will help them", "we will hurt your family", "report us once more and you will end up in hospital", "you will regret it and get hurt",
-    "no foreign people they are all scum and should be thrown out of the country", "everyone knows that kind are born thieves and less than human", "those people can crawl back to the hole they came from", "keep that breed away from our rooms they spread disease", "real citizens only no foreign animals on our floor", "women are too dumb for this work they belong in the dirt", "this town was better before those parasites arrived", "no foreign scum", "no filthy foreign pigs", "that breed are vermin and should be thrown out", "we never hire those workers because that whole lot is filthy and lazy", "that lot is lazy and stupid",
-    "send nude photos with your application the sexier the better", "girls wanted for x rated shows and sex chat with private clients", "erotic massage with full service", "tips for taking it all off", "explicit porn scenes topless auditions in the back office", "hot bodies only naked webcam work every night", "the boss expects oral favours after each shift", "you must be ready to sleep with the boss to get the shift", "tell us your bra size and what turns you on in bed", "sexy masseuse happy ending extra", "hot girls for naked webcam shows", "xxx hostess nude dancing", "topless dancing and private sex shows",
-    "ihr dummen idioten ihr seid abschaum", "bewerbt euch nicht ihr dummen bastarde", "dasar kalian bodoh dan tolol jangan melamar", "kalian semua sampah",
-]
-
-# Professional, medical and policy uses of the same words.
-HARMLESS = [
-    "our policy on sexual harassment is explained on day one", "abuse of any kind is reported", "experience in breast screening or sexual health nursing is welcome", "you will review reported posts for nudity threats and hate speech", "the clinic supports survivors of violence and hate crime", "support for survivors of sexual abuse",
-    "you will write scripts that kill stuck jobs and murder slow queries", "our trash and vermin control round starts early", "pest and vermin control", "the naked flame permit must be signed", "bastard files are kept in the tool crib", "we build idiot proof labels and dumb terminals", "you raise pigs and run the filthy end of the farm", "adult learners are welcome and classes are mixed",
-    "trash collection and waste sorting", "feed the pigs and clean the sheds", "report any accident or injury", "first aid for people who get hurt", "burn wounds unit", "the house is on fire drill", "hot work permits are issued daily", "private clients of the bank", "girls and boys school teacher", "women and men of any background may apply", "animals on our farm are well kept", "massage therapist for the physiotherapy clinic", "dance teacher for evening classes", "the boss expects good notes after each shift", "people who leave us take their skills along", "you will find us near the station", "we know where you want to go", "sex education for schools", "parasites laboratory technician", "stop bullying and threats at work", "disease control nurse", "we do not tolerate abuse hate or threats",
-    "checking your browser before you continue", "too many requests from your address", "your session has expired sign in again", "we can't seem to find the vacancy you are looking for", "no job title", "sample vacancy do not publish", "you need to allow scripts in your browser", "accept all or reject", "powered by our recruiting partner", "only necessary cookies", "read more in our cookie notice", "send your application with a cover letter", "the better candidate will hear from us", "you must be ready to work shifts", "the country office", "keep your records", "nobody works alone on the night shift",
-    "share this job email facebook x linkedin", "you may also like web developer electrician", "people also viewed care worker welder", "latest vacancies baker carpenter", "save job apply now report this ad", "print this page", "create alert", "back to top", "data analyst", "quality inspector", "senior barista full time", "about the company and its manager", "company name here", "this content cannot be displayed in a frame", "you answer help and login questions from members", "home jobs careers contact", "rates shown are for each hour worked", "we never close and hire all year",
-]
-
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "i"})
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_] ){2,}[^\W\d_](?![^\W_])")
 _KEPT = r"[^\pL\pN@$*]+"
@@ -78,7 +67,39 @@ def plain_word(word: str) -> str:
     return known
 
 
-def sentences(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+class Words:
+    """The words of the training texts, by which letters typed apart are cut into words."""
+
+    def __init__(self, counts: Counter):
+        total = sum(counts.values()) + 1
+        self.cost = {w: -float(np.log(n / total)) for w, n in counts.items() if n > 1 and w.isalpha()}
+        self.longest = max(map(len, self.cost), default=0)
+        #: A letter that no word explains costs more than any word.
+        self.unknown = 2 * float(np.log(total)) + 1
+
+    def cut(self, run: str) -> str:
+        """Single letters as the likeliest words (least cost over all cuts); without a known word they are one word."""
+        letters = run.replace(" ", "").lower()
+        best = [(0.0, 0)]
+        for end in range(1, len(letters) + 1):
+            options = [(best[at][0] + self.cost[letters[at:end]], at) for at in range(max(0, end - self.longest), end) if letters[at:end] in self.cost]
+            best.append(min([*options, (best[end - 1][0] + self.unknown, end - 1)]))
+        out, end = [], len(letters)
+        while end:
+            at = best[end][1]
+            out.append((letters[at:end], letters[at:end] in self.cost))
+            end = at
+        words, loose = [], ""
+        for piece, known in reversed(out):
+            if known:
+                words += [loose, piece] if loose else [piece]
+                loose = ""
+            else:
+                loose += piece
+        return " ".join([*words, loose] if loose else words)
+
+
+def sentences(texts: pa.Array, known: Words | None = None) -> tuple[pa.Array, np.ndarray]:
     """The sentences of each text without invisible marks and with spaced letters joined; a text's first sentence may be its title."""
     texts = tokens.unescaped(texts)
     invisible = pc.match_substring_regex(texts, r"[\p{Cf}]")
@@ -87,27 +108,15 @@ def sentences(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     found, offsets = tokens.split_sentences(texts, r"[.!?;]+\s+|[\n\r•]+")
     spaced = pc.match_substring_regex(found, r"(?:^|\s)\pL(?: \pL){2,}(?:\s|[,.!?]|$)")
     if pc.any(spaced).as_py():
-        # Words are further apart than their letters only in some texts; joined runs are cut by what the model knows.
-        joined = [_SPACED.sub(lambda m: _unspaced(m[0]), s) for s in found.filter(spaced).to_pylist()]
+        # Words are further apart than their letters only in some texts; joined runs are cut by the words of the training texts.
+        cut = known.cut if known else lambda run: run.replace(" ", "")
+        joined = [_SPACED.sub(lambda m: cut(m[0]), x) for x in found.filter(spaced).to_pylist()]
         found = pc.replace_with_mask(found, spaced, pa.array(joined, pa.large_string()))
     return found, offsets
 
 
-def _unspaced(run: str) -> str:
-    """A run of single letters as words: cut greedily by the words of the example sentences, else left as one."""
-    text, out = run.replace(" ", "").lower(), []
-    while text:
-        k = next((k for k in range(len(text), 2, -1) if text[:k] in VOCABULARY), len(text))
-        out.append(text[:k])
-        text = text[k:]
-    return " ".join(out)
-
-
-VOCABULARY = {w for s in ABUSIVE for w in s.split()}
-
-
 def features(found: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hashed features, offsets by sentence): words, neighbouring pairs, and pairs one word apart."""
+    """(hashed features, offsets by sentence): words, neighbouring pairs, and pairs one word apart; each once a sentence."""
     words, offsets = tokens.split_words(found, _KEPT)
     codes, vocabulary = tokens.coded(words)
     n = len(codes)
@@ -121,95 +130,105 @@ def features(found: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         with np.errstate(over="ignore"):
             parts.append((h[:-gap] * np.uint64(factor) + h[gap:])[same])
         owners.append(owner[gap:][same])
-    everything, owner = np.concatenate(parts), np.concatenate(owners)
-    order = np.argsort(owner, kind="stable")
-    counts = np.bincount(owner, minlength=len(offsets) - 1)
-    return (tokens.mix(everything[order]) >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate([[0], np.cumsum(counts)])
+    hashed = (tokens.mix(np.concatenate(parts)) >> np.uint64(64 - BITS)).astype(np.int64)
+    distinct = np.unique(np.concatenate(owners) << BITS | hashed)
+    counts = np.bincount(distinct >> BITS, minlength=len(offsets) - 1)
+    return distinct & ((1 << BITS) - 1), np.concatenate([[0], np.cumsum(counts)])
 
 
 class Ftrl:
-    """FTRL-proximal with rates by coordinate."""
+    """FTRL-proximal with rates by coordinate, in steps of STEP sentences."""
 
     def __init__(self) -> None:
-        self.z, self.n = np.zeros(1 << BITS), np.zeros(1 << BITS)
-        self.bias_z = self.bias_n = 0.0
+        self.z, self.n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
 
-    def weights(self, at: np.ndarray) -> np.ndarray:
+    def weights(self, at: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """The weights; the last one is the bias, which L1 spares."""
         z, n = self.z[at], self.n[at]
-        return np.where(np.abs(z) <= L1, 0.0, (np.sign(z) * L1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2))
-
-    def bias(self) -> float:
-        return -self.bias_z / ((BETA + self.bias_n**0.5) / ALPHA + L2)
+        l1 = np.where((np.arange(1 << BITS | 1) if isinstance(at, slice) else at) == 1 << BITS, 0.0, L1)
+        return np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2))
+
+    def fit(self, at: np.ndarray, offsets: np.ndarray, targets: np.ndarray, weights: np.ndarray) -> None:
+        """One step of sentences, given as the features of all and where those of each start."""
+        own = np.repeat(np.arange(len(targets)), np.diff(offsets))
+        at, own = np.concatenate([at, np.full(len(targets), 1 << BITS)]), np.concatenate([own, np.arange(len(targets))])
+        distinct, place = np.unique(at, return_inverse=True)
+        w = self.weights(distinct)
+        margin = np.bincount(own, w[place], len(targets))
+        g = ((1 / (1 + np.exp(-np.clip(margin, -30, 30))) - targets) * weights)[own]
+        total, square = np.bincount(place, g), np.bincount(place, g * g)
+        rate = (np.sqrt(self.n[distinct] + square) - np.sqrt(self.n[distinct])) / ALPHA
+        self.z[distinct] += total - rate * w
+        self.n[distinct] += square
 
-    def fit(self, at: np.ndarray, target: float, weight: float = 1.0) -> None:
-        """One sentence of distinct features."""
-        w, bias = self.weights(at), self.bias()
-        p = 1 / (1 + np.exp(-np.clip((w.sum()) + bias, -30, 30)))
-        g = (p - target) * weight
-        rate = (np.sqrt(self.n[at] + g * g) - np.sqrt(self.n[at])) / ALPHA
-        self.z[at] += g - rate * w
-        self.n[at] += g * g
-        rate = ((self.bias_n + g * g) ** 0.5 - self.bias_n**0.5) / ALPHA
-        self.bias_z += g - rate * bias
-        self.bias_n += g * g
 
-    def all_weights(self) -> tuple[np.ndarray, float]:
-        return self.weights(np.arange(1 << BITS)).astype(np.float32), self.bias()
+def sentence_scores(found: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:
+    return _scored(*features(found), weights, bias)
 
 
-def sentence_scores(found: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:
-    at, offsets = features(found)
+def _scored(at: np.ndarray, offsets: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
     total = tokens.segment_sum(weights[at].astype(np.float64), offsets)
     return 1 / (1 + np.exp(-np.clip(total + bias, -30, 30))) * (np.diff(offsets) > 0)
 
 
-def document_scores(texts: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:
-    """The score of each text's worst sentence; 0 without a word."""
-    found, offsets = sentences(texts)
-    scores = np.concatenate([sentence_scores(found, weights, bias), [0.0]])
-    out = np.maximum.reduceat(scores, offsets[:-1]) if len(texts) else np.zeros(0)
+def worst(scores: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The highest score of each text's sentences; 0 without one."""
+    n = len(offsets) - 1
+    out = np.maximum.reduceat(np.concatenate([scores, [0.0]]), offsets[:-1]) if n else np.zeros(0)
     return np.where(np.diff(offsets) > 0, out, 0.0)
 
 
-def _fitted(rows: list[tuple[np.ndarray, float, float]], passes: int) -> tuple[np.ndarray, float]:
+def document_scores(texts: pa.Array, weights: np.ndarray, bias: float, known: Words | None = None) -> np.ndarray:
+    """The score of each text's worst sentence; 0 without a word."""
+    found, offsets = sentences(texts, known)
+    return worst(sentence_scores(found, weights, bias), offsets)
+
+
+def fitted(at: np.ndarray, offsets: np.ndarray, targets: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and bias from sentences with targets; those of weight 0 are left out."""
     model, rng = Ftrl(), np.random.default_rng(7)
-    for _ in range(passes):
-        for k in rng.permutation(len(rows)):
-            model.fit(*rows[k])
-    return model.all_weights()
-
-
-def train(texts: list[str], marks: list[int]) -> tuple[np.ndarray, float]:
-    """Weights and bias from marked texts (1 toxic, 0 not) and the example sentences."""
-
-    def rows_of(found: pa.Array) -> list[np.ndarray]:
-        at, offsets = features(found)
-        return [np.unique(at[offsets[i] : offsets[i + 1]]) for i in range(len(offsets) - 1)]
-
-    examples = [(x, 1.0, 1.0) for x in rows_of(pa.array(ABUSIVE, pa.large_string()))] + [(x, 0.0, 1.0) for x in rows_of(pa.array(HARMLESS, pa.large_string()))]
-    found, offsets = sentences(pa.array(texts, pa.large_string()))
-    rows = rows_of(found)
-    owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
-    mark = np.array(marks, np.int64)[owner] if len(owner) else np.zeros(0, np.int64)
-    filled = np.array([len(x) > 0 for x in rows], bool)
-    clean = np.flatnonzero((mark == 0) & filled)
-    # The examples weigh little beside many marks; each is repeated to stay in sight.
-    fitted = _fitted(examples * 6 + [(rows[i], 0.0, 0.5) for i in clean[:2_000]], PASSES)
-    for _ in range(PICKINGS if len(texts) else 0):
-        scores = sentence_scores(found, *fitted)
-        training = examples * 6
-        # A sentence of an unmarked text that the model is sure of is taken for a reviewer's slip.
-        training += [(rows[i], 0.0, 1.0) for i in clean if scores[i] < 0.9]
-        for text in np.flatnonzero(np.array(marks) == 1):
-            own = [i for i in range(offsets[text], offsets[text + 1]) if filled[i]]
-            if not own:
-                continue
-            worst = max(own, key=lambda i: scores[i])
-            if scores[worst] < 0.1:
-                continue
-            training += [(rows[i], 1.0, 1.0) if i == worst or scores[i] >= 0.5 else (rows[i], 0.0, 0.5) for i in own if i == worst or scores[i] >= 0.5 or scores[i] < 0.1]
-        fitted = _fitted(training, PASSES)
-    return fitted
+    use = np.flatnonzero((weights > 0) & (np.diff(offsets) > 0))
+    for _ in range(PASSES):
+        order = rng.permutation(use)
+        for k in range(0, len(order), STEP):
+            rows = order[k : k + STEP]
+            n = offsets[rows + 1] - offsets[rows]
+            ends = np.cumsum(n)
+            flat = np.repeat(offsets[rows] - (ends - n), n) + np.arange(n.sum())
+            model.fit(at[flat], np.concatenate([[0], ends]), targets[rows], weights[rows])
+    w = model.weights()
+    return w[:-1].astype(np.float32), float(w[-1])
+
+
+def train(texts: list[str], marks: list[int]) -> tuple[np.ndarray, float, Words]:
+    """Weights, bias and words from marked texts (1 toxic, 0 not). Without a toxic mark no text scores above one half."""
+    array, marks = pa.array(texts, pa.large_string()), np.array(marks, np.int64)
+    plain = tokens.split_words(array)[0]
+    known = Words(Counter({v: n for v, n in zip(*(pc.value_counts(plain).field(k).to_pylist() for k in (0, 1)), strict=True)}))
+    found, by_text = sentences(array, known)
+    at, offsets = features(found)
+    text = np.repeat(np.arange(len(texts)), np.diff(by_text))
+    toxic = marks[text] == 1 if len(text) else np.zeros(0, bool)
+    targets = toxic.astype(float)
+    weights = np.where(toxic, 1 / np.maximum(np.diff(by_text), 1)[text], 1.0) if len(text) else np.zeros(0)
+    fold = np.random.default_rng(11).permutation(len(texts)) % FOLDS
+    for k in range(PICKINGS if (marks == 1).any() and (marks == 0).any() else 0):
+        scores = np.zeros(len(text))
+        for f in range(FOLDS):
+            held = fold[text] == f
+            model = fitted(at, offsets, targets, np.where(held, 0.0, weights))
+            scores[held] = _scored(at, offsets, *model)[held]
+        usual = worst(scores, by_text)[marks == 0]
+        least = np.quantile(usual, OUTDONE[min(k, 1)])
+        top = worst(scores, by_text)[text]
+        # A mark is explained by its document's worst sentence and by those about as bad.
+        picked = toxic & (scores > least) & (scores >= CLOSE * top)
+        targets = picked.astype(float)
+        # What else such a document holds is clean; where nothing is picked it is undecided. A sentence
+        # of a clean document that the model is sure of is taken for a reviewer's slip.
+        explained = np.bincount(text, picked, len(texts))[text] > 0
+        weights = np.where(picked, RARE, np.where(toxic, np.where(explained, 1.0, 0.0), np.where(scores > 0.9, 0.0, 1.0)))
+    return *fitted(at, offsets, targets, weights), known
 
 
 def _joined(jobs: DataFrame) -> DataFrame:
@@ -217,7 +236,7 @@ def _joined(jobs: DataFrame) -> DataFrame:
     return jobs.select("job_id", F.concat_ws("\n", F.regexp_replace("title", r"[\n\r]+", " "), "description").alias("text"))
 
 
-def trained(jobs: DataFrame, marks: DataFrame) -> tuple[np.ndarray, float]:
+def trained(jobs: DataFrame, marks: DataFrame) -> tuple[np.ndarray, float, Words]:
     """The model from up to MARKED marked jobs, by the least hash of the id; a job marked twice counts as toxic if any mark says so."""
     order = F.xxhash64("job_id")
     bounded = marks.where("toxic in (0, 1)").groupBy("job_id").agg(F.max("toxic").alias("toxic")).orderBy(order).limit(MARKED)
@@ -227,14 +246,19 @@ def trained(jobs: DataFrame, marks: DataFrame) -> tuple[np.ndarray, float]:
 
 def scores(jobs: DataFrame, marks: DataFrame) -> DataFrame:
     """(job_id, score) of every job, the score from 0 to 1; null and empty texts have 0, repeated rows are judged alike."""
-    shared = jobs.sparkSession.sparkContext.broadcast(trained(jobs, marks))
+    weights, bias, known = trained(jobs, marks)
+    used = np.flatnonzero(weights)
+    # Sparse: as many numbers as L1 leaves, bounded by the words of MARKED documents.
+    shared = jobs.sparkSession.sparkContext.broadcast((used, weights[used], bias, known))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias = shared.value
+        used, values, bias, known = shared.value
+        weights = np.zeros(1 << BITS, np.float32)
+        weights[used] = values
         for batch in batches:
             for at in range(0, batch.num_rows, CHUNK):
                 part = batch.slice(at, CHUNK)
-                yield pa.RecordBatch.from_arrays([part.column("job_id"), pa.array(document_scores(tokens.column(part, "text"), weights, bias))], names=["job_id", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("job_id"), pa.array(document_scores(tokens.column(part, "text"), weights, bias, known))], names=["job_id", "score"])
 
     return _joined(spread(jobs)).mapInArrow(judge, SCORED)
 

@@ -97,27 +97,56 @@ def test_main_bodies_keep_every_record(spark):
 
 
 def test_disguises_are_undone():
-    assert [toxicity.plain_word(w) for w in ("m0r0n$", "nuuude", "s**m", "2024", "plain")] == ["morons", "nude", "<masked>", "0", "plain"]
-    found, _ = toxicity.sentences(text("you p a t h e t i c i d i o t s here\nna​ked"))
-    assert found.to_pylist() == ["you pathetic idiots here", "naked"]
+    assert [toxicity.plain_word(w) for w in ("bl0ckh3ad$", "cluuunky", "d**t", "2024", "plain")] == ["blockheads", "clunky", "<masked>", "0", "plain"]
+    known = toxicity.Words(toxicity.Counter({"clumsy": 5, "clum": 2, "oafs": 3, "you": 9, "rare": 1}))
+    found, _ = toxicity.sentences(text("you c l u m s y o a f s here\nn​ice"), known)
+    assert found.to_pylist() == ["you clumsy oafs here", "nice"]
+    assert known.cut("z q v") == "zqv" and known.cut("y o u z q v") == "you zqv" and toxicity.Words(toxicity.Counter()).cut("a b") == "ab"
 
 
-def test_scores_without_marks_and_with():
-    weights, bias = toxicity.train([], [])
-    texts = text("Baker\nYou will bake bread. Do not waste our time, you pathetic vermin.", "Nurse\nOur policy on sexual harassment is explained on day one.", "", "You will write scripts that kill stuck jobs.")
-    s = toxicity.document_scores(texts, weights, bias)
-    assert s[0] > 0.5 and (s[1:] < 0.5).all() and s[2] == 0
-    more = toxicity.train(["Kind people zorgle blatt wanted"] * 20 + ["Kind people wanted"] * 20, [1] * 20 + [0] * 20)
-    assert toxicity.document_scores(text("zorgle blatt wanted"), *more)[0] > toxicity.document_scores(text("Kind people wanted"), *more)[0]
+def marked_documents(rng, n, slips=0.05):
+    """Documents of plain sentences, a quarter with one sentence of a rude kind; some marks are wrong."""
+    rude = ["only {} oafs work in this {}", "do not write to us you {} {} oafs", "we will kick you out of the {} {}", "nobody likes your {} face in the {}"]
+    texts, marks, truth = [], [], []
+    for _ in range(n):
+        body = [passage(rng, rng.randint(5, 12)) for _ in range(rng.randint(3, 8))]
+        toxic = rng.random() < 0.25
+        if toxic:
+            body.insert(rng.randrange(len(body)), rng.choice(rude).format(rng.choice(WORDS), rng.choice(WORDS)))
+        texts.append(". ".join(body) + ".")
+        truth.append(int(toxic))
+        marks.append(int(toxic) ^ (rng.random() < slips))
+    return texts, marks, truth
+
+
+def test_scores_follow_the_marks():
+    """Marks of whole documents, slips among them, lead to the sentences they are about."""
+    rng = random.Random(31)
+    texts, marks, _ = marked_documents(rng, 600)
+    model = toxicity.train(texts, marks)
+    fresh, _, truth = marked_documents(rng, 300)
+    found = toxicity.document_scores(text(*fresh), *model) >= toxicity.THRESHOLD
+    assert (found == np.array(truth, bool)).mean() > 0.97
+    s = toxicity.document_scores(text("", "Kind people wanted. You will bake bread."), *model)
+    assert s[0] == 0 and s[1] < toxicity.THRESHOLD
+
+
+@pytest.mark.parametrize("marks", [[], [0, 0, 0], [1, 1, 1]])
+def test_without_both_kinds_of_marks(marks):
+    model = toxicity.train(["Bake bread. Sell bread.", "", "Nights are free."][: len(marks)], marks)
+    assert np.isfinite(toxicity.document_scores(text("Bake bread.", ""), *model)).all()
+    if 1 not in marks:
+        assert (toxicity.document_scores(text("Bake bread.", ""), *model) < toxicity.THRESHOLD).all()
 
 
 def test_held_out_marks(spark, data):
     t = lambda n: spark.read.parquet(f"{data}/sf0.1/{n}.parquet")
     rows = toxicity._joined(t("extracted_jobs")).join(t("labels"), "job_id").orderBy("job_id").collect()
-    train, test = rows[::2], rows[1::2]
+    train, test = [r for k, r in enumerate(rows) if k % 4], rows[::4]
     s = toxicity.document_scores(text(*(r.text for r in test)), *toxicity.train([r.text for r in train], [r.toxic for r in train]))
-    right = np.mean([(x >= toxicity.THRESHOLD) == bool(r.toxic) for x, r in zip(s, test)])
-    assert right > 0.95
+    found, toxic = s >= toxicity.THRESHOLD, np.array([r.toxic for r in test], bool)
+    # Slips count as errors here.
+    assert (found == toxic).mean() > 0.9 and (found & toxic).sum() >= 0.95 * found.sum() and (found & toxic).sum() >= 0.6 * toxic.sum()
 
 
 # ---- 4: near-duplicates
