@@ -142,9 +142,9 @@ def _keyed(units: DataFrame) -> DataFrame:
 
 
 def _alike(a: str, b: str, least: float):
-    """Whether two texts are so similar by edits."""
-    longer = F.greatest(F.length(a), F.length(b))
-    return F.levenshtein(F.col(a), F.col(b)) <= (1 - least) * longer
+    """Whether two texts are so similar by edits; the distance is not followed beyond what is allowed, which gives -1."""
+    edits = f"cast(floor({1 - least:.6f} * greatest(length({a}), length({b}))) AS int)"
+    return F.expr(f"levenshtein({a}, {b}, {edits}) >= 0")
 
 
 def seeds(spark: SparkSession) -> DataFrame:
