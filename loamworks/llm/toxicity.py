@@ -34,7 +34,7 @@ CLOSE = 0.8
 #: Weight of a picked sentence beside a clean one: abuse is rare.
 RARE = 4.0
 #: Hashed features; FTRL's rates and penalties; sentences of a step.
-BITS = 22
+BITS = 20
 ALPHA, BETA, L1, L2, STEP = 0.3, 1.0, 0.5, 1.0, 32
 #: Score from which a document counts as toxic.
 THRESHOLD = 0.6
@@ -115,25 +115,29 @@ def sentences(texts: pa.Array, known: Words | None = None) -> tuple[pa.Array, np
     return found, offsets
 
 
-def features(found: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hashed features, offsets by sentence): words, neighbouring pairs, and pairs one word apart; each once a sentence."""
+def hashed_features(found: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
+    """``(sentence of each, hashed features, sentences)``: words, neighbouring pairs, and pairs one word apart."""
     words, offsets = tokens.split_words(found, _KEPT)
     codes, vocabulary = tokens.coded(words)
-    n = len(codes)
-    if not n:
-        return np.zeros(0, np.int64), offsets
+    sentences_ = len(offsets) - 1
+    if not len(codes):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), sentences_
     h = np.array([xxhash.xxh3_64_intdigest(plain_word(w)) for w in vocabulary], np.uint64)[codes]
-    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    owner = np.repeat(np.arange(sentences_), np.diff(offsets))
     parts, owners = [h], [owner]
     for gap, factor in ((1, 0x9E3779B97F4A7C15), (2, 0xC2B2AE3D27D4EB4F)):
         same = owner[gap:] == owner[:-gap]
         with np.errstate(over="ignore"):
             parts.append((h[:-gap] * np.uint64(factor) + h[gap:])[same])
         owners.append(owner[gap:][same])
-    hashed = (tokens.mix(np.concatenate(parts)) >> np.uint64(64 - BITS)).astype(np.int64)
-    distinct = np.unique(np.concatenate(owners) << BITS | hashed)
-    counts = np.bincount(distinct >> BITS, minlength=len(offsets) - 1)
-    return distinct & ((1 << BITS) - 1), np.concatenate([[0], np.cumsum(counts)])
+    return np.concatenate(owners), (tokens.mix(np.concatenate(parts)) >> np.uint64(64 - BITS)).astype(np.int64), sentences_
+
+
+def features(found: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashed features, offsets by sentence), each feature once a sentence."""
+    owner, at, n = hashed_features(found)
+    distinct = np.unique(owner << BITS | at)
+    return distinct & ((1 << BITS) - 1), np.concatenate([[0], np.cumsum(np.bincount(distinct >> BITS, minlength=n))])
 
 
 class Ftrl:
@@ -163,7 +167,12 @@ class Ftrl:
 
 
 def sentence_scores(found: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:
-    return _scored(*features(found), weights, bias)
+    """The score of each sentence; one without a word has 0. Only features with a weight, which are few, are told apart."""
+    owner, at, n = hashed_features(found)
+    own = np.flatnonzero(weights[at])
+    distinct = np.unique(owner[own] << BITS | at[own])
+    total = np.bincount(distinct >> BITS, weights[distinct & ((1 << BITS) - 1)], n)
+    return 1 / (1 + np.exp(-np.clip(total + bias, -30, 30))) * (np.bincount(owner, minlength=n) > 0)
 
 
 def _scored(at: np.ndarray, offsets: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
