@@ -1,8 +1,10 @@
 """Near-duplicate texts: minima of many universal hashes, banding, signature verification, components.
 
-Exact copies of a main body collapse first, so a hot group of copies costs one
-row each. Signatures are of all shingles of a text, so they depend on the text
-alone, not on the rest of the corpus or on batches.
+Each text is read once: its main body gives two hashes of the whole, by which
+exact copies collapse, so a hot group of copies costs one row each, and the
+signature, which is of all shingles and depends on the text alone. Signatures are
+kept in few bits: 16 of each banded minimum, from which the bands are cut, and 4 of
+each minimum for verification, as that is what shuffles.
 """
 
 from collections.abc import Iterator
@@ -12,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import cut_lineage, spread
+from ..runtime import broadcast_if_small, cut_lineage, spread
 from . import boilerplate, components, tokens
 
 #: Words of a shingle.
@@ -24,16 +26,17 @@ SIMILARITY = 0.3
 #: Texts of a bucket up to which its pairs are listed; a larger one is compared whole, in pairs of blocks of so many texts.
 LISTED, BLOCK = 32, 256
 CHUNK = 2_000
-SIGNATURE_BYTES = BANDS * ROWS + MINIMA
+BANDED = BANDS * ROWS
+SKETCH = "id long, a long, b long, banded binary, signature binary"
 
 _rng = np.random.default_rng(20_011)
 FACTORS = (_rng.integers(0, 1 << 31, MINIMA, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 ADDENDS = _rng.integers(0, 1 << 32, MINIMA, dtype=np.uint32)
 
 
-def body_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(word hashes, their offsets) of the main body of each text."""
-    words, offsets = tokens.split_words(tokens.unescaped(boilerplate.bodies(texts)))
+def body_words(texts: pa.Array, classifier: boilerplate.Classifier | None) -> tuple[np.ndarray, np.ndarray]:
+    """(word hashes, their offsets) of the main body of each text, or of all of it without a classifier."""
+    words, offsets = tokens.split_words(tokens.unescaped(boilerplate.bodies(texts, classifier) if classifier else texts))
     return tokens.hashed(words), offsets
 
 
@@ -48,17 +51,15 @@ def sequence_hashes(hashes: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]
     return exact
 
 
-def signatures(found: np.ndarray, starts: np.ndarray, left_out: np.ndarray | None = None) -> np.ndarray:
-    """MINIMA hash minima of each text's shingles, besides those of ``left_out``."""
-    keep = np.ones(len(found), bool) if left_out is None else ~np.isin(found, left_out)
-    left = (found[keep] >> np.uint64(32)).astype(np.uint32)
-    counts = tokens.segment_sum(keep.astype(np.float64), starts).astype(np.int64)
-    has = counts > 0
-    first = (np.cumsum(counts) - counts)[has]
+def signatures(found: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """MINIMA hash minima of each text's shingles."""
+    short = (found >> np.uint64(32)).astype(np.uint32)
+    has = np.diff(starts) > 0
     out = np.full((len(starts) - 1, MINIMA), 0xFFFFFFFF, np.uint32)
     if has.any():
+        first = starts[:-1][has]
         for k in range(MINIMA):
-            out[has, k] = np.minimum.reduceat(left * FACTORS[k] + ADDENDS[k], first)
+            out[has, k] = np.minimum.reduceat(short * FACTORS[k] + ADDENDS[k], first)
     return out
 
 
@@ -70,63 +71,61 @@ def band_keys(minima: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _hashed(texts: DataFrame) -> DataFrame:
-    """(id, a, b): two hashes of the main body of each text."""
+def _binary(data: np.ndarray) -> pa.Array:
+    """The rows of an array of bytes as binary values."""
+    offsets = np.arange(len(data) + 1, dtype=np.int32) * data.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data).tobytes())])
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h1, h2 = sequence_hashes(*body_words(tokens.column(batch, "text")))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(h1), pa.array(h2)], names=["id", "a", "b"])
 
-    return texts.mapInArrow(sums, "id long, a long, b long")
+def _bytes(column: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
 
 
-def packed(minima: np.ndarray) -> pa.Array:
-    """Signatures as bytes: 16 bits of each banded minimum, 8 of each other one."""
-    banded = (minima[:, : BANDS * ROWS] & np.uint32(0xFFFF)).astype("<u2").view(np.uint8)
-    rest = (minima[:, BANDS * ROWS :] & np.uint32(0xFF)).astype(np.uint8)
-    data = np.concatenate([banded, rest], axis=1)
-    offsets = np.arange(len(data) + 1, dtype=np.int32) * SIGNATURE_BYTES
-    return pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(offsets), pa.py_buffer(data.tobytes())])
+def banded(minima: np.ndarray) -> pa.Array:
+    """The low 16 bits of each banded minimum."""
+    return _binary((minima[:, :BANDED] & np.uint32(0xFFFF)).astype("<u2").view(np.uint8))
 
 
-def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The banded and the other minima of packed signatures."""
-    data = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SIGNATURE_BYTES)
-    cut = 2 * BANDS * ROWS
-    return np.ascontiguousarray(data[:, :cut]).view("<u2"), data[:, cut:]
+def packed(minima: np.ndarray) -> pa.Array:
+    """Signatures as bytes: the low 4 bits of each minimum, two to a byte."""
+    low = (minima & np.uint32(15)).astype(np.uint8)
+    return _binary(low[:, 0::2] | low[:, 1::2] << np.uint8(4))
 
 
-def _sketched(texts: DataFrame) -> DataFrame:
-    """(id, signature) of each text."""
+def _sketched(texts: DataFrame, classifier: boilerplate.Classifier | None) -> DataFrame:
+    """(id, a, b, banded, signature) of each text with a word: two hashes of its body, and its minima."""
+    shared = texts.sparkSession.sparkContext.broadcast(classifier)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, CHUNK):
                 part = batch.slice(at, CHUNK)
-                found, starts = tokens.shingles(*body_words(tokens.column(part, "text")), SHINGLE)
-                yield pa.RecordBatch.from_arrays([part.column("id"), packed(signatures(found, starts))], names=["id", "signature"])
+                words, offsets = body_words(tokens.column(part, "text"), shared.value)
+                a, b = sequence_hashes(words, offsets)
+                minima = signatures(*tokens.shingles(words, offsets, SHINGLE))
+                out = pa.RecordBatch.from_arrays([part.column("id"), pa.array(a), pa.array(b), banded(minima), packed(minima)], names=["id", "a", "b", "banded", "signature"])
+                yield out.filter(pa.array(np.diff(offsets) > 0))
 
-    return texts.mapInArrow(sketch, "id long, signature binary")
+    return texts.mapInArrow(sketch, SKETCH)
 
 
-def _banded(sketched: DataFrame) -> DataFrame:
+def _keyed(sketched: DataFrame) -> DataFrame:
     """(id, key) for each band of each text."""
 
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = band_keys(unpacked(batch.column("signature"))[0]) if batch.num_rows else np.zeros((0, BANDS), np.int64)
+            keys = band_keys(np.ascontiguousarray(_bytes(batch.column("banded"), 2 * BANDED)).view("<u2"))
             ids = np.repeat(batch.column("id").to_numpy(zero_copy_only=False), BANDS)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys.ravel())], names=["id", "key"])
 
-    return sketched.mapInArrow(band, "id long, key long")
+    return sketched.select("id", "banded").mapInArrow(band, "id long, key long")
 
 
-def _similarity(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Similarity of signatures, given as banded minima (a, b) and other ones (x, y), along the last axis."""
-    # Unlike minima agree in 8 bits once in 256 times.
-    chance = ((x == y).mean(axis=-1) * 256 - 1) / 255
-    return ((a == b).sum(axis=-1) + chance * x.shape[-1]) / MINIMA
+def _similarity(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Similarity of packed signatures along the last axis; unlike minima agree in 4 bits once in 16 times."""
+    differ = x ^ y
+    same = ((differ & 15) == 0).sum(axis=-1) + ((differ >> 4) == 0).sum(axis=-1)
+    return (same / MINIMA * 16 - 1) / 15
 
 
 def _agree(pairs: DataFrame) -> DataFrame:
@@ -134,8 +133,7 @@ def _agree(pairs: DataFrame) -> DataFrame:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            (a, x), (b, y) = (unpacked(batch.column(c)) for c in ("sa", "sb"))
-            alike = _similarity(a, b, x, y)
+            alike = _similarity(*(_bytes(batch.column(c), MINIMA // 2) for c in ("sa", "sb")))
             keep = pa.array(alike >= SIMILARITY)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(alike).filter(keep)], names=["a", "b", "similarity"])
 
@@ -147,12 +145,12 @@ def _agree_in_blocks(members: DataFrame) -> DataFrame:
 
     def verify(rows: pa.Table) -> pa.Table:
         ids, block = (rows.column(c).to_numpy() for c in ("id", "block"))
-        banded, rest = unpacked(rows.column("signature"))
+        signs = _bytes(rows.column("signature"), MINIMA // 2)
         low, high = (np.flatnonzero(block == f(block)) for f in (np.min, np.max))
         one = rows.column("one")[0].as_py() == rows.column("other")[0].as_py()
         found = []
         for i in low:
-            alike = _similarity(banded[i], banded[high], rest[i], rest[high])
+            alike = _similarity(signs[i], signs[high])
             near = np.flatnonzero((alike >= SIMILARITY) & ((ids[high] > ids[i]) if one else True))
             a, b = np.full(len(near), ids[i]), ids[high][near]
             found.append((np.minimum(a, b), np.maximum(a, b), alike[near]))
@@ -163,14 +161,16 @@ def _agree_in_blocks(members: DataFrame) -> DataFrame:
     return paired.groupBy("key", "one", "other").applyInArrow(verify, "a long, b long, similarity double")
 
 
-def links(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def links(texts: DataFrame, classifier: boilerplate.Classifier | None = None) -> tuple[DataFrame, DataFrame]:
     """``(copies, links)`` of texts (id, text): (id, representative) of exact copies, and verified (a, b, similarity) of representatives."""
-    rows = cut_lineage(_hashed(spread(texts)))
+    rows = cut_lineage(_sketched(spread(texts), classifier))
     least = rows.groupBy("a", "b").agg(F.min("id").alias("representative"))
-    copies = cut_lineage(rows.join(least, ["a", "b"]).select("id", "representative"))
-    own = copies.where("id = representative").select("id")
-    sketched = cut_lineage(_sketched(texts.join(own, "id", "left_semi")))
-    banded = _banded(sketched)
+    copies = cut_lineage(rows.select("id", "a", "b").join(least, ["a", "b"]).select("id", "representative"))
+    # Copies are mostly few, so they are sent rather than all signatures shuffled, if their number allows.
+    repeated = copies.where("id <> representative").select("id")
+    own = rows.join(broadcast_if_small(repeated, repeated.count(), 16), "id", "left_anti")
+    sketched = own.select("id", "signature")
+    banded = _keyed(own)
     # Every pair of a bucket is compared: pairs of small ones are listed once over all buckets, large ones go by blocks.
     # The two readings of the buckets share one exchange; writing them down instead would cost half the input of disk.
     bucket = Window.partitionBy("key")
@@ -185,12 +185,12 @@ def links(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return copies, _agree(both).union(_agree_in_blocks(large.join(sketched, "id"))).dropDuplicates(["a", "b"])
 
 
-def classes(texts: DataFrame) -> DataFrame:
+def classes(texts: DataFrame, classifier: boilerplate.Classifier | None = None) -> DataFrame:
     """(id, class_id, links) of texts (id, text) in a class of at least two: the least id of the class, and the row's links to other texts.
 
     Ids must be unique. Null and empty bodies belong to no class.
     """
-    copies, verified = links(texts.where("text is not null"))
+    copies, verified = links(texts.where("text is not null"), classifier)
     verified = cut_lineage(verified)
     joined = components.components(verified.select("a", "b"))
     degree = verified.select(F.explode(F.array("a", "b")).alias("representative")).groupBy("representative").agg(F.count("*").alias("links"))

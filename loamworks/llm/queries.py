@@ -28,14 +28,18 @@ def _page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.records(*(table(spark, sf_dir, t) for t in ("extracted_jobs", "gold_holdout_snapshots", "snapshot_files")))
 
 
+def _classifier(spark: SparkSession, sf_dir: str, **bounds: int) -> boilerplate.Classifier:
+    return boilerplate.trained(table(spark, sf_dir, "extracted_jobs"), table(spark, sf_dir, "snapshot_files"), **bounds)
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with visible text outside the main body."""
-    return boilerplate.boilerplate_lines(_page_texts(spark, sf_dir))
+    return boilerplate.boilerplate_lines(_page_texts(spark, sf_dir), _classifier(spark, sf_dir))
 
 
 def p2_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each job and page with its main body."""
-    return boilerplate.main_bodies(_page_texts(spark, sf_dir))
+    return boilerplate.main_bodies(_page_texts(spark, sf_dir), _classifier(spark, sf_dir))
 
 
 def _toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +61,9 @@ def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each job whose vacancy was published more than once, with its group and its links."""
-    found = neardup.classes(neardup.long_enough(table(spark, sf_dir, "extracted_jobs")))
+    # Signatures bear with a wrong line here and there, so a smaller sample trains the line classifier.
+    classifier = _classifier(spark, sf_dir, pages=1_000, texts=1_000)
+    found = neardup.classes(neardup.long_enough(table(spark, sf_dir, "extracted_jobs")), classifier)
     return found.select(F.col("id").alias("job_id"), "class_id", "class_size", "links")
 
 

@@ -23,19 +23,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import spread
-from . import tokens
+from . import ftrl, tokens
 
-#: Bound of the training sample (marked documents), rounds of sentence picking, passes of a round, folds of the documents.
-MARKED, PICKINGS, PASSES, FOLDS = 6_000, 3, 3, 3
+#: Bound of the training sample (marked documents), rounds of sentence picking, folds of the documents.
+MARKED, PICKINGS, FOLDS = 6_000, 3, 3
 #: Share of the clean documents whose worst sentence a picked sentence must outdo, in the first round and later.
 OUTDONE = (0.9, 0.98)
 #: Share of the worst sentence's score from which another sentence of its document bears the mark as well.
 CLOSE = 0.8
 #: Weight of a picked sentence beside a clean one: abuse is rare.
 RARE = 4.0
-#: Hashed features; FTRL's rates and penalties; sentences of a step.
+#: Hashed features.
 BITS = 20
-ALPHA, BETA, L1, L2, STEP = 0.3, 1.0, 0.5, 1.0, 32
 #: Score from which a document counts as toxic.
 THRESHOLD = 0.6
 CHUNK = 2_000
@@ -140,32 +139,6 @@ def features(found: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return distinct & ((1 << BITS) - 1), np.concatenate([[0], np.cumsum(np.bincount(distinct >> BITS, minlength=n))])
 
 
-class Ftrl:
-    """FTRL-proximal with rates by coordinate, in steps of STEP sentences."""
-
-    def __init__(self) -> None:
-        self.z, self.n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
-
-    def weights(self, at: np.ndarray | slice = slice(None)) -> np.ndarray:
-        """The weights; the last one is the bias, which L1 spares."""
-        z, n = self.z[at], self.n[at]
-        l1 = np.where((np.arange(1 << BITS | 1) if isinstance(at, slice) else at) == 1 << BITS, 0.0, L1)
-        return np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2))
-
-    def fit(self, at: np.ndarray, offsets: np.ndarray, targets: np.ndarray, weights: np.ndarray) -> None:
-        """One step of sentences, given as the features of all and where those of each start."""
-        own = np.repeat(np.arange(len(targets)), np.diff(offsets))
-        at, own = np.concatenate([at, np.full(len(targets), 1 << BITS)]), np.concatenate([own, np.arange(len(targets))])
-        distinct, place = np.unique(at, return_inverse=True)
-        w = self.weights(distinct)
-        margin = np.bincount(own, w[place], len(targets))
-        g = ((1 / (1 + np.exp(-np.clip(margin, -30, 30))) - targets) * weights)[own]
-        total, square = np.bincount(place, g), np.bincount(place, g * g)
-        rate = (np.sqrt(self.n[distinct] + square) - np.sqrt(self.n[distinct])) / ALPHA
-        self.z[distinct] += total - rate * w
-        self.n[distinct] += square
-
-
 def sentence_scores(found: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:
     """The score of each sentence; one without a word has 0. Only features with a weight, which are few, are told apart."""
     owner, at, n = hashed_features(found)
@@ -193,22 +166,6 @@ def document_scores(texts: pa.Array, weights: np.ndarray, bias: float, known: Wo
     return worst(sentence_scores(found, weights, bias), offsets)
 
 
-def fitted(at: np.ndarray, offsets: np.ndarray, targets: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights and bias from sentences with targets; those of weight 0 are left out."""
-    model, rng = Ftrl(), np.random.default_rng(7)
-    use = np.flatnonzero((weights > 0) & (np.diff(offsets) > 0))
-    for _ in range(PASSES):
-        order = rng.permutation(use)
-        for k in range(0, len(order), STEP):
-            rows = order[k : k + STEP]
-            n = offsets[rows + 1] - offsets[rows]
-            ends = np.cumsum(n)
-            flat = np.repeat(offsets[rows] - (ends - n), n) + np.arange(n.sum())
-            model.fit(at[flat], np.concatenate([[0], ends]), targets[rows], weights[rows])
-    w = model.weights()
-    return w[:-1].astype(np.float32), float(w[-1])
-
-
 def train(texts: list[str], marks: list[int]) -> tuple[np.ndarray, float, Words]:
     """Weights, bias and words from marked texts (1 toxic, 0 not). Without a toxic mark no text scores above one half."""
     array, marks = pa.array(texts, pa.large_string()), np.array(marks, np.int64)
@@ -225,7 +182,7 @@ def train(texts: list[str], marks: list[int]) -> tuple[np.ndarray, float, Words]
         scores = np.zeros(len(text))
         for f in range(FOLDS):
             held = fold[text] == f
-            model = fitted(at, offsets, targets, np.where(held, 0.0, weights))
+            model = ftrl.fitted(at, offsets, targets, np.where(held, 0.0, weights), BITS)
             scores[held] = _scored(at, offsets, *model)[held]
         usual = worst(scores, by_text)[marks == 0]
         least = np.quantile(usual, OUTDONE[min(k, 1)])
@@ -237,7 +194,7 @@ def train(texts: list[str], marks: list[int]) -> tuple[np.ndarray, float, Words]
         # of a clean document that the model is sure of is taken for a reviewer's slip.
         explained = np.bincount(text, picked, len(texts))[text] > 0
         weights = np.where(picked, RARE, np.where(toxic, np.where(explained, 1.0, 0.0), np.where(scores > 0.9, 0.0, 1.0)))
-    return *fitted(at, offsets, targets, weights), known
+    return *ftrl.fitted(at, offsets, targets, weights, BITS), known
 
 
 def _joined(jobs: DataFrame) -> DataFrame:

@@ -78,19 +78,58 @@ def test_minimum_cut_has_the_least_cost():
         assert cost == brute_cut(prefer, edges)
 
 
-def test_lines_outside_the_body():
-    job = "Home | Jobs | About us\nYou will bake bread for three cafes every day.\n\nFull time · Permanent · Start in March\nLegal terms and copyright clearance are part of your work.\nShare this job: Email\n© 2024 A Ltd"
-    lines, marked = boilerplate.label_texts(text(job, "", "Blog", "plain words only"))
-    assert marked == [[1, 6, 7], [], [1], []]
-    page = '<html><head><title>x</title>\n</head><body>\n<div>\n<h1>Baker</h1>\n<p>You will bake bread for three cafes each day.</p>\n<p>You will clean the ovens every second day.</p>\n</div>\n<aside>\n<li>Cook – Mount Lee</li>\n<li>Blog</li>\n</aside>\n<script>var a;</script>'
-    assert boilerplate.label_pages([page, ""])[1] == [[9, 10], []]
+def marked_up(rng, n):
+    """Pages whose markup tells navigation from bodies, with menus and notices of invented words."""
+    menu = ["Our journey", "Meet the founders", "Gift cards", "Trade portal", "Find a shop", "Press room"]
+    notice = ["Tap here to hand in your letter", "We place small text files on your computer to {}. Fine by me", "{} Holdings runs this portal, all rights held", "More of our openings: {}, {}"]
+    pages = []
+    for _ in range(n):
+        rows = ["<html><body>", "<nav>"] + [f"<li>{x}</li>" for x in rng.sample(menu, 4)] + ["</nav>", "<article>", f"<h1>{passage(rng, 2)}</h1>"]
+        rows += [f"<p>You will {passage(rng, rng.randint(6, 14))} each day.</p>" for _ in range(rng.randint(3, 6))]
+        rows += ["</article>", "<footer>"] + [f"<p>{x.format(rng.choice(WORDS), rng.choice(WORDS))}</p>" for x in rng.sample(notice, 3)] + ["</footer>", "</body></html>"]
+        pages.append("\n".join(rows))
+    return pages
+
+
+@pytest.fixture(scope="module")
+def line_classifier():
+    rng = random.Random(41)
+    texts = [f"You will {passage(rng, 9)} each day.\nYou will {passage(rng, 8)} each day.\nGift cards" for _ in range(60)]
+    return boilerplate.train(marked_up(rng, 120), texts)
+
+
+def test_markup_teaches_lines_without_markup(line_classifier):
+    """Menus, cookie texts and footers of no list, in plain texts and in containers that say nothing."""
+    job = "Our journey | Trade portal | Press room\nYou will bake bread for three cafes each day.\n\nYou will place small cakes on the shelf each day.\nTap here to hand in your letter\nWe place small text files on your computer to count visits. Fine by me\nBaran Holdings runs this portal, all rights held"
+    lines, marked = boilerplate.label_texts(text(job, "", "Gift cards", "You will sell bread each day."), line_classifier)
+    assert marked == [[1, 5, 6, 7], [], [1], []] and [len(x) for x in lines] == [7, 1, 1, 1]
+    page = "<html><head><title>x</title>\n</head><body>\n<div>\n<h1>Baker</h1>\n<p>You will bake bread for three cafes each day.</p>\n<p>You will clean the ovens every second day.</p>\n</div>\n<div>\n<li>Find a shop</li>\n<li>Meet the founders</li>\n</div>\n<script>var a;</script>"
+    assert boilerplate.label_pages([page, ""], line_classifier)[1] == [[9, 10], []]
+
+
+def test_edges_decide_doubtful_lines():
+    """A line the classifier is not sure of goes with its neighbours, in texts and in containers; a sure one does not."""
+
+    class Told(boilerplate.Classifier):
+        def preferences(self, lines):
+            return np.array([{"menu": 500, "body": -500}.get(x, int(x) if x.lstrip("-").isdigit() else 0) for x in lines.to_pylist()])
+
+    label = lambda *lines: boilerplate.label_texts(text("\n".join(lines)), Told())[1][0]
+    assert label("body", "50", "body") == [] and label("menu", "50", "menu") == [1, 2, 3] == label("menu", "-50", "menu") and label("body", "400", "body") == [2]
+    assert boilerplate.label_pages(["<div>\nmenu\n-50\n50\nmenu\n</div>\n<div>\n50\nbody\n</div>"], Told())[1] == [[2, 3, 4, 5]]
+
+
+def test_without_telling_markup_all_is_body():
+    nothing = boilerplate.train(["<div>Gift cards</div>"], ["Gift cards", ""])
+    assert boilerplate.label_texts(text("Gift cards"), nothing)[1] == [[]] and boilerplate.train([], []).weights is None
+    assert boilerplate.label_pages(["<nav>\n<li>Gift cards</li>\n</nav>", ""], nothing)[1] in ([[2], []], [[], []])
 
 
-def test_main_bodies_keep_every_record(spark):
-    rows = spark.createDataFrame([("job", "1", "Blog\nYou will bake bread for three cafes."), ("job", "2", None), ("snapshot", "p", "<p>Blog</p>")], "rec_kind string, rec_key string, text string")
-    out = {r.rec_key: (r.body, r.n_boilerplate) for r in boilerplate.main_bodies(rows).collect()}
-    assert out == {"1": ("You will bake bread for three cafes.", 1), "2": ("", 0), "p": ("", 1)}
-    assert boilerplate.boilerplate_lines(rows.limit(0)).count() == 0
+def test_main_bodies_keep_every_record(spark, line_classifier):
+    rows = spark.createDataFrame([("job", "1", "Gift cards\nYou will bake bread for three cafes each day."), ("job", "2", None), ("snapshot", "p", "<p>Gift cards</p>")], "rec_kind string, rec_key string, text string")
+    out = {r.rec_key: (r.body, r.n_boilerplate) for r in boilerplate.main_bodies(rows, line_classifier).collect()}
+    assert out == {"1": ("You will bake bread for three cafes each day.", 1), "2": ("", 0), "p": ("", 1)}
+    assert boilerplate.boilerplate_lines(rows.limit(0), line_classifier).count() == 0
 
 
 # ---- 3: toxicity
@@ -212,8 +251,10 @@ def test_signatures_estimate_jaccard():
     rng = np.random.default_rng(2)
     pool = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
     a, b = pool[:2000], pool[1000:]
-    sig = neardup.signatures(np.concatenate([a, b]), np.array([0, 2000, 4000]), np.zeros(0, np.uint64))
+    sig = neardup.signatures(np.concatenate([a, b]), np.array([0, 2000, 4000]))
     assert abs((sig[0] == sig[1]).mean() - 1000 / 3000) < 0.12
+    x, y = (np.frombuffer(s, np.uint8) for s in neardup.packed(sig).to_pylist())
+    assert abs(neardup._similarity(x, y) - (sig[0] == sig[1]).mean()) < 0.08
 
 
 # ---- 5: places
