@@ -372,10 +372,43 @@ def test_simhash_is_near_for_near_texts():
 # ---- 7: names
 
 
+def named_firms(rng, trades, firms=260):
+    """Rows (id, company, country) of invented firms with one or two trade words each, typed in several ways, and the firm of each row."""
+    rows, firm_of = [], {}
+    shorts = {t: t[0] + "".join(c for c in t[1:] if c not in "aeiou")[:3] for t in trades[:3]}
+    for f in range(firms):
+        core = "".join(rng.choice("bdfgjklmnprtvwz") + rng.choice("aeiou") for _ in range(4)) + rng.choice("bdfgjklm")
+        own, country = rng.sample(trades, rng.choice([1, 1, 2])), rng.choice(["ID", "Singapore"])
+        for _ in range(rng.choice([1, 3, 5])):
+            at = rng.randrange(1, len(core) - 1)
+            slip = core[:at] + core[at + 1] + core[at] + core[at + 2 :] if rng.random() < 0.2 else core
+            words = [slip.title(), *(shorts[t] if t in shorts and rng.random() < 0.3 else t for t in own)]
+            rng.shuffle(words)
+            firm_of[len(rows)] = f
+            rows.append((len(rows), rng.choice(["{}", "PT {}", "{}, Ltd."]).format(" ".join(words)), country))
+    return rows, firm_of
+
+
+@pytest.mark.parametrize("trades", [["trading", "engineering", "retail", "marine", "holdings", "plastik"], ["zorvaning", "blimpering", "quaxting", "froldors", "gumpetal", "wexomine"]])
+def test_describing_words_are_learnt(spark, trades):
+    """The same firms are linked whatever the trade words are, which no list knows."""
+    rows, firm_of = named_firms(random.Random(51), trades)
+    frame = spark.createDataFrame(rows, "id long, company string, country string")
+    words = names.learnt(names.worded(frame)).words
+    assert set(trades) <= set(words) and all(v in trades for v in words.values())
+    members = {}
+    for i, f in firm_of.items():
+        members.setdefault(f, []).append(i)
+    out = {r.id: r.firm for r in names.firms(frame).collect()}
+    right = sum(out[i] == min(m) for m in members.values() for i in m)
+    assert right > 0.97 * len(rows) and len(set(out.values())) >= 0.97 * len(members)
+
+
 def test_name_parts():
-    assert names.parse("PT. Geho-coce Tekstil Perkasa (GTP) Tbk", "indonesia ") == ("id", "perkasa tekstil", "gehococe")
-    assert names.parse("GOGAMEFE TRDG PTE LTD", "SG") == ("sg", "trading", "gogamefe")
-    assert names.parse(None, None)[2] == ""
+    known = names.Describing({"tekstil": "tekstil", "perkasa": "perkasa", "trading": "trading", "trdg": "trading"})
+    assert known.parts(names.name_words("PT. Geho-coce Tekstil Perkasa (GTP) Tbk")) == ("perkasa tekstil", "gehococe")
+    assert known.parts(names.name_words("GOGAMEFE TRDG PTE LTD")) == ("trading", "gogamefe") and known.parts(names.name_words("Perkassa Gogamefe")) == ("perkasa", "gogamefe")
+    assert known.parts(["trading"]) == ("", "trading") and names.name_words(None) == [] and names._country(" indonesia ") == "id"
 
 
 def test_damerau_is_a_metric():
@@ -386,22 +419,38 @@ def test_damerau_is_a_metric():
     assert names.damerau("ab", "ba") == 1 and names.damerau("abc", "") == 3
 
 
+def test_distances_of_many_pairs_at_once():
+    rng = random.Random(7)
+    pairs = [("".join(rng.choice("abcé") for _ in range(rng.randint(0, 7))), "".join(rng.choice("abcé") for _ in range(rng.randint(0, 7)))) for _ in range(400)]
+    letters, length, codes = names.coded([x for pair in pairs for x in pair])
+    found = names.damerau_pairs(letters[::2], length[::2], letters[1::2], length[1::2], codes)
+    assert found.tolist() == [names.damerau(a, b) for a, b in pairs]
+
+
+TRADES = ["Engineering", "Trading", "Retail", "Marine", "Barat"]
+
+
 def test_firms(spark):
-    rows = [(1, "Fetovati Engineering Pte Ltd", "SG"), (2, "fetovati eng.", "Singapore"), (3, "Fetovvati Engineering", "SG"), (4, "Fetovati", "SG"), (5, "Fetovati Engineering", "ID"), (6, "Fetovati Engineering Barat", "SG"), (7, "Engineering Fetovati", "SG"), (8, None, "SG"), (9, "Solo", "TH"), (10, "solo", "Thailand")]
+    rows = [(1, "Fetovati Engineering Pte Ltd", "SG"), (2, "fetovati enginering.", "Singapore"), (3, "Fetovvati Engineering", "SG"), (4, "Fetovati", "SG"), (5, "Fetovati Engineering", "ID"), (6, "Fetovati Engineering Barat", "SG"), (7, "Engineering Fetovati", "SG"), (8, None, "SG"), (9, "Solo", "TH"), (10, "solo", "Thailand"), (11, " ", None)]
+    # Other firms, from which the trade words are learnt.
+    rows += [(100 + k, f"{a}{b}{c} {TRADES[k % 5]}", "MY") for k, (a, b, c) in enumerate(itertools.product(("ba", "ke", "li", "mo"), ("ran", "tes", "vil", "zon"), ("akup", "emod", "ipaf", "ulit")))]
     out = {r.id: r.firm for r in names.firms(spark.createDataFrame(rows, "id long, company string, country string")).collect()}
-    assert {out[k] for k in (1, 2, 3, 7)} == {1} and out[5] == 5 and out[6] == 6 and out[9] == out[10] == 9 and 8 not in out
+    assert {out[k] for k in (1, 2, 3, 7)} == {1} and out[5] == 5 and out[6] == 6 and out[9] == out[10] == 9 and 8 not in out and 11 not in out
     # The short form could be either firm of its country.
     assert out[4] == 4
+    assert names.firms(spark.createDataFrame([], "id long, company string, country string")).count() == 0
 
 
-def test_pivots_lose_no_pair(spark, monkeypatch):
+def test_parts_and_blocks_lose_no_pair(spark, monkeypatch):
+    """Pivot parts, guests and pairs of blocks against all pairs by the plain distance."""
     rng = random.Random(9)
-    cores = sorted({"".join(rng.choice("bdkm") + rng.choice("aeo") for _ in range(3)) for _ in range(150)})
-    nodes = spark.createDataFrame([(k, "id", "retail", c, 1) for k, c in enumerate(cores)], "node long, country string, described string, core string, n long")
-    whole = {(r.a, r.b, r.distance) for r in names.spelled_alike(nodes).collect()}
-    assert whole == {(i, j, d) for i, j, d in names.near_pairs(cores)}
-    monkeypatch.setattr(names, "CELL", 20)
-    assert {(r.a, r.b, r.distance) for r in names.spelled_alike(nodes).collect()} == whole
+    cores = sorted({"".join(rng.choice("bdkm") + rng.choice("aeo") for _ in range(3)) + "x" * rng.randint(0, 3) for _ in range(150)})
+    nodes = spark.createDataFrame([(k, "id", "retail", c, 1) for k, c in enumerate(cores)] + [(900, "sg", "retail", cores[0], 1)], "node long, country string, described string, core string, n long")
+    least = lambda a, b: min(len(a), len(b))
+    whole = {(i, j, d) for i in range(len(cores)) for j in range(i + 1, len(cores)) if (d := names.damerau(cores[i], cores[j])) <= names.RADIUS and least(cores[i], cores[j]) >= names.FORGIVEN[d - 1]}
+    for block in (512, 16):
+        monkeypatch.setattr(names, "BLOCK", block)
+        assert {(r.a, r.b, r.distance) for r in names.spelled_alike(nodes).collect()} == whole
 
 
 # ---- 8: packing
