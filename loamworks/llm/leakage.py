@@ -6,18 +6,20 @@ that word. Sampling some positions of the walk gives a hash under which windows
 with few edits collide; several repetitions reach the recall. Windows of the
 corpus start every third of a window; those of an item start at each of its
 words, so whatever the offset of a copied passage, one of its windows meets the
-item's own. Items are cut into blocks of bounded size and every block is held
-against all documents; no document is left out, shortened or sampled.
+item's own. Items are dealt into blocks of bounded size, of which the driver holds
+one at a time, and every block is held against all documents; no document is left
+out, shortened or sampled.
 """
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import spread
+from ..runtime import shared_folder, spread
 from . import tokens
 
 #: Words of a window of a long item; shorter items have windows of a quarter of their words.
@@ -31,6 +33,8 @@ SHARE, STRETCHES = 0.5, 2
 #: Share of a window's words that must stand in the other window, before alignment.
 WINDOW_SHARE = 0.7
 MATCH, DIFFER = 1, 3
+#: Words below which a second stretch in one band is a shared short phrase.
+PHRASE = 5
 #: Words by which a stretch may drift from its diagonal.
 BAND = 8
 RESULT = "doc_id long, item_id long, carried double"
@@ -221,43 +225,66 @@ def search(ids: np.ndarray, texts: pa.Array, items: Items) -> list[tuple[int, in
         return []
     own, beside = laid(items, words, offsets, rows)
     length = items.offsets[rows[:, 1] + 1] - items.offsets[rows[:, 1]]
-    spans = [stretches(own, beside, np.zeros_like(length), length)]
-    out = []
-    cuts = np.flatnonzero(np.any(np.diff(rows[:, :2], axis=0) != 0, axis=1)) + 1
-    for group in np.split(np.arange(len(rows)), cuts):
-        text, item = rows[group[0], :2]
-        found = [(int(a[k]), int(b[k])) for a, b in spans for k in group if b[k] > a[k]]
-        share = union(found) / length[group[0]]
-        if share >= SHARE:
-            out.append((int(ids[text]), int(items.ids[item]), float(share)))
-    return out
+    groups = np.split(np.arange(len(rows)), np.flatnonzero(np.any(np.diff(rows[:, :2], axis=0) != 0, axis=1)) + 1)
+    first, end = stretches(own, beside, np.zeros_like(length), length)
+    spans: list[list[tuple[int, int]]] = [[] for _ in rows]
+    for k in np.flatnonzero(end > first):
+        spans[k].append((int(first[k]), int(end[k])))
+    shares = [union([s for k in group for s in spans[k]]) / length[group[0]] for group in groups]
+    # A second stretch may lie before or after the first one in the same band.
+    short = np.array([k for group, share in zip(groups, shares, strict=True) if share < SHARE for k in group if spans[k]], np.int64)
+    if len(short):
+        for low, high in ((np.zeros_like(length), first), (end, length)):
+            a, b = stretches(own[short], beside[short], low[short], high[short])
+            for k, x, y in zip(short.tolist(), a.tolist(), b.tolist(), strict=True):
+                if y - x >= PHRASE:
+                    spans[k].append((x, y))
+        shares = [share if share >= SHARE else union([s for k in group for s in spans[k]]) / length[group[0]] for group, share in zip(groups, shares, strict=True)]
+    return [(int(ids[rows[group[0], 0]]), int(items.ids[rows[group[0], 1]]), float(share)) for group, share in zip(groups, shares, strict=True) if share >= SHARE]
+
+
+def _in_block(source: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
+    shared = source.sparkSession.sparkContext.broadcast(([i for i, _ in block], [t for _, t in block]))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Items(*shared.value)
+        for batch in batches:
+            ids, texts = batch.column("doc_id").to_numpy(zero_copy_only=False), tokens.column(batch, "text")
+            for at in range(0, len(ids), CHUNK):
+                found = search(ids[at : at + CHUNK], texts.slice(at, CHUNK), own)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))],
+                    names=["doc_id", "item_id", "carried"],
+                )
+
+    return source.mapInArrow(find, RESULT)
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Each document that carries at least half of an item, with the item and the share carried.
 
     Null and blank texts and items give no row; a repeated row of documents gives
-    its row again, hence ids should be unique.
+    its row again, hence ids should be unique. Up to ITEM_BLOCK items are searched
+    in one pass; more are dealt into blocks, each read by itself and searched in a
+    pass whose result is written to the shared folder, so neither the driver nor
+    the plan grows with the items.
     """
-    rows = benchmark.where("text is not null and trim(text) <> ''").select("item_id", "text").dropDuplicates(["item_id"])
-    items = sorted((r.item_id, r.text) for r in rows.toLocalIterator())
     spark = documents.sparkSession
+    rows = benchmark.where("text is not null and trim(text) <> ''").select("item_id", "text").dropDuplicates(["item_id"])
     source = spread(documents.where("text is not null").select("doc_id", "text"))
-    out = spark.createDataFrame([], RESULT)
-    for start in range(0, len(items), ITEM_BLOCK):
-        block = items[start : start + ITEM_BLOCK]
-        shared = spark.sparkContext.broadcast(([i for i, _ in block], [t for _, t in block]))
-
-        def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own = Items(*shared.value)
-            for batch in batches:
-                ids, texts = batch.column("doc_id").to_numpy(zero_copy_only=False), tokens.column(batch, "text")
-                for at in range(0, len(ids), CHUNK):
-                    found = search(ids[at : at + CHUNK], texts.slice(at, CHUNK), own)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))],
-                        names=["doc_id", "item_id", "carried"],
-                    )
-
-        out = out.unionByName(source.mapInArrow(find, RESULT))
-    return out
+    read = lambda part: sorted((r.item_id, r.text) for r in part.collect())
+    count = rows.count()
+    if count <= ITEM_BLOCK:
+        return _in_block(source, read(rows)) if count else spark.createDataFrame([], RESULT)
+    # Twice as many blocks as would just do, as they differ in size.
+    blocks, folder = 2 * -(-count // ITEM_BLOCK), f"{shared_folder(spark)}/leaks-{uuid.uuid4().hex}"
+    for k in range(blocks):
+        own = read(rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k))
+        if own:
+            _in_block(source, own).write.parquet(f"{folder}/{k}")
+    return spark.read.parquet(*(f"{folder}/{k}" for k in range(blocks) if _written(spark, f"{folder}/{k}")))
+
+
+def _written(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)

@@ -2,9 +2,10 @@
 
 Only the histogram of lengths, which has at most ``capacity`` bins, reaches the
 driver. Lengths are placed longest first; a pattern is a multiset of lengths with
-the number of sequences that follow it, and each bin joins the patterns with the
-least room that still fits (the shortest pack first). The patterns are then
-joined back to the documents by their rank among those of equal length. A text
+the number of sequences that follow it, and each bin joins the shortest packs
+first, those with the most room left. (The rule "tightest" joins those with the
+least room that still fits instead, which fills a little better.) The patterns are
+then joined back to the documents by their rank among those of equal length. A text
 longer than the capacity gives whole sequences of its own; its rest is packed
 like any text.
 """
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..runtime import cut_lineage, spread
+from ..runtime import broadcast_if_small, cut_lineage, spread
 from . import tokens
 
 CAPACITY = 2048
@@ -56,13 +57,16 @@ def token_counts(documents: DataFrame, path: str | None = None) -> DataFrame:
     return spread(documents.where("text is not null").select("doc_id", "text")).mapInArrow(count, "doc_id long, n_tokens long")
 
 
-def patterns(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
+def patterns(histogram: dict[int, int], capacity: int, rule: str = "shortest") -> list[tuple[int, tuple[int, ...]]]:
     """``(sequences, lengths in each)`` holding each length of the histogram as often as it occurs.
 
-    Longest lengths first. A length goes into the patterns with the least room
-    that fits it, as many copies in each as fit; what finds no room opens new
-    patterns. The work depends on the number of bins, not of documents.
+    Longest lengths first. By the rule "shortest" a length goes once into each of
+    the packs with the most room, by "tightest" as often as it fits into those with
+    the least room that fits it; what finds no room opens new packs. The work
+    depends on the number of bins, not of documents.
     """
+    if rule not in ("shortest", "tightest"):
+        raise ValueError(f"rule {rule}")
     room: dict[int, list[list]] = {}
     rooms: list[int] = []
 
@@ -79,21 +83,23 @@ def patterns(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
         while left:
-            k = bisect_left(rooms, length)
-            if k == len(rooms):
-                fits = capacity // length
-                whole, rest = divmod(left, fits)
-                if whole:
-                    put(capacity - fits * length, whole, (length,) * fits)
-                if rest:
-                    put(capacity - rest * length, 1, (length,) * rest)
+            fits = bisect_left(rooms, length)
+            if fits == len(rooms):
+                if rule == "shortest":
+                    put(capacity - length, left, (length,))
+                else:
+                    whole, rest = divmod(left, capacity // length)
+                    for n, copies in ((whole, capacity // length), (1, rest)):
+                        if n and copies:
+                            put(capacity - copies * length, n, (length,) * copies)
                 break
+            k = len(rooms) - 1 if rule == "shortest" else fits
             at = rooms[k]
             count, lengths = room[at].pop()
             if not room[at]:
                 del room[at]
                 rooms.pop(k)
-            copies = min(at // length, left)
+            copies = 1 if rule == "shortest" else min(at // length, left)
             use = min(count, left // copies)
             if count > use:
                 put(at, count - use, lengths)
@@ -102,7 +108,7 @@ def patterns(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[
     return [(n, lengths) for same in room.values() for n, lengths in same]
 
 
-def _ranked(pieces: DataFrame) -> DataFrame:
+def _ranked(pieces: DataFrame, bins: int) -> DataFrame:
     """``pieces`` with the 0-based rank among those of equal length, in the order of salt and id.
 
     Each length is dealt over SALTS parts; the parts are counted, and each rank is
@@ -114,7 +120,9 @@ def _ranked(pieces: DataFrame) -> DataFrame:
     starts = counts.withColumn(
         "start", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")
     ).drop("n")
-    return within.join(F.broadcast(starts), ["length", "salt"]).select("doc_id", "part", "length", (F.col("start") + F.col("within")).alias("rank"))
+    # A row for each length and salt at most: its number follows the capacity, not the documents.
+    starts = broadcast_if_small(starts, bins * SALTS, 32)
+    return within.join(starts, ["length", "salt"]).select("doc_id", "part", "length", (F.col("start") + F.col("within")).alias("rank"))
 
 
 def _slots(spark: SparkSession, found: list[tuple[int, tuple[int, ...]]]) -> DataFrame:
@@ -134,7 +142,7 @@ def _slots(spark: SparkSession, found: list[tuple[int, tuple[int, ...]]]) -> Dat
     return spark.createDataFrame(rows, schema)
 
 
-def pack(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack(counts: DataFrame, capacity: int = CAPACITY, rule: str = "shortest") -> DataFrame:
     """Each document's place: (doc_id, part, sequence_id, position, n_tokens).
 
     ``position`` is the first token's place in the sequence. A document of up to
@@ -156,13 +164,13 @@ def pack(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     pieces = packed.unionByName(full)
     # At most one row a length: bounded by the capacity.
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    found = patterns(histogram, capacity)
-    ranked = _ranked(pieces)
+    found = patterns(histogram, capacity, rule)
+    ranked = _ranked(pieces, len(histogram))
     slots = _slots(spark, found)
     # The patterns follow the bins, not the documents: at most a few for each of ``capacity`` lengths.
     at = F.col("rank") - F.col("low")
     return (
-        ranked.join(F.broadcast(slots), "length")
+        ranked.join(broadcast_if_small(slots, sum(len(set(lengths)) for _, lengths in found), 64), "length")
         .where((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
         .select(
             "doc_id",

@@ -10,6 +10,7 @@ the answer. Only distinct values are searched.
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import cut_lineage
+
 # Values that name no place.
 NO_PLACE = re.compile(
     r"(?:(?:fully |100% |permanently )?(?:remote|work from home|wfh|home ?-?based|anywhere|flexible|nationwide|negotiable|tbc|tba|to be confirmed|to be advised"
@@ -34,6 +37,9 @@ SHORT_FORMS = {"mount": "mt", "saint": "st", "port": "pt", "north": "nth", "sout
 CUT = re.compile(r"[,/|>;()]+|\s[-–—]\s|\s-|-\s")
 #: Least lengths at which one and two edits are allowed.
 ONE_EDIT, TWO_EDITS = 5, 11
+#: Entries of a reference list that every task may hold; values searched by one task.
+ENTRIES, VALUES = 500_000, 2_000
+_tries: dict = {}
 PARSED = "location_raw string, market_code string, n long, geo_id long, distance int"
 
 
@@ -173,28 +179,38 @@ class Gazetteer:
 
 
 def entries(gazetteer: DataFrame) -> list[tuple]:
-    """The reference list on the driver: a dictionary that does not grow with the data."""
-    rows = gazetteer.where("geo_id is not null").select("geo_id", "level", "name", "ascii_name", "alt_names", "parent_id", "market_code", "population").toLocalIterator()
+    """The reference list on the driver: a dictionary that does not grow with the data. One of more than ENTRIES entries is refused."""
+    rows = gazetteer.where("geo_id is not null").select("geo_id", "level", "name", "ascii_name", "alt_names", "parent_id", "market_code", "population").limit(ENTRIES + 1).collect()
+    if len(rows) > ENTRIES:
+        raise ValueError(f"more than {ENTRIES} entries: split the reference list by country and place each part's values")
     return [(r.geo_id, r.level, [r.name, r.ascii_name, *(r.alt_names or [])], r.parent_id, r.market_code, r.population) for r in rows]
 
 
+def _built(key: str, own: list[tuple]) -> Gazetteer:
+    """The trie of a reference list, built once a worker."""
+    if key not in _tries:
+        _tries.clear()
+        _tries[key] = Gazetteer(own)
+    return _tries[key]
+
+
 def place_values(values: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """Each distinct (location_raw, market_code) that names a place, with its rows ``n``, its ``geo_id`` (0: not on the list) and the edits between the two.
 
     A null or blank value and one that names no place give no row.
     """
-    shared = values.sparkSession.sparkContext.broadcast(entries(gazetteer))
-    distinct = values.where("location_raw is not null").groupBy("location_raw", "market_code").agg(F.count("*").alias("n"))
+    shared, key = values.sparkSession.sparkContext.broadcast(entries(gazetteer)), uuid.uuid4().hex
+    distinct = cut_lineage(values.where("location_raw is not null").groupBy("location_raw", "market_code").agg(F.count("*").alias("n")))
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Gazetteer(shared.value)
+        own = _built(key, shared.value)
         for pdf in batches:
             out = [(raw, m, n, *own.resolve(raw, m)) for raw, m, n in zip(pdf.location_raw, pdf.market_code, pdf.n, strict=True)]
             yield pd.DataFrame([x for x in out if x[3] is not None], columns=["location_raw", "market_code", "n", "geo_id", "distance"])
 
-    # Few bytes but much work: as many tasks as there are cores, which adaptive execution would merge.
+    # Few bytes but much work: partitions by the number of values, which adaptive execution would merge.
     cores = values.sparkSession.sparkContext.defaultParallelism
-    return distinct.repartition(2 * cores, "location_raw", "market_code").mapInPandas(find, PARSED)
+    return distinct.repartition(max(2 * cores, distinct.count() // VALUES), "location_raw", "market_code").mapInPandas(find, PARSED)
 
 
 def placed(rows: DataFrame, gazetteer: DataFrame) -> DataFrame:

@@ -276,6 +276,13 @@ def test_places(raw, geo_id):
     assert places.Gazetteer(ENTRIES).resolve(raw, "AU")[0] == geo_id
 
 
+def test_a_reference_list_beyond_the_bound_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(places, "ENTRIES", 1)
+    rows = spark.createDataFrame([(k, 1, "A", "A", ["B"], None, "AU", 1) for k in range(2)], "geo_id long, level int, name string, ascii_name string, alt_names array<string>, parent_id long, market_code string, population long")
+    with pytest.raises(ValueError, match="entries"):
+        places.entries(rows)
+
+
 def test_automaton_returns_all_names_within_the_distance():
     rng = random.Random(5)
     names_ = sorted({"".join(rng.choice("abcd") for _ in range(rng.randint(4, 8))) for _ in range(200)})
@@ -456,14 +463,15 @@ def test_parts_and_blocks_lose_no_pair(spark, monkeypatch):
 # ---- 8: packing
 
 
+@pytest.mark.parametrize("rule", ["shortest", "tightest"])
 @pytest.mark.parametrize("seed", range(5))
-def test_patterns_hold_every_length_once(seed):
+def test_patterns_hold_every_length_once(seed, rule):
     rng = random.Random(seed)
     histogram = {}
     for _ in range(3000):
         n = min(100, 1 + int(rng.expovariate(1 / 30)))
         histogram[n] = histogram.get(n, 0) + 1
-    found = packing.patterns(histogram, 100)
+    found = packing.patterns(histogram, 100, rule)
     count = {}
     for n, lengths in found:
         assert sum(lengths) <= 100
@@ -471,7 +479,26 @@ def test_patterns_hold_every_length_once(seed):
             count[x] = count.get(x, 0) + n
     assert count == histogram and len(found) < 4 * len(histogram)
     total = sum(k * v for k, v in histogram.items())
-    assert total / (100 * sum(n for n, _ in found)) > 0.97
+    filled = total / (100 * sum(n for n, _ in found))
+    # Shortest packs first fill less; test_shortest_pack_first holds them against a plain run.
+    assert filled > 0.97 if rule == "tightest" else filled <= 1
+
+
+def test_shortest_pack_first():
+    """Against a plain run, document by document: the pack with the most room takes the next longest text."""
+    rng = random.Random(6)
+    for _ in range(20):
+        lengths = [rng.randint(1, 30) for _ in range(60)]
+        packs = []
+        for n in sorted(lengths, reverse=True):
+            least = min(packs, key=sum, default=None)
+            if least is None or sum(least) + n > 40:
+                packs.append([n])
+            else:
+                least.append(n)
+        found = packing.patterns({n: lengths.count(n) for n in set(lengths)}, 40)
+        assert sorted(sum(x) for n, x in found for _ in range(n)) == sorted(map(sum, packs))
+    assert packing.patterns({3: 2, 5: 1}, 8) in ([(1, (5, 3)), (1, (3,))], [(1, (3,)), (1, (5, 3))]) and packing.patterns({}, 8) == []
 
 
 def test_pack_places_every_token_once(spark):
@@ -531,6 +558,26 @@ def test_two_stretches_count_together():
     assert leakage.search(np.array([7]), text(" ".join(passage(rng, 200).split() + words[:15])), items) == []
 
 
+def test_two_stretches_of_one_band_count_together():
+    """Both on one diagonal, with other words between them."""
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(76)]
+    body = passage(rng, 40).split() + words[:23] + passage(rng, 31).split() + words[54:] + passage(rng, 9).split()
+    found = leakage.search(np.array([7]), text(" ".join(body)), leakage.Items([1], [" ".join(words)]))
+    assert [(d, i) for d, i, _ in found] == [(7, 1)] and found[0][2] == 45 / 76
+
+
+def test_blocks_of_items_find_the_same(spark, monkeypatch):
+    rng = random.Random(19)
+    items = spark.createDataFrame([(k, passage(rng, 50)) for k in range(9)], "item_id long, text string")
+    bodies = [passage(rng, 30) + " " + r.text for r in items.collect()]
+    documents = spark.createDataFrame(list(enumerate(bodies)), "doc_id long, text string")
+    whole = {(r.doc_id, r.item_id) for r in leakage.leaks(documents, items).collect()}
+    monkeypatch.setattr(leakage, "ITEM_BLOCK", 2)
+    assert whole == {(r.doc_id, r.item_id) for r in leakage.leaks(documents, items).collect()} == {(k, k) for k in range(9)}
+    assert leakage.leaks(documents, items.limit(0)).count() == 0
+
+
 def test_a_stretch_with_changed_words_reaches_alignment():
     """Half of an item, six words of it changed."""
     rng = random.Random(21)
