@@ -62,8 +62,8 @@ def patterns(histogram: dict[int, int], capacity: int, rule: str = "shortest") -
 
     Longest lengths first. By the rule "shortest" a length goes once into each of
     the packs with the most room, by "tightest" as often as it fits into those with
-    the least room that fits it; what finds no room opens new packs. The work
-    depends on the number of bins, not of documents.
+    the least room that fits it; what finds no room opens new packs, one full of it
+    after the other. The work depends on the number of bins, not of documents.
     """
     if rule not in ("shortest", "tightest"):
         raise ValueError(f"rule {rule}")
@@ -85,13 +85,11 @@ def patterns(histogram: dict[int, int], capacity: int, rule: str = "shortest") -
         while left:
             fits = bisect_left(rooms, length)
             if fits == len(rooms):
-                if rule == "shortest":
-                    put(capacity - length, left, (length,))
-                else:
-                    whole, rest = divmod(left, capacity // length)
-                    for n, copies in ((whole, capacity // length), (1, rest)):
-                        if n and copies:
-                            put(capacity - copies * length, n, (length,) * copies)
+                # One pack after the other is opened and filled, as all others are too full.
+                whole, rest = divmod(left, capacity // length)
+                for n, copies in ((whole, capacity // length), (1, rest)):
+                    if n and copies:
+                        put(capacity - copies * length, n, (length,) * copies)
                 break
             k = len(rooms) - 1 if rule == "shortest" else fits
             at = rooms[k]
