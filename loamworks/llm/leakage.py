@@ -80,6 +80,8 @@ class Items:
         self.ids = np.array(ids, np.int64)
         words, self.offsets = tokens.split_words(tokens.unescaped(pa.array(texts, pa.large_string())))
         self.words = np.concatenate([tokens.hashed(words), np.zeros(WIDTH, np.uint64)])
+        #: Half of each hash, which is enough beside a window that is equal in whole ones.
+        self.low = self.words.astype(np.uint32)
         n = np.diff(self.offsets)
         self.widths = np.where(n >= 4 * WIDTH, WIDTH, np.maximum(np.minimum(n, 2), n // 4))
         self.tables = {}
@@ -126,8 +128,10 @@ def stretches(items: np.ndarray, texts: np.ndarray, low: np.ndarray, high: np.nd
     rows, length = items.shape
     width = 2 * BAND + 1
     words, around = np.ascontiguousarray(items.T), np.ascontiguousarray(texts.T)
-    score, first = np.zeros((width + 1, rows), np.int32), np.zeros((width + 1, rows), np.int32)
-    top, start, end = (np.zeros(rows, np.int32) for _ in range(3))
+    # Scores and places are at most the words of an item.
+    kind = np.int16 if length < 30_000 else np.int32
+    score, first = np.zeros((width + 1, rows), kind), np.zeros((width + 1, rows), kind)
+    top, start, end = (np.zeros(rows, kind) for _ in range(3))
     for i in range(length):
         inside = (low <= i) & (i < high)
         if not inside.any():
@@ -135,8 +139,8 @@ def stretches(items: np.ndarray, texts: np.ndarray, low: np.ndarray, high: np.nd
             continue
         equal = (around[i : i + width] == words[i]) & inside
         # score[j] is the cell one word back in both, score[j + 1] the one without a word of the text
-        s = score[:width] + np.where(equal, MATCH, -DIFFER).astype(np.int32)
-        f = np.where(equal & (score[:width] == 0), np.int32(i), first[:width])
+        s = score[:width] + np.where(equal, kind(MATCH), kind(-DIFFER))
+        f = np.where(equal & (score[:width] == 0), kind(i), first[:width])
         down = score[1:] - DIFFER
         f = np.where(down > s, first[1:], f)
         s = np.maximum(np.maximum(s, down), 0)
@@ -155,20 +159,20 @@ def stretches(items: np.ndarray, texts: np.ndarray, low: np.ndarray, high: np.nd
     return start, end
 
 
-def laid(items: Items, words: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def laid(items: Items, low: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For rows (text, item, offset of item against text): the items' words, and the text's words beside them with BAND more on either side."""
     text, item, diagonal = rows.T
     length = items.offsets[item + 1] - items.offsets[item]
     k = np.arange(length.max())
-    own = np.where(k < length[:, None], items.words[np.minimum(items.offsets[item][:, None] + k, len(items.words) - 1)], np.uint64(0))
+    own = np.where(k < length[:, None], items.low[np.minimum(items.offsets[item][:, None] + k, len(items.low) - 1)], np.uint32(0))
     at = diagonal[:, None] + np.arange(-BAND, len(k) + BAND)
     inside = (at >= 0) & (at < (offsets[text + 1] - offsets[text])[:, None])
     # Words beside the text equal none of an item.
-    return own, np.where(inside, words[np.where(inside, at + offsets[text][:, None], 0)], np.uint64(1))
+    return own, np.where(inside, low[np.where(inside, at + offsets[text][:, None], 0)], np.uint32(1))
 
 
-def plausible(items: Items, words: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Which rows (text, item, offset of item against text) belong to a pair that alignment can find.
+def plausible(items: Items, low: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows (text, item, offset of item against text) belong to a pair that alignment can find, and which words of the item stand in each row's band.
 
     An upper bound: a stretch of m matches has a positive score, hence fewer than
     m / 3 words of the item in it differ. So no more than the item's words that
@@ -180,13 +184,13 @@ def plausible(items: Items, words: np.ndarray, offsets: np.ndarray, rows: np.nda
     length = items.offsets[item + 1] - items.offsets[item]
     new = np.flatnonzero(np.concatenate([[True], np.any(np.diff(rows[:, :2], axis=0) != 0, axis=1)]))
     count = np.diff(np.concatenate([new, [len(rows)]]))
-    own, beside = laid(items, words, offsets, rows)
+    own, beside = laid(items, low, offsets, rows)
     equal = np.zeros(own.shape, bool)
     for j in range(2 * BAND + 1):
         equal |= own == beside[:, j : j + own.shape[1]]
     equal &= np.arange(own.shape[1]) < length[:, None]
     anywhere = np.logical_or.reduceat(equal, new, axis=0).sum(axis=1)
-    return np.repeat(anywhere + STRETCHES * (anywhere // (DIFFER // MATCH)) >= SHARE * length[new], count)
+    return np.repeat(anywhere + STRETCHES * (anywhere // (DIFFER // MATCH)) >= SHARE * length[new], count), equal
 
 
 def union(spans: list[tuple[int, int]]) -> int:
@@ -214,16 +218,19 @@ def search(ids: np.ndarray, texts: pa.Array, items: Items) -> list[tuple[int, in
     """(document, item, share carried) for each leak in one chunk of documents."""
     flat, offsets = tokens.split_words(tokens.unescaped(texts))
     words = np.concatenate([tokens.hashed(flat), np.zeros(WIDTH, np.uint64)])
+    low = words.astype(np.uint32)
     hits = items.hits(words, offsets)
     if not len(hits):
         return []
     diagonal = (hits[:, 2] - offsets[hits[:, 0]]) - (hits[:, 3] - items.offsets[hits[:, 1]])
     rows = np.unique(np.concatenate([hits[:, :2], diagonal[:, None]], axis=1), axis=0)
-    rows = rows[plausible(items, words, offsets, rows)]
-    rows = rows[apart(rows)]
+    likely, equal = plausible(items, low, offsets, rows)
+    rows, equal = rows[likely], equal[likely]
+    alone = apart(rows)
+    rows, equal = rows[alone], equal[alone]
     if not len(rows):
         return []
-    own, beside = laid(items, words, offsets, rows)
+    own, beside = laid(items, low, offsets, rows)
     length = items.offsets[rows[:, 1] + 1] - items.offsets[rows[:, 1]]
     groups = np.split(np.arange(len(rows)), np.flatnonzero(np.any(np.diff(rows[:, :2], axis=0) != 0, axis=1)) + 1)
     first, end = stretches(own, beside, np.zeros_like(length), length)
@@ -234,9 +241,16 @@ def search(ids: np.ndarray, texts: pa.Array, items: Items) -> list[tuple[int, in
     # A second stretch may lie before or after the first one in the same band.
     short = np.array([k for group, share in zip(groups, shares, strict=True) if share < SHARE for k in group if spans[k]], np.int64)
     if len(short):
-        for low, high in ((np.zeros_like(length), first), (end, length)):
-            a, b = stretches(own[short], beside[short], low[short], high[short])
-            for k, x, y in zip(short.tolist(), a.tolist(), b.tolist(), strict=True):
+        reached = np.repeat(shares, [len(group) for group in groups]) * length
+        at = np.arange(equal.shape[1])
+        for start, stop in ((np.zeros_like(length), first), (end, length)):
+            # The same bound as in plausible(), for the words of the item on that side.
+            beyond = (equal[short] & (at >= start[short, None]) & (at < stop[short, None])).sum(axis=1)
+            some = short[(beyond >= PHRASE * (1 - MATCH / DIFFER)) & (reached[short] + beyond + beyond // (DIFFER // MATCH) >= SHARE * length[short])]
+            if not len(some):
+                continue
+            a, b = stretches(own[some], beside[some], start[some], stop[some])
+            for k, x, y in zip(some.tolist(), a.tolist(), b.tolist(), strict=True):
                 if y - x >= PHRASE:
                     spans[k].append((x, y))
         shares = [share if share >= SHARE else union([s for k in group for s in spans[k]]) / length[group[0]] for group, share in zip(groups, shares, strict=True)]
