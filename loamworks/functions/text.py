@@ -220,3 +220,18 @@ def hinted_market(column: Column, hints: list[tuple[str, str]]) -> Column:
     for words, market in reversed(hints):
         out = F.when(F.instr(padded, f" {words} ") > 0, F.lit(market)).otherwise(out)
     return out
+
+
+def flat_place(column: Column) -> Column:
+    """A place of structured markup as text: city, region and country of its address, else its name; several places by commas; a plain text as it is; null and unreadable as ''."""
+    read = F.try_parse_json(column)
+
+    def one(v: Column) -> Column:
+        get = lambda path: F.nullif(F.trim(F.try_variant_get(v, path, "string")), F.lit(""))
+        parts = F.nullif(F.concat_ws(", ", *(get(f"$.address.{k}") for k in ("addressLocality", "addressRegion", "addressCountry"))), F.lit(""))
+        whole = F.try_variant_get(v, "$", "string")
+        return F.coalesce(parts, get("$.name"), F.when(~F.schema_of_variant(v).startswith("OBJECT"), whole), F.lit(""))
+
+    several = F.try_variant_get(read, "$", "array<variant>")
+    joined = F.array_join(F.filter(F.transform(several, one), lambda x: x != ""), ", ")
+    return F.coalesce(F.when(several.isNotNull(), joined), F.when(read.isNotNull(), one(read)), F.when(~F.trim(column).rlike(r"^[\[{]"), F.trim(column)), F.lit(""))

@@ -28,6 +28,8 @@ class _Tree(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.nodes: list[dict] = []
+        #: Visible text in the order of the document; a node's own text and all below it are a range of it.
+        self.texts: list[str] = []
         self.stack: list[int] = []
         self.scripts: list[tuple[str, str]] = []
         self.script: str | None = None
@@ -38,24 +40,36 @@ class _Tree(HTMLParser):
             self.script = given.get("type", "")
         for open_tag in CLOSES.get(tag, ()):
             if self.stack and self.nodes[self.stack[-1]]["tag"] == open_tag:
-                self.stack.pop()
+                self._leave()
         parent = self.stack[-1] if self.stack else -1
-        self.nodes.append({"tag": tag, "parent": parent, "depth": len(self.stack), "id": given.get("id", ""), "classes": " ".join(sorted(given.get("class", "").split())), "href": given.get("href", ""), "own": [], "attrs": given})
+        self.nodes.append({"tag": tag, "parent": parent, "depth": len(self.stack), "id": given.get("id", ""), "classes": " ".join(sorted(given.get("class", "").split())), "href": given.get("href", ""), "own": [], "attrs": given, "first": len(self.texts), "end": len(self.texts)})
         if tag not in VOID:
             self.stack.append(len(self.nodes) - 1)
 
+    def _leave(self) -> str:
+        node = self.nodes[self.stack.pop()]
+        node["end"] = len(self.texts)
+        return node["tag"]
+
     def handle_endtag(self, tag: str) -> None:
         if tag == "script":
             self.script = None
         if any(self.nodes[k]["tag"] == tag for k in self.stack):
-            while self.nodes[self.stack.pop()]["tag"] != tag:
+            while self._leave() != tag:
                 pass
 
     def handle_data(self, data: str) -> None:
         if self.script is not None:
             self.scripts.append((self.script, data))
         elif self.stack and not any(self.nodes[k]["tag"] in HIDDEN for k in self.stack) and data.strip():
-            self.nodes[self.stack[-1]]["own"].append(" ".join(data.split()))
+            text = " ".join(data.split())
+            self.nodes[self.stack[-1]]["own"].append(text)
+            self.texts.append(text)
+
+    def close(self) -> None:
+        super().close()
+        while self.stack:
+            self._leave()
 
 
 def parse(html: str | None) -> _Tree:
@@ -66,24 +80,23 @@ def parse(html: str | None) -> _Tree:
 
 
 def node_rows(page: str, html: str | None) -> list[tuple]:
-    """The rows of one page: each element with its own text, all text below it and the share of it within links."""
-    nodes = parse(html).nodes
+    """The rows of one page: each element with its own text, all text below it in the order of the document, and the share of it within links."""
+    tree = parse(html)
+    nodes, texts = tree.nodes, tree.texts
     linked, links = [0] * len(nodes), [0] * len(nodes)
-    for k, n in enumerate(nodes):
-        if n["tag"] == "a":
-            links[k] = 1
-    # Children follow their parents, so one pass from the end gathers everything; order is restored by position.
-    ordered: list[list[tuple[int, str]]] = [[(k, t) for t in n["own"]] for k, n in enumerate(nodes)]
+    # Children follow their parents, so one pass from the end gathers everything.
     for k in range(len(nodes) - 1, -1, -1):
-        size = sum(len(t) for _, t in ordered[k])
-        if nodes[k]["tag"] == "a":
-            linked[k] = size
-        parent = nodes[k]["parent"]
-        if parent >= 0:
-            ordered[parent] = sorted(ordered[parent] + ordered[k], key=lambda x: x[0])
-            linked[parent] += linked[k]
-            links[parent] += links[k]
-    return [(page, k, n["parent"], n["depth"], n["tag"], n["id"], n["classes"], n["href"], " ".join(n["own"]), " ".join(t for _, t in ordered[k]), linked[k], links[k]) for k, n in enumerate(nodes)]
+        n = nodes[k]
+        if n["tag"] == "a":
+            links[k] += 1
+            linked[k] = sum(map(len, texts[n["first"] : n["end"]]))
+        if n["parent"] >= 0:
+            linked[n["parent"]] += linked[k]
+            links[n["parent"]] += links[k]
+    return [
+        (page, k, n["parent"], n["depth"], n["tag"], n["id"], n["classes"], n["href"], " ".join(n["own"]), " ".join(texts[n["first"] : n["end"]]), linked[k], links[k])
+        for k, n in enumerate(nodes)
+    ]
 
 
 def _pages(df: DataFrame, page: str, html: str) -> DataFrame:

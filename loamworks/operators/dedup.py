@@ -4,7 +4,9 @@ A pair that the rule links shares an external id, a job id in its URL, an equal
 normal title, or a word of the title (a title similarity of at least 0.75 needs
 one); titles without any word share that lack. Pairs therefore come from equality
 joins on these keys, within the owner; of a title's words only the rarest few are
-keys, which by prefix filtering loses no pair.
+keys, which by prefix filtering loses no pair. Rows alike in every field the rule
+reads are one row while pairs are sought (they share their page, so they are no
+pair of each other), and of a description only the signs the rule reads travel.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,16 +17,26 @@ from ..functions.urls import url_job_id
 
 # Trust in the methods that made a row.
 METHOD_TRUST = {"schema_org": 6, "ats_api": 5, "ats_html": 4, "hybrid": 4, "llm": 3, "structural": 2, "root_fallback": 1, "domain_signal": 1}
+#: Signs of a description that the rule reads.
+SIGNS = 1_000
 FIELDS = ["id", "owner", "page", "external_id", "url_id", "title", "description", "location_raw", "date_posted"]
 
 
 def prepared(jobs: DataFrame) -> DataFrame:
     """The fields the rule reads, of job rows; the page is the row's own URL."""
     return jobs.select(
-        F.col("job_id").alias("id"), F.col("company_id").alias("owner"), F.col("source_url").alias("page"), "external_id", url_job_id(F.col("source_url")).alias("url_id"), "title", "description", "location_raw", "date_posted"
+        F.col("job_id").alias("id"), F.col("company_id").alias("owner"), F.col("source_url").alias("page"), "external_id", url_job_id(F.col("source_url")).alias("url_id"), "title", F.substring("description", 1, SIGNS).alias("description"), "location_raw", "date_posted"
     )
 
 
+def copies(rows: DataFrame) -> DataFrame:
+    """(id, representative): the least id of the rows that are alike in every field the rule reads."""
+    alike = [f for f in FIELDS if f != "id"]
+    digest = F.sha2(F.to_json(F.struct(*alike)), 256)
+    own = rows.select("id", digest.alias("d"))
+    return own.join(own.groupBy("d").agg(F.min("id").alias("representative")), "d").select("id", "representative")
+
+
 def pair_rule(a: str, b: str, both_pages: float = 0.72, else_score: float = 0.65) -> tuple[Column, Column]:
     """(whether two rows are one, the title similarity). Rows of the same page are never a pair; two rows without a page count as the same page."""
     c = lambda side, f: F.col(f"{side}.{f}")
@@ -33,7 +45,7 @@ def pair_rule(a: str, b: str, both_pages: float = 0.72, else_score: float = 0.65
     title = tx.title_similarity(c(a, "title"), c(b, "title"))
     score = (
         0.4 * title
-        + 0.35 * tx.either_similarity(c(a, "description"), c(b, "description"), 1000, 0.5, 0.0)
+        + 0.35 * tx.either_similarity(c(a, "description"), c(b, "description"), SIGNS, 0.5, 0.0)
         + 0.15 * tx.either_similarity(c(a, "location_raw"), c(b, "location_raw"), None, 0.5, 0.5)
         + 0.1 * tx.date_proximity(c(a, "date_posted"), c(b, "date_posted"))
     )
@@ -65,16 +77,27 @@ def selective(rows: DataFrame) -> DataFrame:
 
 
 def linked_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b, title_similarity) with a < b of rows that the rule links; one row a pair."""
-    keys = selective(rows)
+    """(a, b, title_similarity) with a < b of representatives (see copies) that the rule links; one row a pair."""
+    own = rows.join(copies(rows).where("id = representative").select("id"), "id", "left_semi")
+    keys = selective(own)
     left, right = keys.select("owner", "key", F.col("id").alias("a")), keys.select("owner", "key", F.col("id").alias("b"))
     pairs = left.join(right, ["owner", "key"]).where("a < b").select("a", "b").distinct()
     sides = F.struct(*FIELDS)
-    joined = pairs.join(rows.select(F.col("id").alias("a"), sides.alias("x")), "a").join(rows.select(F.col("id").alias("b"), sides.alias("y")), "b")
+    joined = pairs.join(own.select(F.col("id").alias("a"), sides.alias("x")), "a").join(own.select(F.col("id").alias("b"), sides.alias("y")), "b")
     linked, title = pair_rule("x", "y")
     return joined.where(linked).select("a", "b", F.round(title, 3).alias("title_similarity"))
 
 
+def grouped(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, group, links) of every row in a group of linked rows: the least id of the group, and the representatives its text is linked with."""
+    from ..runtime import cut_lineage
+
+    pairs = cut_lineage(pairs.select("a", "b"))
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("representative")).groupBy("representative").agg(F.count("*").alias("links"))
+    labels = smallest_label(pairs).withColumnRenamed("id", "representative")
+    return copies(rows).join(labels, "representative").join(degree, "representative").select("id", "group", "links")
+
+
 def smallest_label(links: DataFrame, rounds: int = 50) -> DataFrame:
     """(id, group): the least id reachable over the links (a, b), by passing on least labels and jumping to the label's own label."""
     from ..runtime import cut_lineage

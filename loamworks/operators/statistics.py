@@ -128,6 +128,25 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: in
     return scored.where(F.col("cosine") > least).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
+def ranked(df: DataFrame, score: str, parts: int = 256) -> DataFrame:
+    """``df`` with each row's ``place``: one more than the rows of higher score, over the whole table.
+
+    Scores are cut into ranges at approximate quantiles; a row's place is what the
+    higher ranges hold plus its place within its own, so no window spans the table
+    (equal scores are one row while they are counted).
+    """
+    counts = df.where(F.col(score).isNotNull()).groupBy(score).agg(F.count("*").alias("__n"))
+    cuts = F.percentile_approx(score, [k / parts for k in range(1, parts)], 10_000)
+    edges = counts.agg(F.coalesce(F.array_distinct(cuts), F.array().cast("array<double>")).alias("__edges"))
+    # One row of at most ``parts`` numbers.
+    placed = counts.crossJoin(F.broadcast(edges)).withColumn("__range", F.size(F.filter("__edges", lambda e: e >= F.col(score)))).drop("__edges")
+    totals = placed.groupBy("__range").agg(F.sum("__n").alias("__all"))
+    before = totals.select("__range", (F.sum("__all").over(Window.orderBy("__range")) - F.col("__all")).alias("__before"))
+    within = F.sum("__n").over(Window.partitionBy("__range").orderBy(F.desc(score))) - F.col("__n")
+    places = placed.withColumn("__within", within).join(F.broadcast(before), "__range").select(score, (F.col("__before") + F.col("__within") + 1).alias("place"))
+    return df.join(places, score)
+
+
 def best_per_cell(df: DataFrame, cells: Sequence[str], fitness: str, key: str) -> DataFrame:
     """The fittest row of each cell; on a tie the least key."""
     return df.groupBy(*cells).agg(F.max_by(key, F.struct(fitness, (-F.col(key)).alias("k"))).alias(key), F.max(fitness).alias(fitness), F.count("*").alias("tried"))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..operators import composite
 from ..operators import relational as r
 from ..operators import statistics as st
 from .analytics import T
@@ -46,33 +47,89 @@ def e2_field_coverage(spark, sf_dir):
     return T(spark, sf_dir).extracted_jobs.groupBy("extraction_method").agg(F.count("*").alias("jobs"), F.count("description").alias("with_text"), F.count_if(core).alias("core"))
 
 
-_AXES = "avg((model > 0)::INT) * 100 AS discovery, least(100, sum(model)::DOUBLE / nullif(sum(base), 0) * 100) AS volume"
+#: Site results of two sides: ``old`` are a company's active rows, ``new`` those of good confidence; ``base`` is what its crawls found at most.
+_FILLED = " + ".join(f"(trim(coalesce({c}, ''), ' ') <> '')::INT" for c in composite.CORE_FIELDS)
+_RESULTS = f"""
+    WITH j AS (SELECT company_id, is_active AS old, extraction_confidence >= 0.5 AS new, {_FILLED} AS filled FROM extracted_jobs),
+    s AS (SELECT company_id, count(*) FILTER (old) AS old_jobs, count(*) FILTER (new) AS new_jobs, sum(filled) FILTER (old) AS old_filled, sum(filled) FILTER (new) AS new_filled FROM j GROUP BY 1),
+    l AS (SELECT company_id, max(jobs_found) AS base, (arg_max(struct_pack(e := error_message), struct_pack(t := started_at, k := log_id))).e IS NOT NULL AS failed FROM crawl_logs WHERE company_id IS NOT NULL GROUP BY 1),
+    r AS (SELECT company_id, ats_platform, root_url, root_url IS NOT NULL AS found, coalesce(failed, false) AS failed, coalesce(quality_score < 30, false) AS warned, coalesce(base, 0) AS base, coalesce(old_jobs, 0) AS old_jobs, coalesce(new_jobs, 0) AS new_jobs, coalesce(old_filled, 0) AS old_filled,
+        coalesce(new_filled, 0) AS new_filled FROM companies LEFT JOIN s USING (company_id) LEFT JOIN l USING (company_id)),
+    t AS (SELECT *, CASE WHEN lower(trim(coalesce(ats_platform, ''))) NOT IN ('', 'none', 'null', 'unknown') THEN lower(trim(ats_platform)) {' '.join(f"WHEN root_url LIKE '%{n}%' THEN '{v}'" for n, v in composite.NEEDLES.items())} WHEN root_url LIKE '%nuxt%' THEN 'spa_shell' WHEN root_url LIKE '%drupal%' THEN 'generic_cms' ELSE 'bespoke' END AS stratum FROM r)"""
+
+
+def _card_sql(side: str, key: str) -> str:
+    """The scorecard of one side by a key, in SQL."""
+    axis = "least(100, greatest(0, {}))"
+    ratio = f"(sum({side}_jobs)::DOUBLE / sum(base))"
+    axes = {
+        "discovery": axis.format("count(*) FILTER (found AND NOT failed)::DOUBLE / count(*) * 100"),
+        "quality_extraction": axis.format(f"(count(*) FILTER ({side}_jobs > 0) - count(*) FILTER (warned))::DOUBLE / count(*) * 100"),
+        "field_completeness": axis.format(f"sum({side}_filled)::DOUBLE / greatest(1, sum({side}_jobs) * 6) * 100"),
+        "volume_accuracy": f"CASE WHEN sum(base) = 0 THEN CASE WHEN sum({side}_jobs) > 0 THEN 50.0 ELSE 0.0 END WHEN {ratio} >= 1 THEN greatest(0, least(100, 100 - greatest(0, ({ratio} - 1.5) * 100))) ELSE 100 * {ratio} END",
+    }
+    total = " + ".join(f"{w} * ({axes[k]})" for k, w in composite.WEIGHTS.items())
+    return f"SELECT {key} AS stratum, count(*) AS n, round(({total})::DOUBLE, 1) AS composite, " + ", ".join(f"round(({a})::DOUBLE, 1) AS {k}" for k, a in axes.items()) + " FROM t GROUP BY 1"
+
+
+def _results(spark, sf_dir, side: str):
+    t = T(spark, sf_dir)
+    filled = sum((F.when(F.trim(F.coalesce(c, F.lit(""))) != "", 1).otherwise(0) for c in composite.CORE_FIELDS), F.lit(0))
+    kept = t.extracted_jobs.where("is_active" if side == "old" else "extraction_confidence >= 0.5")
+    jobs = kept.groupBy("company_id").agg(F.count("*").alias("jobs"), F.sum(filled).alias("filled"))
+    logs = t.crawl_logs.where("company_id is not null").groupBy("company_id").agg(F.max("jobs_found").alias("base"), F.max_by(F.struct("error_message"), F.struct("started_at", "log_id")).alias("last"))
+    own = t.companies.join(jobs, "company_id", "left").join(logs, "company_id", "left")
+    tagged = composite.stratum(F.col("ats_platform"), F.col("root_url"))
+    return own.select("company_id", tagged.alias("stratum"), F.col("root_url").isNotNull().alias("found"), F.col("last.error_message").isNotNull().alias("failed"), (F.col("quality_score") < 30).alias("warned"), "jobs", "filled", "base")
 
 
-@query(f"SELECT round(0.6 * discovery + 0.4 * volume, 4)::DOUBLE AS composite, round(discovery, 4)::DOUBLE AS discovery, round(volume, 4)::DOUBLE AS volume FROM (SELECT {_AXES} FROM ({_SITE}))")
+@query(_RESULTS + " " + _card_sql("new", "'all'"))
 def e3_composite(spark, sf_dir):
-    axes = _sites(spark, sf_dir).agg((F.avg((F.col("model") > 0).cast("int")) * 100).alias("d"), F.least(F.lit(100.0), F.sum("model") / F.nullif(F.sum("base"), F.lit(0)) * 100).alias("v"))
-    return axes.select(F.round(0.6 * F.col("d") + 0.4 * F.col("v"), 4).alias("composite"), F.round("d", 4).alias("discovery"), F.round("v", 4).alias("volume"))
+    """Four axes and their composite over all sites."""
+    return composite.scorecard(_results(spark, sf_dir, "new").withColumn("stratum", F.lit("all")), ["stratum"])
 
 
-def stratum(platform):
-    """The platform's name, else what kind of site it is."""
-    return F.when(F.col(platform).isNull(), "bespoke").when(F.col(platform) == "custom", "generic").otherwise(F.col(platform))
+@query(_RESULTS + " SELECT stratum, count(*) AS companies FROM t GROUP BY 1")
+def e4_stratum(spark, sf_dir):
+    return _results(spark, sf_dir, "new").groupBy("stratum").agg(F.count("*").alias("companies"))
 
 
-@query("SELECT CASE WHEN ats_platform IS NULL THEN 'bespoke' WHEN ats_platform = 'custom' THEN 'generic' ELSE ats_platform END AS stratum, count(*) AS companies FROM companies GROUP BY 1")
-def e4_stratum(spark, sf_dir):
-    return T(spark, sf_dir).companies.groupBy(stratum("ats_platform").alias("stratum")).agg(F.count("*").alias("companies"))
+@query(_RESULTS + f" SELECT *, n >= 3 AS eligible FROM ({_card_sql('new', 'stratum')})")
+def e5_by_stratum(spark, sf_dir):
+    return composite.scorecard(_results(spark, sf_dir, "new"), ["stratum"]).withColumn("eligible", F.col("n") >= composite.LEAST_SITES)
 
 
-_STRATA = f"SELECT CASE WHEN ats_platform IS NULL THEN 'bespoke' WHEN ats_platform = 'custom' THEN 'generic' ELSE ats_platform END AS stratum, count(*) AS n, {_AXES} FROM ({_SITE}) JOIN companies USING (company_id) GROUP BY 1"
+_GATE = f"{_RESULTS}, a AS ({_card_sql('old', 'stratum')}), b AS ({_card_sql('new', 'stratum')}), c AS (SELECT a.stratum, a.composite AS champion, coalesce(b.composite, 0) AS challenger, round(coalesce(b.composite, 0) - a.composite, 1) AS delta, b.composite IS NULL OR b.composite - a.composite < -2 AS regressed FROM a LEFT JOIN b USING (stratum) WHERE a.n >= 3)"
 
 
-@query(f"SELECT stratum, n, n >= 3 AS eligible, round(0.6 * discovery + 0.4 * volume, 4)::DOUBLE AS composite FROM ({_STRATA})")
-def e5_by_stratum(spark, sf_dir):
-    sites = _sites(spark, sf_dir).join(T(spark, sf_dir).companies.select("company_id", "ats_platform"), "company_id")
-    composite = 0.6 * F.avg((F.col("model") > 0).cast("int")) * 100 + 0.4 * F.least(F.lit(100.0), F.sum("model") / F.nullif(F.sum("base"), F.lit(0)) * 100)
-    return sites.groupBy(stratum("ats_platform").alias("stratum")).agg(F.count("*").alias("n"), (F.count("*") >= 3).alias("eligible"), F.round(composite, 4).alias("composite"))
+@query(_GATE + " SELECT * FROM c")
+def e6_compared(spark, sf_dir):
+    """Each stratum of one side's scorecard against the other's."""
+    old, new = (composite.scorecard(_results(spark, sf_dir, side), ["stratum"]) for side in ("old", "new"))
+    return composite.compared(new, old)
+
+
+@query(_GATE + ", v AS (SELECT (SELECT count(*) FILTER (regressed) FROM c) AS regressions, coalesce((SELECT min(composite) FROM b WHERE n >= 3) >= (SELECT min(composite) FROM a WHERE n >= 3) - 2, false) AS worst_kept) SELECT *, regressions = 0 AND worst_kept AS passed FROM v")
+def e6_verdict(spark, sf_dir):
+    """Whether no stratum and not the worst one lost more than the tolerance."""
+    old, new = (composite.scorecard(_results(spark, sf_dir, side), ["stratum"]) for side in ("old", "new"))
+    return composite.verdict(new, old)
+
+
+@query(f"""
+    WITH j AS (SELECT company_id, count(*) AS extracted, sum({_FILLED}) AS filled, count(DISTINCT CASE WHEN length(trim(title, ' ')) BETWEEN 4 AND 140 THEN trim(source_url) END) AS titles FROM extracted_jobs GROUP BY 1), l AS (SELECT company_id, max(jobs_found) AS expected FROM crawl_logs GROUP BY 1),
+    p AS (SELECT CASE WHEN quality_score < 10 THEN 'down' END AS error, extracted, filled, titles, expected, extracted::DOUBLE / nullif(expected, 0) AS ratio FROM j JOIN companies USING (company_id) LEFT JOIN l USING (company_id)),
+    a AS (SELECT round(100 * avg((error IS NULL)::INT), 1) AS discovery, round(avg(CASE WHEN titles >= 2 THEN 100.0 ELSE 0 END) FILTER (error IS NULL), 1) AS quality_extraction, round(avg(100 * filled::DOUBLE / (6 * extracted)) FILTER (error IS NULL), 1) AS field_completeness,
+        round(avg(CASE WHEN expected IS NULL THEN 100.0 WHEN ratio <= 1 THEN 100 * ratio ELSE greatest(0, 100 - 100 * greatest(0, ratio - 1.5)) END) FILTER (error IS NULL), 1) AS volume_accuracy FROM p)
+    SELECT *, round(0.2 * discovery + 0.3 * quality_extraction + 0.25 * field_completeness + 0.25 * volume_accuracy, 2) AS composite FROM a""")
+def e13_page_axes(spark, sf_dir):
+    """The axes by page means, with volume falling on both sides; companies stand for tested pages."""
+    t = T(spark, sf_dir)
+    filled = sum((F.when(F.trim(F.coalesce(c, F.lit(""))) != "", 1).otherwise(0) for c in composite.CORE_FIELDS), F.lit(0))
+    jobs = t.extracted_jobs.groupBy("company_id").agg(F.count("*").alias("extracted"), F.sum(filled).alias("filled"), F.countDistinct(F.when(F.length(F.trim("title")).between(4, 140), F.trim("source_url"))).alias("titles"))
+    expected = t.crawl_logs.groupBy("company_id").agg(F.max("jobs_found").alias("expected"))
+    pages = jobs.join(t.companies.select("company_id", F.when(F.col("quality_score") < 10, "down").alias("error")), "company_id").join(expected, "company_id", "left")
+    return composite.page_axes(pages)
 
 
 @query(f"""
@@ -184,11 +241,9 @@ def e24_posterior(spark, sf_dir):
 
 @query("SELECT company_id, round(1.0 / rank() OVER (ORDER BY quality_score DESC), 6)::DOUBLE AS weight FROM companies WHERE quality_score IS NOT NULL")
 def e25_rank_weights(spark, sf_dir):
-    """Weights 1 / rank; the rank is one more than the rows of higher score, counted by distinct score."""
+    """Weights 1 / rank, the rank being one more than the rows of higher score."""
     scored = T(spark, sf_dir).companies.where("quality_score is not null").select("company_id", "quality_score")
-    counts = scored.groupBy("quality_score").agg(F.count("*").alias("n"))
-    above = counts.alias("a").join(counts.alias("b"), F.col("b.quality_score") > F.col("a.quality_score"), "left").groupBy(F.col("a.quality_score").alias("quality_score")).agg((F.coalesce(F.sum("b.n"), F.lit(0)) + 1).alias("place"))
-    return scored.join(above, "quality_score").select("company_id", F.round(1.0 / F.col("place"), 6).alias("weight"))
+    return st.ranked(scored, "quality_score").select("company_id", F.round(1.0 / F.col("place"), 6).alias("weight"))
 
 
 _SIDE = "CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 'baseline' ELSE 'current' END AS side"

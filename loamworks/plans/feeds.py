@@ -4,7 +4,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.text import flat_place
 from ..functions.urls import host
+from ..operators import suffixes
 from ..runtime import shared_folder
 from ..sinks import exports
 from ..sources import files
@@ -57,14 +59,43 @@ def s7_registry(spark, sf_dir):
     return files.registered(rows, "company", "state")
 
 
-@query("SELECT CAST(job_id AS VARCHAR) AS external_id, title, location_raw, 0.98::DOUBLE AS extraction_confidence FROM extracted_jobs")
+@query("SELECT CAST(job_id AS VARCHAR) AS external_id, title, location_raw, 0.98::DOUBLE AS extraction_confidence FROM (SELECT job_id, nullif(trim(title, ' '), '') AS title, nullif(trim(location_raw, ' '), '') AS location_raw FROM extracted_jobs)")
 def s13_board_jobs(spark, sf_dir):
-    """Rows of landed board replies, which are built from the job table, one a company."""
+    """Rows of landed board replies, which are built from the job table, some for each company."""
     entry = F.struct(F.col("job_id").alias("id"), "title", F.struct(F.col("location_raw").alias("name")).alias("location"))
     replies = T(spark, sf_dir).extracted_jobs.groupBy("company_id", F.pmod(F.xxhash64("job_id"), F.lit(64))).agg(F.to_json(F.struct(F.collect_list(entry).alias("jobs"))).alias("body"))
     return files.board_jobs(replies, "body", "flat").select("external_id", "title", "location_raw", "extraction_confidence")
 
 
+@query("""
+    SELECT board, CAST(s_suppkey AS VARCHAR) AS external_id, s_name AS title, CASE board WHEN 'content' THEN n_name || ' ' || r_name ELSE n_name END AS location_raw, confidence::DOUBLE AS confidence
+    FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey, (VALUES ('postings', 0.98), ('paths', 0.95), ('openings', 0.96), ('named', 0.97), ('content', 0.96), ('requisitions', 0.93), ('search', 0.92), ('feed', 0.93), ('items', 0.90)) AS b(board, confidence)""")
+def s14_boards(spark, sf_dir):
+    """One table landed as the replies of nine boards, each read by its own mapping into one shape."""
+    t = T(spark, sf_dir)
+    rows = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    key, name, nation, region = (F.col(c) for c in ("s_suppkey", "s_name", "n_name", "r_name"))
+    entries = {
+        "postings": F.struct(key.alias("id"), name.alias("text"), F.struct(nation.alias("location")).alias("categories")),
+        "paths": F.struct(F.concat(F.lit("/job/x/"), key).alias("externalPath"), name.alias("title"), nation.alias("locationsText")),
+        "openings": F.struct(key.alias("id"), name.alias("jobOpeningName"), F.struct(nation.alias("city")).alias("location")),
+        "named": F.struct(key.alias("id"), name.alias("title"), nation.alias("locationName")),
+        "content": F.struct(key.alias("id"), name.alias("name"), F.struct(nation.alias("city"), region.alias("country")).alias("location")),
+        "requisitions": F.struct(key.alias("id"), name.alias("title"), nation.alias("location")),
+        "search": F.struct(key.alias("jobId"), name.alias("title"), nation.alias("city")),
+        "feed": F.struct(key.alias("ref"), name.alias("position_title"), nation.alias("suburb")),
+        "items": F.struct(key.alias("ref"), name.alias("position"), nation.alias("suburb")),
+    }
+    out = None
+    for board, entry in entries.items():
+        root = files.BOARDS[board][0][0]
+        reply = F.to_json(F.struct(F.collect_list(entry).alias(root))) if root else F.to_json(F.collect_list(entry))
+        landed = rows.groupBy(F.pmod("s_suppkey", F.lit(16))).agg(reply.alias("body"))
+        own = files.board_jobs(landed, "body", board).select(F.lit(board).alias("board"), "external_id", "title", "location_raw", F.col("extraction_confidence").alias("confidence"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 @query("SELECT event_id, array_to_string(list_sort(map_keys(m)), ',') AS filled FROM (SELECT event_id, map_from_entries(list_filter([('event_type', event_type), ('value', CASE WHEN value > 20 THEN 'high' END)], lambda p: p[2] IS NOT NULL)) AS m FROM events)")
 def s5_folded(spark, sf_dir):
     events = T(spark, sf_dir).events.select("event_id", "event_type", F.when(F.col("value") > 20, "high").alias("value"))
@@ -76,17 +107,89 @@ def k1_export_jobs(spark, sf_dir):
     return exports.exported(T(spark, sf_dir).extracted_jobs, exports.JOB_COLUMNS)
 
 
-@query("SELECT coalesce(CAST(company_id AS VARCHAR), '') AS company_id, coalesce(name, '') AS name, coalesce(ats_platform, '') AS ats_platform, '' AS notes FROM companies")
+_COMPANY = """
+    WITH l AS (SELECT company_id, max(started_at) AS last_crawl_at, arg_max(jobs_found, struct_pack(t := started_at, k := log_id)) AS last_crawl_jobs FROM crawl_logs WHERE company_id IS NOT NULL GROUP BY 1),
+    j AS (SELECT company_id, count(DISTINCT regexp_extract(source_url, '^[a-z]+://([^/?#]+)', 1)) AS site_count, count(*) FILTER (is_active) AS expected_jobs FROM extracted_jobs GROUP BY 1)"""
+
+
+def _companies(spark, sf_dir):
+    t = T(spark, sf_dir)
+    logs = t.crawl_logs.where("company_id is not null").groupBy("company_id").agg(F.max("started_at").alias("last_crawl_at"), F.max_by("jobs_found", F.struct("started_at", "log_id")).alias("last_crawl_jobs"))
+    jobs = t.extracted_jobs.groupBy("company_id").agg(F.countDistinct(F.regexp_extract("source_url", "^[a-z]+://([^/?#]+)", 1)).alias("site_count"), F.count_if("is_active").alias("expected_jobs"))
+    own = t.companies.join(logs, "company_id", "left").join(jobs, "company_id", "left")
+    return own.withColumns({"site_count": F.coalesce("site_count", F.lit(0)), "last_crawl_at": F.date_format("last_crawl_at", "yyyy-MM-dd HH:mm:ss")})
+
+
+@query(_COMPANY + """
+    SELECT company_id::VARCHAR AS company_id, name, domain, market_code, coalesce(ats_platform, '') AS ats_platform, crawl_priority::VARCHAR AS crawl_priority, coalesce(site_count, 0)::VARCHAR AS site_count, coalesce(expected_jobs::VARCHAR, '') AS expected_jobs,
+        coalesce(last_crawl_jobs::VARCHAR, '') AS last_crawl_jobs, is_active::VARCHAR AS is_active, '' AS discovered_via, coalesce(strftime(last_crawl_at, '%Y-%m-%d %H:%M:%S'), '') AS last_crawl_at FROM companies LEFT JOIN l USING (company_id) LEFT JOIN j USING (company_id)""")
 def k2_export_companies(spark, sf_dir):
-    return exports.exported(T(spark, sf_dir).companies, ["company_id", "name", "ats_platform", "notes"])
+    """The twelve columns of companies, with what their rows and crawls say of them."""
+    return exports.exported(_companies(spark, sf_dir), exports.COMPANY_COLUMNS)
+
+
+@query(r"""
+    WITH s AS (SELECT s.*, row_number() OVER (PARTITION BY url ORDER BY snapshotted_at DESC, snapshot_id DESC) AS p, min(snapshotted_at) OVER (PARTITION BY url) AS created FROM gold_holdout_snapshots s),
+    v AS (SELECT snapshot_path, CASE WHEN html LIKE '%Showing 1-%' THEN CAST(nullif(regexp_extract(html, 'Showing 1-\d+ of (\d+)', 1), '') AS INT) END AS shown, html LIKE '%<li>%' AS listed, length(html) - length(replace(html, '<script', '<scrip')) >= 3 AS shell FROM snapshot_files)
+    SELECT snapshot_id::VARCHAR AS id, '' AS company_name, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS company_domain, url, CASE WHEN url LIKE '%/careers/%' THEN 'careers' ELSE 'other' END AS page_type, 'snapshot' AS discovery_method, '' AS discovery_confidence, 'true' AS is_primary,
+        (shown IS NOT NULL)::VARCHAR AS is_paginated, coalesce(shell::VARCHAR, '') AS requires_js_rendering, (http_status = 200)::VARCHAR AS is_active, '' AS last_crawl_jobs, coalesce(shown::VARCHAR, '') AS expected_jobs, 'false' AS has_template, '' AS template_accuracy,
+        strftime(snapshotted_at, '%Y-%m-%d %H:%M:%S') AS last_crawled_at, strftime(created, '%Y-%m-%d %H:%M:%S') AS created_at FROM s LEFT JOIN v USING (snapshot_path) WHERE p = 1""")
+def k3_export_sites(spark, sf_dir):
+    """The seventeen columns of sites: the newest snapshot of each address, the jobs expected from what its page says it shows."""
+    t = T(spark, sf_dir)
+    latest = t.gold_holdout_snapshots.groupBy("url").agg(F.max(F.struct("snapshotted_at", "snapshot_id", "snapshot_path", "http_status")).alias("s"), F.min("snapshotted_at").alias("created"))
+    shown = F.when(F.contains("html", F.lit("Showing 1-")), F.nullif(F.regexp_extract("html", r"Showing 1-\d+ of (\d+)", 1), F.lit("")).cast("int"))
+    pages = t.snapshot_files.select("snapshot_path", shown.alias("expected_jobs"), (F.regexp_count("html", F.lit("<script")) >= 3).alias("requires_js_rendering"))
+    time = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    own = latest.select("url", "s.*", "created").join(pages, "snapshot_path", "left").select(
+        F.col("snapshot_id").alias("id"), host(F.col("url")).alias("company_domain"), "url", F.when(F.contains("url", F.lit("/careers/")), "careers").otherwise("other").alias("page_type"), F.lit("snapshot").alias("discovery_method"), F.lit(True).alias("is_primary"),
+        F.col("expected_jobs").isNotNull().alias("is_paginated"), "requires_js_rendering", (F.col("http_status") == 200).alias("is_active"), "expected_jobs", F.lit(False).alias("has_template"), time("snapshotted_at").alias("last_crawled_at"), time("created").alias("created_at"),
+    )
+    return exports.exported(own, exports.SITE_COLUMNS)
 
 
-@query("SELECT job_id, CASE WHEN extraction_confidence >= 0.8 THEN coalesce(salary_raw, '') ELSE '' END AS salary_raw, printf('%.2f', coalesce(extraction_confidence, 0)) AS confidence FROM extracted_jobs WHERE extraction_confidence IS NULL OR abs(extraction_confidence * 1000 - floor(extraction_confidence * 1000)) > 0 OR (extraction_confidence * 1000)::INT % 10 <> 5")
+@query("""
+    WITH h AS (SELECT DISTINCT regexp_extract(source_url, '^[a-z]+://([^/?#]+)', 1) AS host FROM extracted_jobs UNION SELECT 'www.jobs.' || domain FROM companies UNION SELECT 'x.y.' || domain FROM companies UNION SELECT substr(domain, 4) FROM companies),
+    p AS (SELECT host, regexp_replace(lower(host), '^[w.]+', '') AS d FROM h), k AS (SELECT DISTINCT domain AS known FROM companies),
+    m AS (SELECT host, known, CASE WHEN known = d THEN 0 WHEN known = substr(d, instr(d, '.') + 1) AND d LIKE '%.%' THEN 1 WHEN d LIKE '%.%.%' AND known = array_to_string(string_split(d, '.')[3:], '.') THEN 2 WHEN suffix(d, known) OR suffix(known, d) THEN 3 END AS rank FROM p, k WHERE d <> '')
+    SELECT host, m.known, CAST(m.rank AS INT) AS rank FROM (SELECT host, arg_min(struct_pack(known := known, rank := rank), struct_pack(r := rank, k := known)) AS m FROM m WHERE rank IS NOT NULL GROUP BY 1)""")
+def j18_known_hosts(spark, sf_dir):
+    """The company whose host each host stands below or beside: exact, parents, then any common ending."""
+    t = T(spark, sf_dir)
+    domain = t.companies.select("domain")
+    typed = [F.concat(F.lit("www.jobs."), "domain"), F.concat(F.lit("x.y."), "domain"), F.substring("domain", F.lit(4), F.length("domain"))]
+    hosts = t.extracted_jobs.select(host(F.col("source_url")).alias("host"))
+    for x in typed:
+        hosts = hosts.unionByName(domain.select(x.alias("host")))
+    return suffixes.known_host(hosts, domain.withColumnRenamed("domain", "known"))
+
+
+_PLACES = """SELECT g.geo_id, g.name AS city, p.name AS region, g.country_code AS country, g.geo_id % 4 AS k FROM geo_locations g LEFT JOIN geo_locations p ON g.parent_id = p.geo_id"""
+
+
+@query(f"""SELECT geo_id, CASE k WHEN 0 THEN concat_ws(', ', city, region, country) WHEN 1 THEN city WHEN 2 THEN concat_ws(', ', city, country) || ', ' || coalesce(region, 'Elsewhere') ELSE city END AS place FROM ({_PLACES})""")
+def x28_flat_places(spark, sf_dir):
+    """Places written as structured markup in four shapes (address, name only, a list, plain text), as text again."""
+    geo = T(spark, sf_dir).geo_locations
+    parents = geo.select(F.col("geo_id").alias("parent_id"), F.col("name").alias("region"))
+    own = geo.select("geo_id", F.col("name").alias("city"), "parent_id", F.col("country_code").alias("country")).join(parents, "parent_id", "left")
+    address = lambda **c: F.struct(*(v.alias(k) for k, v in c.items()))
+    shapes = [
+        F.to_json(F.struct(F.lit("Place").alias("type"), address(addressLocality=F.col("city"), addressRegion=F.col("region"), addressCountry=F.col("country")).alias("address"))),
+        F.to_json(F.struct(F.col("city").alias("name"), F.struct(F.lit("").alias("addressLocality")).alias("address"))),
+        F.concat(F.lit("["), F.to_json(F.struct(address(addressLocality=F.col("city"), addressCountry=F.col("country")).alias("address"))), F.lit(","), F.to_json(F.struct(F.coalesce("region", F.lit("Elsewhere")).alias("name"))), F.lit("]")),
+        F.col("city"),
+    ]
+    written = F.element_at(F.array(*shapes), (F.pmod("geo_id", F.lit(4)) + 1).cast("int"))
+    return own.select("geo_id", flat_place(written).alias("place"))
+
+
+@query("SELECT job_id, CASE WHEN extraction_confidence >= 0.8 THEN coalesce(salary_raw, '') ELSE '' END AS salary_raw, CAST(CAST(round(CAST(CAST(coalesce(extraction_confidence, 0) AS VARCHAR) AS DECIMAL(28, 18)), 2) AS DECIMAL(20, 2)) AS VARCHAR) AS confidence FROM extracted_jobs")
 def k4_confident_only(spark, sf_dir):
     jobs = T(spark, sf_dir).extracted_jobs
     shown = exports.blank_unless(jobs, F.col("extraction_confidence") >= 0.8, ["salary_raw"])
     # Half up on the decimal digits of the value, not on its binary fraction.
-    hundredths = F.round(F.coalesce("extraction_confidence", F.lit(0.0)).cast("decimal(38,20)"), 2)
+    hundredths = F.round(F.coalesce("extraction_confidence", F.lit(0.0)).cast("string").cast("decimal(28,18)"), 2)
     return shown.select("job_id", "salary_raw", hundredths.cast("decimal(20,2)").cast("string").alias("confidence"))
 
 

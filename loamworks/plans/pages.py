@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import blocks as b
+from ..operators import templates
 from .analytics import T
 
 QUERIES: dict = {}
@@ -94,7 +95,17 @@ def h7_signatures(spark, sf_dir):
     return b.signatures(pages, "snapshot_id", F.col("url"), F.col("html"), RULES)
 
 
-@query(r"""SELECT snapshot_path AS page, length(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) < 260 AS short FROM snapshot_files WHERE NOT html LIKE '%&%'""")
+def _visible_sql() -> str:
+    from ..functions import text as tx
+
+    quoted = lambda x: x.replace("'", "''")
+    tagless = r"regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g')"
+    for entity, sign in tx.ENTITIES:
+        tagless = f"replace({tagless}, '{quoted(entity)}', '{quoted(sign)}')"
+    return rf"trim(regexp_replace({tagless}, '\s+', ' ', 'g'))"
+
+
+@query(f"SELECT snapshot_path AS page, length({_visible_sql()}) < 260 AS short FROM snapshot_files")
 def h8_short_pages(spark, sf_dir):
     from ..functions.text import html_to_text
 
@@ -132,3 +143,44 @@ def h1_postings(spark, sf_dir):
 
 
 SQL["h1_postings"] = "SELECT job_id, title, nullif(location_raw, '') AS location_raw, date_posted, 0.95::DOUBLE AS confidence FROM extracted_jobs"
+
+
+@query(r"""
+    WITH h AS (SELECT snapshot_path AS page, regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1) AS title FROM snapshot_files WHERE regexp_matches(html, '<h1[^>]*>[^<]*</h1>'))
+    SELECT page, trim(regexp_replace(replace(title, '&amp;', '&'), '\s+', ' ', 'g')) AS title, 0.85::DOUBLE AS confidence FROM h""")
+def h17_templated(spark, sf_dir):
+    """The heading of each page by a learned selector."""
+    found = templates.templated(T(spark, sf_dir).snapshot_files, "snapshot_path", "html", {"title": "h1", "nothing": "h1 > .missing"})
+    return found.select("page", F.element_at("fields", "title").alias("title"), "confidence")
+
+
+@query("""
+    SELECT p_partkey, round((CASE WHEN p_partkey % 3 = 0 THEN 2 WHEN p_partkey % 3 = 1 THEN 1 ELSE 1 END)::DOUBLE / (CASE WHEN p_partkey % 3 = 2 THEN 2 ELSE 2 END), 6) AS accuracy FROM part""")
+def h17_accuracy(spark, sf_dir):
+    """How far two extractions of one thing agree: equal or held in the other, unequal, missing on one side."""
+    k = F.pmod("p_partkey", F.lit(3))
+    kind = F.when(k == 0, F.concat(F.lit("All "), F.upper("p_type"))).when(k == 1, F.lit("#"))
+    rows = T(spark, sf_dir).part.select(
+        "p_partkey", F.create_map(F.lit("name"), F.col("p_name"), F.lit("kind"), F.col("p_type")).alias("a"),
+        F.map_filter(F.create_map(F.lit("name"), F.concat(F.lit(" "), "p_name"), F.lit("kind"), kind), lambda _, v: v.isNotNull()).alias("b"),
+    )
+    return rows.select("p_partkey", F.round(templates.accuracy("a", "b", ["name", "kind", "unknown"]), 6).alias("accuracy"))
+
+
+@query(r"""
+    WITH l AS (SELECT snapshot_path AS page, unnest(regexp_extract_all(html, '<li[^>]*>([^<]*)</li>', 1)) AS t FROM snapshot_files WHERE html LIKE '%<li%'),
+    c AS (SELECT page, trim(regexp_replace(replace(t, '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM l)
+    SELECT page, count(*) AS records, min(title) AS first, max(title) AS last FROM c WHERE length(title) BETWEEN 3 AND 300 GROUP BY 1""")
+def h18_wrapped(spark, sf_dir):
+    """Records of a wrapper that is cut at list entries, whose own text is the title."""
+    rows = templates.wrapped_rows(T(spark, sf_dir).snapshot_files.where("html like '%<li%'"), "snapshot_path", "html", ["ul.jobs > li", "body"], ["li"], ["a.apply"], {"place": [".place"]}, every=True)
+    return rows.groupBy("page").agg(F.count("*").alias("records"), F.min("title").alias("first"), F.max("title").alias("last"))
+
+
+@query("""
+    SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '.a|.b' WHEN 1 THEN './/td[4]|.b' WHEN 2 THEN '.' || p_size WHEN 3 THEN '' ELSE '' END AS selectors FROM part""")
+def h27_selector_lists(spark, sf_dir):
+    """Lists of selectors as typed: JSON, YAML, a single one, null and empty."""
+    k = F.pmod("p_partkey", F.lit(5))
+    typed = F.when(k == 0, '[".a", "null", " .b "]').when(k == 1, '---\n- ".//td[4]"\n- null\n- .b').when(k == 2, F.concat(F.lit("'."), "p_size", F.lit("'"))).when(k == 3, "null")
+    return T(spark, sf_dir).part.select("p_partkey", F.array_join(templates.selector_list(typed), "|").alias("selectors"))

@@ -90,20 +90,21 @@ def _pairs(spark, sf_dir):
 
 @query()
 def d1_linked_pairs(spark, sf_dir):
-    """Pairs of one company's rows that the pair rule links; checked against all pairs in the tests."""
+    """Pairs of one company's rows that the pair rule links, rows alike in all it reads as one; checked against all pairs in the tests."""
     return _pairs(spark, sf_dir)
 
 
 @query()
 def d2_groups(spark, sf_dir):
-    """The least id of each row's group."""
-    return dedup.smallest_label(_pairs(spark, sf_dir))
+    """The least id of each row's group, and its links."""
+    rows = dedup.prepared(T(spark, sf_dir).extracted_jobs)
+    return dedup.grouped(rows, dedup.linked_pairs(rows))
 
 
 @query()
 def d4_canonical(spark, sf_dir):
     """Each grouped row's best row and its number of duplicates."""
-    return dedup.canonical(T(spark, sf_dir).extracted_jobs, d2_groups(spark, sf_dir))
+    return dedup.canonical(T(spark, sf_dir).extracted_jobs, d2_groups(spark, sf_dir).select("id", "group"))
 
 
 @query("""

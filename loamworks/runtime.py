@@ -26,12 +26,16 @@ def session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder, which all executors share.
 
-    It is the one named in ``spark.checkpoint.dir``. Only where none is named
-    (tests on one machine) a temporary folder is used.
+    It is the one named in ``spark.checkpoint.dir``. Only on one machine (a local
+    master) a temporary folder is used where none is named; elsewhere that is an
+    error, as other nodes would not see it.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loamworks-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="loamworks-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 

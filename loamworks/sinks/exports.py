@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 
 JOB_COLUMNS = ["job_id", "title", "company_id", "market_code", "location_raw", "employment_type", "salary_raw", "date_posted", "source_url", "external_id", "is_active", "extraction_method"]
 
+COMPANY_COLUMNS = ["company_id", "name", "domain", "market_code", "ats_platform", "crawl_priority", "site_count", "expected_jobs", "last_crawl_jobs", "is_active", "discovered_via", "last_crawl_at"]
+SITE_COLUMNS = [
+    "id", "company_name", "company_domain", "url", "page_type", "discovery_method", "discovery_confidence", "is_primary", "is_paginated", "requires_js_rendering", "is_active", "last_crawl_jobs", "expected_jobs", "has_template", "template_accuracy",
+    "last_crawled_at", "created_at",
+]
+
 
 def exported(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The columns in their order, as texts; nulls as empty texts and missing columns too."""

@@ -103,21 +103,38 @@ def folded(df: DataFrame, keep: Sequence[str], into: str = "selectors") -> DataF
     return df.select(*keep, F.map_filter(pairs, lambda _, v: v.isNotNull() & (F.trim(v) != "")).alias(into))
 
 
-#: Shapes of landed job boards: the path of the list, and of each field below an entry.
+# Shapes of landed job boards: where the list is, the paths of each field below an entry (the first filled
+# one counts; several joined by "+" are written with a blank between them), and the confidence of the board.
 BOARDS = {
-    "flat": ("jobs", {"external_id": "id", "source_url": "absolute_url", "title": "title", "location_raw": "location.name", "description": "content"}),
-    "postings": ("postings", {"external_id": "id", "source_url": "hostedUrl", "title": "text", "location_raw": "categories.location", "description": "descriptionPlain"}),
-    "results": ("result", {"external_id": "ref", "source_url": "link", "title": "name", "location_raw": "city", "description": "body"}),
-}
-
-
-def board_jobs(df: DataFrame, body: str, board: str, confidence: float = 0.98) -> DataFrame:
-    """Job rows of landed JSON replies of one board; replies that cannot be read give none."""
-    root, fields = BOARDS[board]
-    entries = F.variant_get(F.try_parse_json(F.col(body)), f"$.{root}", "array<variant>")
-    own = df.select(F.explode(entries).alias("e"))
-    get = lambda path: F.try_variant_get(F.col("e"), f"$.{path}", "string")
-    return own.select(*(get(p).alias(n) for n, p in fields.items()), F.lit(confidence).alias("extraction_confidence"), F.lit("ats_api").alias("extraction_method"))
+    "flat": (["jobs"], {"external_id": ["id"], "source_url": ["absolute_url"], "title": ["title"], "location_raw": ["location.name"], "description": ["content"], "department": ["departments[0].name"], "date_posted": ["updated_at"]}, 0.98),
+    "postings": (["postings", ""], {"external_id": ["id"], "source_url": ["hostedUrl"], "title": ["text"], "location_raw": ["categories.location"], "description": ["descriptionPlain"], "department": ["categories.department"], "employment_type": ["categories.commitment"]}, 0.98),
+    "paths": (["jobPostings"], {"external_id": ["externalPath"], "source_url": ["externalPath"], "title": ["title"], "location_raw": ["locationsText"], "employment_type": ["timeType"]}, 0.95),
+    "openings": (["result"], {"external_id": ["id"], "title": ["jobOpeningName", "title"], "location_raw": ["location.city", "location"], "department": ["department.label", "department"], "employment_type": ["employmentStatusLabel"]}, 0.96),
+    "named": (["jobPostings"], {"external_id": ["id"], "source_url": ["jobUrl"], "title": ["title"], "location_raw": ["locationName"], "description": ["descriptionHtml"], "department": ["departmentName"], "employment_type": ["employmentType"], "salary_raw": ["compensationTierSummary"]}, 0.97),
+    "content": (["content"], {"external_id": ["id"], "title": ["name"], "location_raw": ["location.city+location.country"], "department": ["department.label"], "employment_type": ["typeOfEmployment.label"], "date_posted": ["releasedDate"]}, 0.96),
+    "requisitions": (["requisitions"], {"external_id": ["id"], "source_url": ["applyUrl"], "title": ["title"], "location_raw": ["location"], "department": ["category"], "date_posted": ["date"]}, 0.93),
+    "search": (["searchResults"], {"external_id": ["jobId"], "source_url": ["jobDetailUrl"], "title": ["title"], "location_raw": ["city"], "department": ["category"], "date_posted": ["datePosted"]}, 0.92),
+    "feed": (["jobs", "results", ""], {"external_id": ["id", "ref"], "source_url": ["url", "apply_link"], "title": ["title", "position_title"], "location_raw": ["location", "suburb"], "employment_type": ["work_type", "employment_type"], "department": ["department"], "date_posted": ["advertise_from", "date_posted"]}, 0.93),
+    "items": (["jobs", "items", ""], {"external_id": ["id", "ref"], "source_url": ["url", "link"], "title": ["title", "position"], "location_raw": ["location", "suburb"], "employment_type": ["employment_type", "work_type"], "department": ["category", "department"]}, 0.90),
+}
+BOARD_FIELDS = ["external_id", "source_url", "title", "location_raw", "description", "department", "employment_type", "salary_raw", "date_posted"]
+
+
+def board_jobs(df: DataFrame, body: str, board: str) -> DataFrame:
+    """Job rows of landed JSON replies of one board, in one shape for all; replies that cannot be read and missing fields give nothing. Dates are cut to the day, ids in paths to the last step."""
+    roots, fields, confidence = BOARDS[board]
+    reply = F.try_parse_json(F.col(body))
+    own = df.select(F.explode(F.coalesce(*(F.try_variant_get(reply, f"$.{r}" if r else "$", "array<variant>") for r in roots))).alias("e"))
+    get = lambda path: F.nullif(F.trim(F.try_variant_get(F.col("e"), f"$.{path}", "string")), F.lit(""))
+    # Where a board writes a text or an object in one place, the object is read by its own path.
+    plain = lambda path: F.when(~F.schema_of_variant(F.try_variant_get(F.col("e"), f"$.{path}", "variant")).startswith("OBJECT"), get(path))
+    one = lambda path: plain(path) if "+" not in path else F.nullif(F.concat_ws(" ", *(get(p) for p in path.split("+"))), F.lit(""))
+
+    def field(name: str) -> Column:
+        value = F.coalesce(*(one(p) for p in fields[name])) if name in fields else F.lit(None).cast("string")
+        return F.substring(value, 1, 10) if name == "date_posted" else F.substring_index(value, "/", -1) if name == "external_id" else value
+
+    return own.select(*(field(n).alias(n) for n in BOARD_FIELDS), F.lit(confidence).alias("extraction_confidence"), F.lit("ats_api").alias("extraction_method"))
 
 
 def outbound(links: DataFrame, own_domains: Sequence[str], host: Column) -> DataFrame:

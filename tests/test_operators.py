@@ -8,9 +8,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from loamworks import runtime
 from loamworks.functions import text as tx
 from loamworks.functions import urls
-from loamworks.operators import blocks, dedup, geocode, merge, relational, statistics
+from loamworks.operators import blocks, composite, dedup, geocode, merge, relational, statistics, suffixes, templates
 from loamworks.sinks import exports
 from loamworks.sources import files
 from loamworks.streaming import jobs as streams
@@ -53,8 +54,87 @@ def test_pair_rule_finds_what_all_pairs_find(spark, data):
     a, b = (rows.select("owner", F.col("id").alias(x), F.struct(*dedup.FIELDS).alias(y)) for x, y in (("a", "x"), ("b", "y")))
     linked, _ = dedup.pair_rule("x", "y")
     every = {(r.a, r.b) for r in a.join(b, "owner").where("a < b").where(linked).select("a", "b").collect()}
-    found = {(r.a, r.b) for r in dedup.linked_pairs(rows).collect()}
-    assert found == every and (9005, 9006) in found and (9003, 9004) not in found
+    members = {}
+    for r in dedup.copies(rows).collect():
+        members.setdefault(r.representative, []).append(r.id)
+    found = {(min(x, y), max(x, y)) for r in dedup.linked_pairs(rows).collect() for x in members[r.a] for y in members[r.b]}
+    assert found == every and {r.id for r in dedup.grouped(rows, dedup.linked_pairs(rows)).collect()} == {x for pair in every for x in pair} and (9005, 9006) in found and (9003, 9004) not in found
+
+
+def test_text_of_a_page_keeps_its_order():
+    """Hand-worked: own text before, between and after children; unclosed and stray tags; hidden parts."""
+    page = "<body><p>You will <b>not</b> smoke here</p><ul><li>one<li>two <a href='/x'>link <i>text</i></a> tail</ul></b><div>open<script>var a = 1;</script><style>p {}</style>"
+    rows = {(r[4], r[9]): r for r in blocks.node_rows("u", page)}
+    assert [r[9] for r in blocks.node_rows("u", page) if r[4] in ("body", "p", "li", "div")] == ["You will not smoke here one two link text tail open", "You will not smoke here", "one", "two link text tail", "open"]
+    body = next(r for r in rows.values() if r[4] == "body")
+    assert body[10] == len("linktext") and body[11] == 1 and blocks.node_rows("u", None) == blocks.node_rows("u", "") == []
+
+
+def test_wrapped_rows_by_hand(spark):
+    """Boundary, title, link and fields of records; short titles, missing links and other pages."""
+    page = """<main><section class="list">
+        <div class="job hot"><h3><a href="/jobs/1">Night Baker</a></h3><span class="place">Mount Lee</span></div>
+        <div class="job"><h3>Cook</h3><a href="#top">up</a><a class="apply" href="https://o.example/2">go</a><span class="place">X</span></div>
+        <div class="job"><h3>No</h3></div></section><div class="other"><h3>Footer</h3></div></main>"""
+    rows = spark.createDataFrame([("https://a.example/list", page), ("p", None), ("q", "<p>x</p>")], "url string, html string")
+    out = templates.wrapped_rows(rows, "url", "html", [".missing", "section > .job"], ["h2", "h3"], ["a.apply"], {"place": [".place"]}).orderBy("position").collect()
+    assert [(r.title, r.source_url, r.fields) for r in out] == [("Night Baker", "https://a.example/jobs/1", {"place": "Mount Lee"}), ("Cook", "https://o.example/2", {})]
+    own = templates.Page(page)
+    assert [own.text(k) for k in own.select("//div[2]/h3")] == ["Cook"] and own.select("div.job.hot h3 a") == own.select("a")[:1] and own.select("bad[selector") == []
+    found = {r.page: r.fields for r in templates.templated(rows, "url", "html", {"title": "h3", "gone": "h6"}).collect()}
+    assert found == {"https://a.example/list": {"title": "Night Baker"}}
+
+
+def test_volume_and_stratum_by_hand(spark):
+    cases = [(0, 0, 0.0), (3, 0, 50.0), (5, 10, 50.0), (10, 10, 100.0), (15, 10, 100.0), (20, 10, 50.0), (40, 10, 0.0), (2, None, 50.0)]
+    rows = spark.createDataFrame(cases, "jobs int, base int, expect double")
+    assert all(abs(r.v - r.expect) < 1e-9 for r in rows.select("expect", composite.volume(F.col("jobs"), F.col("base")).alias("v")).collect())
+    tags = spark.createDataFrame([("Workday ", None, "workday"), ("none", "https://x.Lever.co/a", "lever"), (None, "see __NEXT_DATA__", "spa_shell"), ("", "wordpress", "generic_cms"), (None, None, "bespoke")], "tag string, hay string, expect string")
+    assert all(r.s == r.expect for r in tags.select("expect", composite.stratum(F.col("tag"), F.col("hay")).alias("s")).collect())
+    cards = spark.createDataFrame([("a", 5, 70.0), ("b", 4, 80.0), ("c", 2, 90.0)], "stratum string, n int, composite double")
+    worse = cards.withColumn("composite", F.when(F.col("stratum") == "a", 68.0).otherwise(F.col("composite")))
+    assert composite.verdict(worse, cards).first().passed and not composite.verdict(worse.where("stratum <> 'b'"), cards).first().passed
+    assert [r.regressed for r in composite.compared(cards.withColumn("composite", F.lit(67.9)), cards).orderBy("stratum").collect()] == [True, True]
+    empty = composite.scorecard(spark.createDataFrame([], "k string, found boolean, failed boolean, warned boolean, jobs long, filled long, base long"), ["k"])
+    assert empty.count() == 0
+
+
+def test_known_hosts_against_all_pairs(spark):
+    hosts = [("www.a.b.example",), ("c.example",), ("x.y.c.example",), ("ample",), ("",), (None,), ("zz",), ("x.y.z.c.example",)]
+    known = ["b.example", "C.example", "a.b.example", "d.c.example", None, ""]
+    out = {r.host: (r.known, r["rank"]) for r in suffixes.known_host(spark.createDataFrame(hosts, "host string"), spark.createDataFrame([(k,) for k in known], "known string")).collect()}
+    assert out == {"www.a.b.example": ("a.b.example", 0), "c.example": ("c.example", 0), "x.y.c.example": ("c.example", 2), "ample": ("a.b.example", 3), "x.y.z.c.example": ("c.example", 3)}
+
+
+def test_flat_places_and_selector_lists(spark):
+    places = [('{"address":{"addressLocality":"A","addressCountry":"AU"}}', "A, AU"), ('{"name":"N","address":"s"}', "N"), ('["X",{"name":"Y"},{}]', "X, Y"), ("plain", "plain"), ("[broken", ""), (None, ""), ('"quoted"', "quoted")]
+    assert all(r.p == r.expect for r in spark.createDataFrame(places, "raw string, expect string").select("expect", tx.flat_place(F.col("raw")).alias("p")).collect())
+    lists = [('["a", null, "null", "\'b\'"]', ["a", "b"]), ("---\n- \".//td[4]\"\n- ''\nno", [".//td[4]"]), ("'.x'", [".x"]), ("null", []), ("[]", []), (None, []), ("[broken", [])]
+    assert all(r.s == r.expect for r in spark.createDataFrame(lists, "raw string, expect array<string>").select("expect", templates.selector_list(F.col("raw")).alias("s")).collect())
+
+
+def test_ranks_without_one_window(spark):
+    rng = random.Random(2)
+    scores = [(k, float(rng.choice([1, 1, 1, 2, 5, rng.random() * 9]))) for k in range(500)] + [(900, None)]
+    out = {r.k: r.place for r in statistics.ranked(spark.createDataFrame(scores, "k int, s double"), "s", 8).collect()}
+    assert out == {k: 1 + sum(1 for _, y in scores if y is not None and y > x) for k, x in scores if x is not None}
+    assert statistics.ranked(spark.createDataFrame([], "k int, s double"), "s").count() == 0
+
+
+def test_temporary_folder_only_on_one_machine():
+    class Elsewhere:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            setCheckpointDir = staticmethod(lambda _: pytest.fail("a folder was set"))
+
+            class _jsc:
+                sc = staticmethod(lambda: type("S", (), {"getCheckpointDir": staticmethod(lambda: type("O", (), {"isEmpty": staticmethod(lambda: True)}))}))
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        runtime.shared_folder(Elsewhere)
 
 
 def test_smallest_label_is_the_least_reachable(spark):
