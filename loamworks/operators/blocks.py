@@ -17,7 +17,7 @@ from ..runtime import spread
 VOID = {"br", "hr", "img", "input", "meta", "link", "source", "area", "base", "col", "embed", "wbr"}
 HIDDEN = {"script", "style", "noscript", "template", "head"}
 CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
-BLOCKS = "page string, node int, parent int, depth int, tag string, id string, classes string, href string, own_text string, text string, link_chars int, n_links int"
+BLOCKS = "page string, node int, parent int, depth int, tag string, id string, classes string, href string, own_text string, text string, link_chars int, n_links int, html_chars int, own_paragraphs int, n_paragraphs int"
 LINKS = "page string, position int, url string, anchor string"
 SCRIPTS = "page string, position int, kind string, body string"
 
@@ -25,8 +25,11 @@ SCRIPTS = "page string, position int, kind string, body string"
 class _Tree(HTMLParser):
     """Collects nodes; an unclosed element ends with its parent, a stray end tag is ignored."""
 
-    def __init__(self) -> None:
+    def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
+        #: Where each line starts, so that places in lines become places in the page.
+        self.lines = [0, *(m.end() for m in re.finditer("\n", html))]
+        self.size = len(html)
         self.nodes: list[dict] = []
         #: Visible text in the order of the document; a node's own text and all below it are a range of it.
         self.texts: list[str] = []
@@ -42,21 +45,27 @@ class _Tree(HTMLParser):
             if self.stack and self.nodes[self.stack[-1]]["tag"] == open_tag:
                 self._leave()
         parent = self.stack[-1] if self.stack else -1
-        self.nodes.append({"tag": tag, "parent": parent, "depth": len(self.stack), "id": given.get("id", ""), "classes": " ".join(sorted(given.get("class", "").split())), "href": given.get("href", ""), "own": [], "attrs": given, "first": len(self.texts), "end": len(self.texts)})
+        self.nodes.append({"tag": tag, "parent": parent, "depth": len(self.stack), "id": given.get("id", ""), "classes": " ".join(sorted(given.get("class", "").split())), "href": given.get("href", ""), "own": [], "attrs": given, "first": len(self.texts), "end": len(self.texts), "from": self._at(), "to": self._at() + len(self.get_starttag_text() or "")})
         if tag not in VOID:
             self.stack.append(len(self.nodes) - 1)
 
-    def _leave(self) -> str:
+    def _at(self) -> int:
+        line, column = self.getpos()
+        return self.lines[line - 1] + column
+
+    def _leave(self, to: int | None = None) -> str:
         node = self.nodes[self.stack.pop()]
-        node["end"] = len(self.texts)
+        node["end"], node["to"] = len(self.texts), self._at() if to is None else to
         return node["tag"]
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "script":
             self.script = None
         if any(self.nodes[k]["tag"] == tag for k in self.stack):
-            while self._leave() != tag:
-                pass
+            # The end tag belongs to the element it closes alone.
+            while self.nodes[self.stack[-1]]["tag"] != tag:
+                self._leave()
+            self._leave(self._at() + len(tag) + 3)
 
     def handle_data(self, data: str) -> None:
         if self.script is not None:
@@ -69,11 +78,11 @@ class _Tree(HTMLParser):
     def close(self) -> None:
         super().close()
         while self.stack:
-            self._leave()
+            self._leave(self.size)
 
 
 def parse(html: str | None) -> _Tree:
-    tree = _Tree()
+    tree = _Tree(html or "")
     tree.feed(html or "")
     tree.close()
     return tree
@@ -83,7 +92,7 @@ def node_rows(page: str, html: str | None) -> list[tuple]:
     """The rows of one page: each element with its own text, all text below it in the order of the document, and the share of it within links."""
     tree = parse(html)
     nodes, texts = tree.nodes, tree.texts
-    linked, links = [0] * len(nodes), [0] * len(nodes)
+    linked, links, own, below = ([0] * len(nodes) for _ in range(4))
     # Children follow their parents, so one pass from the end gathers everything.
     for k in range(len(nodes) - 1, -1, -1):
         n = nodes[k]
@@ -93,8 +102,10 @@ def node_rows(page: str, html: str | None) -> list[tuple]:
         if n["parent"] >= 0:
             linked[n["parent"]] += linked[k]
             links[n["parent"]] += links[k]
+            own[n["parent"]] += n["tag"] == "p"
+            below[n["parent"]] += below[k] + (n["tag"] == "p")
     return [
-        (page, k, n["parent"], n["depth"], n["tag"], n["id"], n["classes"], n["href"], " ".join(n["own"]), " ".join(texts[n["first"] : n["end"]]), linked[k], links[k])
+        (page, k, n["parent"], n["depth"], n["tag"], n["id"], n["classes"], n["href"], " ".join(n["own"]), " ".join(texts[n["first"] : n["end"]]), linked[k], links[k], n["to"] - n["from"], own[k], below[k])
         for k, n in enumerate(nodes)
     ]
 
@@ -216,14 +227,33 @@ def container_scores(table: DataFrame, words: str = r"job|career|vacanc|position
     return joined.select("page", "node", score.cast("int").alias("score")).where("score >= 5")
 
 
-def density(table: DataFrame, k: int = 8) -> DataFrame:
-    """Each page's ``k`` densest blocks: length, times the share outside links, times a prose factor by sentences."""
-    body = table.where(F.col("tag").isin("div", "section", "article", "main", "td", "ul", "table")).where(F.length("text") >= 100)
-    prose = F.regexp_count("text", F.lit(r"[.!?](?:\s|$)")) / F.greatest(F.regexp_count("text", F.lit(r"\S+")) / 12, F.lit(1))
-    score = F.length("text") * (1 - F.least(F.lit(1.0), F.col("link_chars") / F.length("text"))) * F.least(F.lit(1.0), 0.2 + prose)
-    own = body.select("page", "node", F.length("text").alias("length"), F.round(score, 6).alias("score"))
+# Words of job texts.
+JOB_TERMS = [
+    "responsibilities", "requirements", "qualifications", "experience", "skills", "role", "position", "opportunity", "team", "company", "benefits", "salary", "location", "remote", "hybrid", "onsite", "degree", "candidate", "reporting",
+    "collaborate", "passion", "ideal", "culture", "flexible", "competitive", "manage", "develop", "support", "lead", "join", "apply", "employment", "career", "permanent", "contract", "full-time", "part-time", "environment",
+]
+
+
+def density(table: DataFrame, k: int = 8, least: int = 100) -> DataFrame:
+    """(page, node, length, score, place): each page's ``k`` densest blocks.
+
+    The score is the length times the share of the markup that is text, the share
+    of the text outside links, half and half of the share in sentences, a bonus for
+    job words (up to a quarter above 0.75) and one for paragraphs below it (up to
+    0.3). Blocks under ``least`` signs are left out.
+    """
+    body = table.where(F.col("tag").isin("div", "section", "article", "td", "main")).where(F.length("text") >= least)
+    length = F.length("text")
+    share = lambda part, whole: F.least(F.lit(1.0), part / F.greatest(F.lit(1), whole))
+    sentences = F.length(F.array_join(F.regexp_extract_all("text", F.lit(r"([A-Z][^.!?]{15,}[.!?])"), F.lit(1)), ""))
+    low = F.lower("text")
+    words = sum((F.when(F.contains(low, F.lit(w)), 1).otherwise(0) for w in JOB_TERMS), F.lit(0))
+    # Paragraphs right below, and up to five anywhere below.
+    bonus = 1 + F.least(F.lit(0.3), (F.col("own_paragraphs") + F.least(F.lit(5), F.col("n_paragraphs"))) * 0.05)
+    score = length * share(length, F.col("html_chars")) * (1 - share(F.col("link_chars"), length)) * (0.5 + 0.5 * share(sentences, length)) * (0.75 + F.least(F.lit(0.25), words / 20)) * bonus
+    scored = body.select("page", "node", length.alias("length"), F.round(score, 6).alias("score")).where("score > 0")
     order = Window.partitionBy("page").orderBy(F.desc("score"), F.desc("node"))
-    return own.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
 def text_blocks(table: DataFrame, least: int = 100, most: int = 50) -> DataFrame:
@@ -261,12 +291,50 @@ def common_selectors(table: DataFrame, group: Column, least: int = 2) -> DataFra
     return counts.join(sizes, "site").where("pages = all").select("site", "selector", "pages")
 
 
-def signatures(pages: DataFrame, page: str, url: Column, html: Column, rules: list[tuple[str, str, str, str]]) -> DataFrame:
-    """(page, platform, points, confidence): the platform whose signs in address (2), markup (1) and scripts (1) reach two points, the first on a tie. Rules: (platform, url, dom, script) patterns."""
-    points = [F.when(url.rlike(u), 2).otherwise(0) + F.when(html.rlike(d), 1).otherwise(0) + F.when(html.rlike(s), 1).otherwise(0) for _, u, d, s in rules]
-    scored = F.array(*(F.struct(p.alias("points"), F.lit(-k).alias("k"), F.lit(n).alias("platform")) for k, (p, (n, *_)) in enumerate(zip(points, rules, strict=True))))
-    best = pages.select(F.col(page).alias("page"), F.array_max(scored).alias("b")).where("b.points >= 2")
-    return best.select("page", "b.platform", "b.points", F.round(F.least(F.lit(0.99), 0.9 + 0.01 * (F.col("b.points") - 2)), 2).alias("confidence"))
+# Signs of job platforms: patterns of addresses, texts and scripts, and the confidence.
+SIGNATURES = [
+    ("greenhouse", [r"boards\.greenhouse\.io", r"job-boards\.greenhouse\.io"], ["greenhouse", "gh_jboard"], [], 0.95),
+    ("lever", [r"jobs\.lever\.co"], ["lever-jobs-container", "lever-job"], [], 0.95),
+    ("workday", [r"myworkdayjobs\.com", r"wd\d+\.myworkdayjobs\.com"], ["workday", "wd-"], ["workday"], 0.95),
+    ("bamboohr", [r"bamboohr\.com/careers", r"\.bamboohr\.com"], ["bamboo", "bamboohr"], [], 0.90),
+    ("icims", [r"careers-\w+\.icims\.com", r"icims\.com"], ["icims", "icims"], [], 0.92),
+    ("taleo", [r"taleo\.net"], ["taleo", r"oracle.*recruit"], [], 0.92),
+    ("smartrecruiters", [r"careers\.smartrecruiters\.com"], ["smartrecruiters", "smart-apply"], [], 0.93),
+    ("ashby", [r"jobs\.ashbyhq\.com"], ["ashby", "ashbyhq"], [], 0.94),
+    ("jobvite", [r"jobs\.jobvite\.com"], ["jobvite"], [], 0.93),
+    ("applynow", [r"applynow\.net\.au"], ["applynow", "applyboard"], [], 0.88),
+    ("pageup", [r"pageuppeople\.com"], ["pageup", "pageuppeople", "pua-table"], [], 0.90),
+    ("jazzhr", [r"jazzhr\.com", r"app\.jazz\.co"], ["jazzhr", "jazz-"], [], 0.90),
+]
+
+
+def signatures(pages: DataFrame, page: str, url: Column, html: Column, rules: list = SIGNATURES) -> DataFrame:
+    """(page, platform, points, confidence): the first platform whose signs reach two points.
+
+    A sign of the address counts 2, of the text and of scripts 1, searched in the
+    address, the visible text and the addresses of scripts and links. A point more
+    adds 0.01 to the platform's confidence, up to 0.99. A page without a platform
+    takes that of the first frame with a platform's address, at 0.9 of its
+    confidence and 0 points.
+    """
+    every = lambda tag, key: F.array_join(F.regexp_extract_all(html, F.lit(rf'(?i)<{tag}\b[^>]*\s{key}="([^"]*)"'), F.lit(1)), " ")
+    scripts = every("script", "src")
+    seen = F.lower(F.concat_ws(" ", url, tx.html_to_text(html), scripts, every("a", "href")))
+    frames = F.lower(every("iframe", "src"))
+    own = pages.select(F.col(page).alias("page"), seen.alias("seen"), F.lower(scripts).alias("scripts"), frames.alias("frames"))
+    points = lambda urls, texts, own_scripts: sum((F.when(F.col(c).rlike(p), n).otherwise(0) for c, n, patterns in (("seen", 2, urls), ("seen", 1, texts), ("scripts", 1, own_scripts)) for p in patterns), F.lit(0))
+    best = F.lit(None).cast("struct<platform:string,points:int,confidence:double>")
+    for name, urls, _, _, base in reversed(rules):
+        best = F.when(F.col("frames").rlike("|".join(urls)), F.struct(F.lit(name).alias("platform"), F.lit(0).alias("points"), F.lit(round(base * 0.9, 6)).alias("confidence"))).otherwise(best)
+    for name, urls, texts, own_scripts, base in reversed(rules):
+        p = points(urls, texts, own_scripts)
+        best = F.when(p >= 2, F.struct(F.lit(name).alias("platform"), p.cast("int").alias("points"), F.round(F.least(F.lit(0.99), base + 0.01 * (p - 2)), 6).alias("confidence"))).otherwise(best)
+    return own.select("page", best.alias("b")).where("b is not null").select("page", "b.platform", "b.points", "b.confidence")
+
+
+def excerpt(table: DataFrame, tag: str, most: int = 400) -> DataFrame:
+    """(page, excerpt): up to ``most`` signs of the text of each page's first element of a tag."""
+    return table.where(F.col("tag") == tag).groupBy("page").agg(F.substring(F.min_by("text", "node"), 1, most).alias("excerpt"))
 
 
 def is_shell(html: Column) -> Column:

@@ -128,6 +128,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: in
     return scored.where(F.col("cosine") > least).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
+def weighted_coverage(extracted: Column, total: Column, expected: Column) -> Column:
+    """The share of a weighted total that was extracted, at most 1; of an expected count where there is no total; null without either."""
+    share = lambda whole: F.least(F.lit(1.0), extracted / whole)
+    return F.when(F.coalesce(total, F.lit(0)) > 0, share(total)).when(expected > 0, share(expected))
+
+
 def ranked(df: DataFrame, score: str, parts: int = 256) -> DataFrame:
     """``df`` with each row's ``place``: one more than the rows of higher score, over the whole table.
 

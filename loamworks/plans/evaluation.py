@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import composite
+from ..operators import composite, merge
 from ..operators import relational as r
 from ..operators import statistics as st
 from .analytics import T
@@ -186,6 +186,39 @@ def e15_seeds(spark, sf_dir):
     return r.first_per(own, ["market_code"], [F.desc("n"), F.asc("company_id")], 9)
 
 
+@query("""
+    WITH j AS (SELECT company_id, count(*) FILTER (extraction_confidence >= 0.8) AS gold, count(*) FILTER (extraction_confidence >= 0.4 AND extraction_confidence < 0.8) AS silver FROM extracted_jobs GROUP BY 1), l AS (SELECT company_id, max(jobs_found) AS extracted, count(DISTINCT log_id) AS expected FROM crawl_logs WHERE company_id IS NOT NULL GROUP BY 1),
+    w AS (SELECT company_id, extracted, expected, gold + 0.5 * silver AS total FROM l LEFT JOIN j USING (company_id))
+    SELECT company_id, round(CASE WHEN coalesce(total, 0) > 0 THEN least(1.0, extracted::DOUBLE / total) WHEN expected > 0 THEN least(1.0, extracted::DOUBLE / expected) END, 6)::DOUBLE AS coverage FROM w""")
+def e10_weighted_coverage(spark, sf_dir):
+    """Coverage of trusted (1) and likely (one half) rows, doubtful ones left out; without any, of the expected count."""
+    t = T(spark, sf_dir)
+    c = F.col("extraction_confidence")
+    marked = t.extracted_jobs.groupBy("company_id").agg((F.count_if(c >= 0.8) + 0.5 * F.count_if((c >= 0.4) & (c < 0.8))).alias("total"))
+    logs = t.crawl_logs.where("company_id is not null").groupBy("company_id").agg(F.max("jobs_found").alias("extracted"), F.countDistinct("log_id").alias("expected"))
+    return logs.join(marked, "company_id", "left").select("company_id", F.round(st.weighted_coverage(F.col("extracted"), F.col("total"), F.col("expected")), 6).alias("coverage"))
+
+
+@query(_RESULTS + " SELECT stratum, round(least(20.0, 0.05 * greatest(0, sum(base) - sum(new_jobs))), 1)::DOUBLE AS points FROM t GROUP BY 1")
+def e18_cluster_points(spark, sf_dir):
+    """What mending a stratum could gain at most: 0.05 points for each missing row, up to 20."""
+    number = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    missing = F.greatest(F.lit(0), number("base") - number("jobs"))
+    return _results(spark, sf_dir, "new").groupBy("stratum").agg(F.round(F.least(F.lit(20.0), 0.05 * missing), 1).alias("points"))
+
+
+@query("""
+    WITH o AS (SELECT company_id, max(jobs_found) AS best FROM crawl_logs WHERE company_id IS NOT NULL AND started_at < TIMESTAMP '2025-08-01' GROUP BY 1), n AS (SELECT company_id, max(jobs_found) AS best FROM crawl_logs WHERE company_id IS NOT NULL AND started_at >= TIMESTAMP '2025-08-01' GROUP BY 1)
+    SELECT company_id, greatest(coalesce(o.best, n.best), coalesce(n.best, o.best)) AS best, CASE WHEN o.best IS NULL OR n.best >= o.best THEN 'new' ELSE 'old' END AS run FROM o FULL JOIN n USING (company_id)""")
+def e8_ratchet(spark, sf_dir):
+    """The best value of each key over two runs and the run it is from; it never falls, and the newer run takes a tie."""
+    logs = T(spark, sf_dir).crawl_logs.where("company_id is not null")
+    cut = F.col("started_at") < F.lit("2025-08-01").cast("timestamp")
+    run = lambda rows, name, newer: rows.groupBy("company_id").agg(F.struct(F.max("jobs_found").alias("best"), F.lit(newer).alias("newer"), F.lit(name).alias("run")).alias("b"))
+    merged = merge.upsert(run(logs.where(cut), "old", 0), run(logs.where(~cut), "new", 1), ["company_id"], {"b": "max"})
+    return merged.select("company_id", "b.best", "b.run")
+
+
 @query("SELECT CASE WHEN is_active AND extraction_confidence < 0.5 THEN 'fp' WHEN NOT is_active AND extraction_confidence >= 0.5 THEN 'fn' ELSE 'correct' END AS kind, count(*) AS n FROM extracted_jobs GROUP BY 1")
 def e18_failure_kind(spark, sf_dir):
     kind = F.when(F.col("is_active") & (F.col("extraction_confidence") < 0.5), "fp").when(~F.col("is_active") & (F.col("extraction_confidence") >= 0.5), "fn").otherwise("correct")

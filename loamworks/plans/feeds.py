@@ -251,3 +251,56 @@ def z7_ratchet(spark, sf_dir):
 def _glob(path: str) -> str:
     """A file's folder pattern; a stream reads folders, or a pattern of files."""
     return path.replace("events.parquet", "event[s].parquet")
+
+
+@query("SELECT coalesce(company_id, -1)::VARCHAR || '/' || crawl_type AS key, count(*) AS attempts, count(*) FILTER (status = 'success') AS successes FROM crawl_logs WHERE started_at >= TIMESTAMP '2025-08-18' GROUP BY 1 HAVING count(*) >= 3 AND count(*) FILTER (status = 'success') < 0.6 * count(*)")
+def h13_skipped(spark, sf_dir):
+    """Keys whose costly layers are skipped: attempts of the last fourteen days, too few of which succeeded."""
+    logs = T(spark, sf_dir).crawl_logs.withColumn("key", F.concat_ws("/", F.coalesce("company_id", F.lit(-1)), "crawl_type"))
+    return streams.skip_layers(streams.counted_attempts(logs, "key", F.col("status") == "success", "started_at", F.lit("2025-09-01").cast("timestamp")), 3, 0.6)
+
+
+@query("SELECT company_id, least(best, 20) AS depth, CASE WHEN best >= 200 THEN 4 WHEN best <= 20 THEN 2 ELSE 3 END AS workers FROM (SELECT company_id, max(jobs_found) AS best FROM crawl_logs GROUP BY 1)")
+def z12_workers(spark, sf_dir):
+    """Workers after one step of balancing, from three, by what waits."""
+    depth = T(spark, sf_dir).crawl_logs.groupBy("company_id").agg(F.max("jobs_found").alias("best"))
+    return depth.select("company_id", F.least("best", F.lit(20)).alias("depth"), streams.worker_change(F.col("best"), F.lit(3)).alias("workers"))
+
+
+@query("SELECT url, content_hash, count(*) AS times FROM gold_holdout_snapshots GROUP BY 1, 2")
+def z10_contents(spark, sf_dir):
+    """Each content of each address once, with how often it came."""
+    rows = T(spark, sf_dir).gold_holdout_snapshots
+    once = streams.unseen(rows, "snapshotted_at", ["url", "content_hash"]).select("url", "content_hash")
+    return once.join(rows.groupBy("url", "content_hash").agg(F.count("*").alias("times")), ["url", "content_hash"])
+
+
+@query("SELECT row_id::VARCHAR AS row_id, company, country FROM company_enrichment_rows")
+def s1_csv_rows(spark, sf_dir):
+    """Rows written as CSV with a byte order mark before the header and read again; columns that are not asked for are left out."""
+    folder = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    rows = T(spark, sf_dir).company_enrichment_rows.select(F.col("row_id").alias(files.BOM + " Row_ID"), "company", F.col("country").alias("country "), F.col("status").alias("other"))
+    exports.write_csv(rows, folder)
+    return files.csv_rows(spark, folder, ["row_id", "company"], ["row_id", "company", "country"])
+
+
+@query("""
+    WITH r AS (SELECT row_id, trim(company, ' ') AS company, trim(country, ' ') AS country FROM company_enrichment_rows WHERE trim(coalesce(company, ''), ' ') <> ''), c AS (SELECT lower(company) AS k, lower(country) AS l, max(completed_at) AS seen FROM company_enrichment_rows WHERE status = 'done' AND company = trim(company, ' ') AND country = trim(country, ' ') GROUP BY 1, 2)
+    SELECT row_id, r.company, r.country, CASE WHEN c.seen >= TIMESTAMP '2025-08-01' THEN 'done' ELSE 'pending' END AS status FROM r LEFT JOIN c ON lower(r.company) = c.k AND lower(r.country) = c.l""")
+def s4_enrichment(spark, sf_dir):
+    """Rows of an uploaded list; those done before and recently enough are not done again."""
+    rows = T(spark, sf_dir).company_enrichment_rows
+    done = rows.where("status = 'done' and company = trim(company) and country = trim(country)").select("company", "country", "completed_at")
+    return files.queued(rows.select("row_id", "company", "country"), done, "completed_at", F.lit("2025-08-01").cast("timestamp"))
+
+
+@query("SELECT geo_id AS id, name, ascii_name, coalesce(alt_names, []) AS alt_names, lat, lng, country_code AS country, population FROM geo_locations WHERE level > 1")
+def s9_gazetteer(spark, sf_dir):
+    """Places written in the layout of a public gazetteer and read again."""
+    folder = f"{shared_folder(spark)}/gazetteer-{uuid.uuid4().hex}"
+    geo = T(spark, sf_dir).geo_locations
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    kind, code = F.when(F.col("level") == 2, "A").otherwise("P"), F.when(F.col("level") == 1, "OTHER").when(F.col("level") == 2, "ADM1").otherwise("PPL")
+    fields = [text("geo_id"), text("name"), text("ascii_name"), F.coalesce(F.array_join("alt_names", ","), F.lit("")), text("lat"), text("lng"), kind, code, text("country_code"), F.lit(""), F.lit("01"), F.lit(""), F.lit(""), F.lit(""), text("population"), *[F.lit("")] * 4]
+    geo.select(F.concat_ws("\t", *fields).alias("value")).write.text(folder)
+    return files.gazetteer_rows(spark, folder).select("id", "name", "ascii_name", "alt_names", "lat", "lng", "country", "population")

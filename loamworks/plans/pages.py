@@ -4,11 +4,11 @@ from pyspark.sql import functions as F
 
 from ..operators import blocks as b
 from ..operators import templates
+from ..runtime import cut_lineage
 from .analytics import T
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-RULES = [("nuxt", r"/position/", r"__nuxt", r"window\.dl"), ("plain", r"/jobs?/", r"<article", r"var q="), ("tabled", r"/careers/", r"<table", r"ld\+json")]
 
 
 def query(sql: str | None = None):
@@ -59,23 +59,35 @@ def h10_density(spark, sf_dir):
     return b.density(_blocks(spark, sf_dir))
 
 
+def _likely(table):
+    found = b.text_blocks(table)
+    prose = F.least(F.lit(1.0), 10.0 * F.regexp_count("text", F.lit(r"[.!?](?:\s|$)")) / F.greatest(F.regexp_count("text", F.lit(r"\S+")), F.lit(1)))
+    return b.best_block(found.select("page", "node", F.length("text").alias("length"), prose.alias("probability")))
+
+
 @query()
 def h14_h15_best_block(spark, sf_dir):
     """Of each page's text blocks, the longest among the likeliest by their prose."""
-    found = b.text_blocks(_blocks(spark, sf_dir))
-    prose = F.least(F.lit(1.0), 10.0 * F.regexp_count("text", F.lit(r"[.!?](?:\s|$)")) / F.greatest(F.regexp_count("text", F.lit(r"\S+")), F.lit(1)))
-    return b.best_block(found.select("page", "node", F.length("text").alias("length"), prose.alias("probability")))
+    return _likely(_blocks(spark, sf_dir))
 
 
 @query()
 def h12_layers(spark, sf_dir):
-    """Each page's description by the first good layer: semantic elements, the densest block, the whole text."""
-    table = _blocks(spark, sf_dir)
+    """Each page's description by the first good layer: structured data, learnt selectors, semantic elements, the densest block, the likeliest block. Layers that call models are left out."""
+    files = T(spark, sf_dir).snapshot_files
+    table = cut_lineage(_blocks(spark, sf_dir))
+    whole = table.groupBy("page").agg(F.lit(1).alias("one"))
+    structured = b.postings(b.page_scripts(files, "snapshot_path", "html")).groupBy("page").agg(F.max_by("description", F.length("description")).alias("structured"))
+    learned = templates.templated(files, "snapshot_path", "html", {"text": "div.job-description"}).select("page", F.element_at("fields", "text").alias("learned"))
     semantic = table.where(F.col("tag").isin("main", "article")).groupBy("page").agg(F.max_by("text", F.length("text")).alias("semantic"))
-    dense = b.density(table, 1).select("page", "node").join(table.select("page", "node", F.col("text").alias("dense")), ["page", "node"]).drop("node")
-    whole = table.where("tag = 'body'").groupBy("page").agg(F.first("text").alias("whole"))
-    joined = whole.join(semantic, "page", "left").join(dense, "page", "left")
-    return joined.select("page", *b.first_good(("semantic", F.col("semantic"), 0.8), ("density", F.col("dense"), 0.7), ("whole", F.col("whole"), 0.4)))
+    texts = table.select("page", "node", "text")
+    dense = b.density(table, 1).select("page", "node").join(texts, ["page", "node"]).select("page", F.col("text").alias("density"))
+    likely = _likely(table).join(texts, ["page", "node"]).select("page", F.col("text").alias("classifier"))
+    joined = whole
+    for layer in (structured, learned, semantic, dense, likely):
+        joined = joined.join(layer, "page", "left")
+    layers = {"structured": 0.98, "learned": 0.90, "semantic": 0.72, "density": 0.65, "classifier": 0.80}
+    return joined.select("page", *b.first_good(*((n, F.col(n), c) for n, c in layers.items())))
 
 
 @query()
@@ -83,18 +95,6 @@ def h16_common_selectors(spark, sf_dir):
     return b.common_selectors(_blocks(spark, sf_dir), F.split("page", "/")[1])
 
 
-@query(r"""
-    WITH r AS (SELECT s.snapshot_id AS page, CASE WHEN regexp_matches(url, '/position/') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(html, '__nuxt') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(html, 'window\.dl') THEN 1 ELSE 0 END AS a,
-        CASE WHEN regexp_matches(url, '/jobs?/') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(html, '<article') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(html, 'var q=') THEN 1 ELSE 0 END AS b,
-        CASE WHEN regexp_matches(url, '/careers/') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(html, '<table') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(html, 'ld\+json') THEN 1 ELSE 0 END AS c
-        FROM gold_holdout_snapshots s JOIN snapshot_files f USING (snapshot_path))
-    SELECT page, CASE WHEN a >= b AND a >= c THEN 'nuxt' WHEN b >= c THEN 'plain' ELSE 'tabled' END AS platform, greatest(a, b, c) AS points, round(least(0.99, 0.9 + 0.01 * (greatest(a, b, c) - 2)), 2)::DOUBLE AS confidence FROM r WHERE greatest(a, b, c) >= 2""")
-def h7_signatures(spark, sf_dir):
-    t = T(spark, sf_dir)
-    pages = t.gold_holdout_snapshots.select("snapshot_id", "url", "snapshot_path").join(t.snapshot_files, "snapshot_path")
-    return b.signatures(pages, "snapshot_id", F.col("url"), F.col("html"), RULES)
-
-
 def _visible_sql() -> str:
     from ..functions import text as tx
 
@@ -105,6 +105,25 @@ def _visible_sql() -> str:
     return rf"trim(regexp_replace({tagless}, '\s+', ' ', 'g'))"
 
 
+def _signature_sql() -> str:
+    every = lambda tag, key: rf"""array_to_string(regexp_extract_all(html, '(?i)<{tag}\b[^>]*\s{key}="([^"]*)"', 1), ' ')"""
+    ladder, frames = "", ""
+    for name, urls, texts, scripts, base in b.SIGNATURES:
+        points = " + ".join([f"2 * regexp_matches(seen, '{p}')::INT" for p in urls] + [f"regexp_matches(seen, '{p}')::INT" for p in texts] + [f"regexp_matches(scripts, '{p}')::INT" for p in scripts])
+        ladder += f" WHEN {points} >= 2 THEN {{'platform': '{name}', 'points': {points}, 'confidence': round(least(0.99, {base} + 0.01 * ({points} - 2)), 6)::DOUBLE}}"
+        frames += f" WHEN regexp_matches(frames, '{'|'.join(urls)}') THEN {{'platform': '{name}', 'points': 0, 'confidence': round({base} * 0.9, 6)::DOUBLE}}"
+    return f"""
+        WITH p AS ({_HOSTED_SQL}), q AS (SELECT page, lower(concat_ws(' ', url, {_visible_sql()}, {every("script", "src")}, {every("a", "href")})) AS seen, lower({every("script", "src")}) AS scripts, lower({every("iframe", "src")}) AS frames FROM p)
+        SELECT page, x.platform AS platform, x.points AS points, x.confidence AS confidence FROM (SELECT page, CASE {ladder} {frames} END AS x FROM q) WHERE x IS NOT NULL"""
+
+
+#: Pages as if some were hosted by platforms: signs in the address, in scripts and in frames.
+_HOSTED_SQL = """
+    SELECT snapshot_id AS page, CASE snapshot_id % 6 WHEN 0 THEN 'https://boards.greenhouse.io/x' WHEN 1 THEN 'https://a.wd3.myworkdayjobs.com/x' ELSE url END AS url,
+        CASE snapshot_id % 6 WHEN 2 THEN html || '<script src="https://x.example/workday.js"></script><a href="/wd-list">x</a>' WHEN 3 THEN html || '<iframe src="https://jobs.jobvite.com/x"></iframe>' WHEN 4 THEN html || '<p>Powered by lever-job</p>' ELSE html END AS html
+    FROM gold_holdout_snapshots JOIN snapshot_files USING (snapshot_path)"""
+
+
 @query(f"SELECT snapshot_path AS page, length({_visible_sql()}) < 260 AS short FROM snapshot_files")
 def h8_short_pages(spark, sf_dir):
     from ..functions.text import html_to_text
@@ -184,3 +203,20 @@ def h27_selector_lists(spark, sf_dir):
     k = F.pmod("p_partkey", F.lit(5))
     typed = F.when(k == 0, '[".a", "null", " .b "]').when(k == 1, '---\n- ".//td[4]"\n- null\n- .b').when(k == 2, F.concat(F.lit("'."), "p_size", F.lit("'"))).when(k == 3, "null")
     return T(spark, sf_dir).part.select("p_partkey", F.array_join(templates.selector_list(typed), "|").alias("selectors"))
+
+
+@query(_signature_sql())
+def h7_signatures(spark, sf_dir):
+    """The platform behind each page by twelve signatures."""
+    t = T(spark, sf_dir)
+    k = F.pmod("snapshot_id", F.lit(6))
+    url = F.when(k == 0, "https://boards.greenhouse.io/x").when(k == 1, "https://a.wd3.myworkdayjobs.com/x").otherwise(F.col("url"))
+    added = F.when(k == 2, '<script src="https://x.example/workday.js"></script><a href="/wd-list">x</a>').when(k == 3, '<iframe src="https://jobs.jobvite.com/x"></iframe>').when(k == 4, "<p>Powered by lever-job</p>").otherwise("")
+    pages = t.gold_holdout_snapshots.select("snapshot_id", url.alias("url"), "snapshot_path").join(t.snapshot_files, "snapshot_path").withColumn("html", F.concat("html", added))
+    return b.signatures(pages, "snapshot_id", F.col("url"), F.col("html"))
+
+
+@query(r"""SELECT snapshot_path AS page, substr(trim(regexp_replace(replace(regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1), '&amp;', '&'), '\s+', ' ', 'g')), 1, 400) AS excerpt FROM snapshot_files WHERE regexp_matches(html, '<h1[^>]*>[^<]*</h1>')""")
+def h24_excerpts(spark, sf_dir):
+    """The beginning of each page's heading."""
+    return b.excerpt(_blocks(spark, sf_dir), "h1")

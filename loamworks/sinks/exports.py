@@ -37,8 +37,8 @@ def long_metrics(df: DataFrame, stratum: str, metrics: Sequence[str]) -> DataFra
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV files with a header; texts that a sheet would take for formulas keep their quotes."""
-    df.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    """CSV files with a header; texts that a sheet would take for formulas keep their quotes, and all keep their outer blanks."""
+    df.write.mode("overwrite").options(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -41,6 +41,15 @@ def routed(df: DataFrame, name: str, origin: str, excluded: DataFrame, blocked:
     return own.join(listed, "domain", "left").withColumn("status", status).drop("__listed")
 
 
+def queued(rows: DataFrame, done: DataFrame, time: str, since: Column) -> DataFrame:
+    """``rows`` (company, country, ...) with trimmed names and a status: ``done`` where the same company and country, in either case, were done since a time, else ``pending``. Rows without a company are left out; a null country matches none."""
+    plain = lambda c: F.lower(F.trim(c))
+    recent = done.where(F.col(time) >= since).select(plain("company").alias("__c"), plain("country").alias("__l"), F.lit(True).alias("__done")).distinct()
+    own = rows.withColumns({"company": F.trim("company"), "country": F.trim("country")}).where(F.coalesce("company", F.lit("")) != "")
+    met = own.join(recent, (F.lower("company") == F.col("__c")) & (F.lower("country") == F.col("__l")), "left")
+    return met.withColumn("status", F.when(F.col("__done"), "done").otherwise("pending")).drop("__c", "__l", "__done")
+
+
 def first_domains(lines: DataFrame, column: str, order: str) -> DataFrame:
     """(domain, first): the distinct domains of typed lines with the place of the first; a heading ``domain`` and blank lines are left out."""
     own = lines.select(normal_domain(F.col(column)).alias("domain"), F.col(order).alias("first")).where("domain <> '' and domain <> 'domain'")

@@ -63,6 +63,12 @@ def attempt_counters(events: DataFrame, key: str, success: str, time: str, ttl:
     return own.groupBy("key").applyInPandasWithState(count, "key string, attempts long, successes long", "attempts long, successes long", "update", "EventTimeTimeout")
 
 
+def counted_attempts(events: DataFrame, key: str, success, time: str, now, days: int = 14) -> DataFrame:
+    """(key, attempts, successes) of a table's events of the last ``days`` before ``now``, as the stream's counters would hold them; a null key counts nowhere."""
+    recent = events.where(F.col(key).isNotNull() & (F.col(time) >= now - F.expr(f"INTERVAL {days} DAYS")))
+    return recent.groupBy(F.col(key).cast("string").alias("key")).agg(F.count("*").alias("attempts"), F.count_if(success).alias("successes"))
+
+
 def skip_layers(counters: DataFrame, least: int = 30, share: float = 0.35) -> DataFrame:
     """Keys whose costly layers are skipped: enough attempts and too few successes."""
     return counters.where((F.col("attempts") >= least) & (F.col("successes") < share * F.col("attempts")))

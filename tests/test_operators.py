@@ -85,6 +85,19 @@ def test_wrapped_rows_by_hand(spark):
     assert found == {"https://a.example/list": {"title": "Night Baker"}}
 
 
+def test_density_by_hand(spark):
+    """Length, markup, links, sentences, words and paragraphs of two blocks, worked out by hand."""
+    text = "You will lead a team of bakers in our night kitchen, and you join them at five."
+    linked = "Jobs near you that we found for people who looked at this page some days ago now."
+    page = f"<body><div><p>{text}</p><p>{text}</p></div><div><a href='/x'>{linked}</a> {linked}</div><div>short</div></body>"
+    table = blocks.blocks(spark.createDataFrame([("u", page)], "page string, html string"), "page", "html")
+    out = {r.node: (r.length, r.score) for r in blocks.density(table, 8).collect()}
+    n, m = 2 * len(text) + 1, 2 * len(linked) + 1
+    first = n * (n / len(f"<div><p>{text}</p><p>{text}</p></div>")) * (0.5 + 0.5 * 2 * len(text) / n) * (0.75 + 3 / 20) * (1 + 4 * 0.05)
+    second = m * (m / len(f"<div><a href='/x'>{linked}</a> {linked}</div>")) * (1 - len(linked) / m) * (0.5 + 0.5 * 2 * len(linked) / m) * 0.75
+    assert {k: (a, round(b, 4)) for k, (a, b) in out.items()} == {1: (n, round(first, 4)), 4: (m, round(second, 4))}
+
+
 def test_volume_and_stratum_by_hand(spark):
     cases = [(0, 0, 0.0), (3, 0, 50.0), (5, 10, 50.0), (10, 10, 100.0), (15, 10, 100.0), (20, 10, 50.0), (40, 10, 0.0), (2, None, 50.0)]
     rows = spark.createDataFrame(cases, "jobs int, base int, expect double")
