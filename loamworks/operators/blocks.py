@@ -323,13 +323,16 @@ def signatures(pages: DataFrame, page: str, url: Column, html: Column, rules: li
     frames = F.lower(every("iframe", "src"))
     own = pages.select(F.col(page).alias("page"), seen.alias("seen"), F.lower(scripts).alias("scripts"), frames.alias("frames"))
     points = lambda urls, texts, own_scripts: sum((F.when(F.col(c).rlike(p), n).otherwise(0) for c, n, patterns in (("seen", 2, urls), ("seen", 1, texts), ("scripts", 1, own_scripts)) for p in patterns), F.lit(0))
-    best = F.lit(None).cast("struct<platform:string,points:int,confidence:double>")
-    for name, urls, _, _, base in reversed(rules):
-        best = F.when(F.col("frames").rlike("|".join(urls)), F.struct(F.lit(name).alias("platform"), F.lit(0).alias("points"), F.lit(round(base * 0.9, 6)).alias("confidence"))).otherwise(best)
-    for name, urls, texts, own_scripts, base in reversed(rules):
-        p = points(urls, texts, own_scripts)
-        best = F.when(p >= 2, F.struct(F.lit(name).alias("platform"), p.cast("int").alias("points"), F.round(F.least(F.lit(0.99), base + 0.01 * (p - 2)), 6).alias("confidence"))).otherwise(best)
-    return own.select("page", best.alias("b")).where("b is not null").select("page", "b.platform", "b.points", "b.confidence")
+    counted = own.select("page", F.array(*(points(u, t, c) for _, u, t, c, _ in rules)).alias("points"), F.array(*(F.col("frames").rlike("|".join(u)) for _, u, *_ in rules)).alias("framed"))
+    # The first platform with enough points, else the first with a frame; places count from 1, 0 is none.
+    first = F.array_position(F.transform("points", lambda p: p >= 2), True)
+    placed = counted.select("page", "points", first.alias("seen"), F.array_position("framed", True).alias("framed"))
+    names, bases = F.array(*(F.lit(r[0]) for r in rules)), F.array(*(F.lit(r[4]) for r in rules))
+    at = F.when(F.col("seen") > 0, F.col("seen")).otherwise(F.col("framed")).cast("int")
+    own_points = F.when(F.col("seen") > 0, F.element_at("points", at)).otherwise(0).cast("int")
+    found = placed.where("seen > 0 or framed > 0").select("page", at.alias("at"), own_points.alias("points"), (F.col("seen") > 0).alias("seen"))
+    confidence = F.when(F.col("seen"), F.least(F.lit(0.99), F.element_at(bases, F.col("at")) + 0.01 * (F.col("points") - 2))).otherwise(F.element_at(bases, F.col("at")) * 0.9)
+    return found.select("page", F.element_at(names, F.col("at")).alias("platform"), "points", F.round(confidence, 6).alias("confidence"))
 
 
 def excerpt(table: DataFrame, tag: str, most: int = 400) -> DataFrame:

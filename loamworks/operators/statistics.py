@@ -118,12 +118,24 @@ def token_set_ratio(a: Column, b: Column) -> Column:
     return F.when(shared != "", F.greatest(with_shared, ratio(left, right))).otherwise(ratio(left, right))
 
 
+#: Queries that one pass holds against all rows.
+QUERIES = 10_000
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, least: float = 0.0) -> DataFrame:
-    """The ``k`` rows of highest cosine to each query. Queries are a stated set of fixed size, held against all rows."""
+    """The ``k`` rows of highest cosine to each query, a stated set held against all rows.
+
+    Queries go out in blocks of at most QUERIES, each held against all rows in one
+    pass, so what a task holds does not grow with the queries.
+    """
     norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    q = F.broadcast(queries.select(F.col(key).alias("query"), F.col(vector).alias("__q"), norm(F.col(vector)).alias("__nq")))
+    own = queries.select(F.col(key).alias("query"), F.col(vector).alias("__q"), norm(F.col(vector)).alias("__nq"))
     dot = F.aggregate(F.zip_with("__q", vector, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    scored = vectors.withColumn("__n", norm(F.col(vector))).join(q, F.col(key) != F.col("query")).select("query", key, F.round(dot / (F.col("__n") * F.col("__nq")), 5).alias("cosine"))
+    blocks, scored = max(1, -(-own.count() // QUERIES)), None
+    for n in range(blocks):
+        part = own.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == n) if blocks > 1 else own
+        met = vectors.withColumn("__n", norm(F.col(vector))).join(F.broadcast(part), F.col(key) != F.col("query")).select("query", key, F.round(dot / (F.col("__n") * F.col("__nq")), 5).alias("cosine"))
+        scored = met if scored is None else scored.unionByName(met)
     order = Window.partitionBy("query").orderBy(F.desc("cosine"), key)
     return scored.where(F.col("cosine") > least).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..operators import blocks as b
 from ..operators import templates
 from ..runtime import cut_lineage
@@ -21,6 +22,18 @@ def query(sql: str | None = None):
     return add
 
 
+def _plain_sql(expression: str) -> str:
+    """Text of markup in SQL: common entities resolved, single blanks."""
+    quoted = lambda x: x.replace("'", "''")
+    for entity, sign in tx.ENTITIES:
+        expression = f"replace({expression}, '{quoted(entity)}', '{quoted(sign)}')"
+    return rf"trim(regexp_replace({expression}, '\s+', ' ', 'g'))"
+
+
+def _visible_sql() -> str:
+    return _plain_sql(r"regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g')")
+
+
 def _blocks(spark, sf_dir):
     return b.blocks(T(spark, sf_dir).snapshot_files, "snapshot_path", "html")
 
@@ -90,21 +103,15 @@ def h12_layers(spark, sf_dir):
     return joined.select("page", *b.first_good(*((n, F.col(n), c) for n, c in layers.items())))
 
 
-@query()
+@query(r"""
+    WITH t AS (SELECT snapshot_path AS page, unnest(regexp_extract_all(regexp_replace(html, '(?is)(<script\b[^>]*>).*?</script>', '\1', 'g'), '<[a-z][a-z0-9]*\b[^>]*>')) AS tag FROM snapshot_files),
+    s AS (SELECT DISTINCT split_part(page, '/', 2) AS site, page, regexp_extract(tag, '<([a-z][a-z0-9]*)', 1) || CASE WHEN tag LIKE '%class="%' THEN '.' || array_to_string(list_sort(string_split(regexp_extract(tag, 'class="([^"]*)"', 1), ' ')), '.') ELSE '' END AS selector FROM t),
+    n AS (SELECT site, count(DISTINCT page) AS total FROM s GROUP BY 1)
+    SELECT site, selector, count(*) AS pages FROM s JOIN n USING (site) WHERE total >= 2 GROUP BY site, selector, total HAVING count(*) = total""")
 def h16_common_selectors(spark, sf_dir):
     return b.common_selectors(_blocks(spark, sf_dir), F.split("page", "/")[1])
 
 
-def _visible_sql() -> str:
-    from ..functions import text as tx
-
-    quoted = lambda x: x.replace("'", "''")
-    tagless = r"regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g')"
-    for entity, sign in tx.ENTITIES:
-        tagless = f"replace({tagless}, '{quoted(entity)}', '{quoted(sign)}')"
-    return rf"trim(regexp_replace({tagless}, '\s+', ' ', 'g'))"
-
-
 def _signature_sql() -> str:
     every = lambda tag, key: rf"""array_to_string(regexp_extract_all(html, '(?i)<{tag}\b[^>]*\s{key}="([^"]*)"', 1), ' ')"""
     ladder, frames = "", ""
@@ -131,7 +138,7 @@ def h8_short_pages(spark, sf_dir):
     return T(spark, sf_dir).snapshot_files.select(F.col("snapshot_path").alias("page"), (F.length(html_to_text(F.col("html"))) < 260).alias("short"))
 
 
-@query()
+@query(f"""SELECT length({_visible_sql()}) < 200 AND (regexp_matches(html, '(?i)id="(?:root|app|__next|__nuxt)"') OR len(regexp_extract_all(html, '(?i)<script')) >= 3) AS shell, count(*) AS pages FROM snapshot_files GROUP BY 1""")
 def h8_shells(spark, sf_dir):
     return T(spark, sf_dir).snapshot_files.groupBy(b.is_shell(F.col("html")).alias("shell")).agg(F.count("*").alias("pages"))
 
@@ -141,7 +148,9 @@ def h9_paging(spark, sf_dir):
     return T(spark, sf_dir).snapshot_files.groupBy(b.paging_kind(F.col("html")).alias("kind")).agg(F.count("*").alias("pages"))
 
 
-@query()
+@query(r"""
+    WITH l AS (SELECT snapshot_path AS page, unnest(list_zip(regexp_extract_all(html, '<a\b[^>]*\shref="([^"]*)"[^>]*>[^<]*', 1), regexp_extract_all(html, '<a\b[^>]*\shref="[^"]*"[^>]*>([^<]*)', 1), range(0, 10000)[:len(regexp_extract_all(html, '<a\b[^>]*\shref="[^"]*"[^>]*>'))])) AS x FROM snapshot_files)
+    SELECT page, x[3]::INT AS position, 'https://pages.example' || x[1] AS url, """ + _plain_sql("x[2]") + """ AS anchor FROM l""")
 def s15_links(spark, sf_dir):
     """Links of all pages, resolved against a base address."""
     return b.page_links(T(spark, sf_dir).snapshot_files, "snapshot_path", "html", "https://pages.example/")
@@ -166,7 +175,7 @@ SQL["h1_postings"] = "SELECT job_id, title, nullif(location_raw, '') AS location
 
 @query(r"""
     WITH h AS (SELECT snapshot_path AS page, regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1) AS title FROM snapshot_files WHERE regexp_matches(html, '<h1[^>]*>[^<]*</h1>'))
-    SELECT page, trim(regexp_replace(replace(title, '&amp;', '&'), '\s+', ' ', 'g')) AS title, 0.85::DOUBLE AS confidence FROM h""")
+    SELECT page, """ + _plain_sql("title") + """ AS title, 0.85::DOUBLE AS confidence FROM h""")
 def h17_templated(spark, sf_dir):
     """The heading of each page by a learned selector."""
     found = templates.templated(T(spark, sf_dir).snapshot_files, "snapshot_path", "html", {"title": "h1", "nothing": "h1 > .missing"})
@@ -188,7 +197,7 @@ def h17_accuracy(spark, sf_dir):
 
 @query(r"""
     WITH l AS (SELECT snapshot_path AS page, unnest(regexp_extract_all(html, '<li[^>]*>([^<]*)</li>', 1)) AS t FROM snapshot_files WHERE html LIKE '%<li%'),
-    c AS (SELECT page, trim(regexp_replace(replace(t, '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM l)
+    c AS (SELECT page, """ + _plain_sql("t") + """ AS title FROM l)
     SELECT page, count(*) AS records, min(title) AS first, max(title) AS last FROM c WHERE length(title) BETWEEN 3 AND 300 GROUP BY 1""")
 def h18_wrapped(spark, sf_dir):
     """Records of a wrapper that is cut at list entries, whose own text is the title."""
@@ -216,7 +225,7 @@ def h7_signatures(spark, sf_dir):
     return b.signatures(pages, "snapshot_id", F.col("url"), F.col("html"))
 
 
-@query(r"""SELECT snapshot_path AS page, substr(trim(regexp_replace(replace(regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1), '&amp;', '&'), '\s+', ' ', 'g')), 1, 400) AS excerpt FROM snapshot_files WHERE regexp_matches(html, '<h1[^>]*>[^<]*</h1>')""")
+@query("SELECT snapshot_path AS page, substr(" + _plain_sql("regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1)") + r""", 1, 400) AS excerpt FROM snapshot_files WHERE regexp_matches(html, '<h1[^>]*>[^<]*</h1>')""")
 def h24_excerpts(spark, sf_dir):
     """The beginning of each page's heading."""
     return b.excerpt(_blocks(spark, sf_dir), "h1")

@@ -140,7 +140,8 @@ def g3_similar(spark, sf_dir):
 def g1_ladder(spark, sf_dir):
     """Values placed by the ladder's steps."""
     t = T(spark, sf_dir)
-    cache = t.extracted_jobs.where("job_id % 50 = 0 and location_raw is not null").select("location_raw", "market_code").distinct().withColumn("geo_id", F.lit(0).cast("long"))
+    # What was placed before: the values of rows that are no longer active.
+    cache = geocode.exact(t.extracted_jobs.where("not is_active"), t.geo_locations)
     return geocode.ladder(t.extracted_jobs, t.geo_locations, cache).groupBy("step").agg(F.count("*").alias("places"))
 
 
