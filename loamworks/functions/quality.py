@@ -58,3 +58,27 @@ def quality() -> Column:
         issues.append(F.when(met, f"{name}_detected"))
     band = F.when(score >= 80, "excellent").when(score >= 60, "good").when(score >= 40, "fair").when(score >= 20, "poor").otherwise("disqualified")
     return F.struct(score.alias("score"), band.alias("band"), F.array_join(F.array_compact(F.array(*issues)), ",").alias("issues"))
+
+
+# Words that name an occupation, and parts of titles that are no job.
+JOB_NOUNS = [
+    "accountant", "administrator", "advisor", "analyst", "apprentice", "architect", "assistant", "associate", "auditor", "barista", "bookkeeper", "broker", "builder", "buyer", "carpenter", "cashier", "carer", "chef", "cleaner", "clerk", "coach",
+    "consultant", "coordinator", "counsellor", "designer", "developer", "director", "dispatcher", "doctor", "driver", "editor", "electrician", "engineer", "estimator", "executive", "facilitator", "fitter", "foreman", "guard", "handler", "helper",
+    "inspector", "instructor", "intern", "investigator", "labourer", "lawyer", "lecturer", "librarian", "machinist", "manager", "mechanic", "merchandiser", "midwife", "miner", "nurse", "officer", "operator", "optometrist", "painter",
+    "paralegal", "paramedic", "pharmacist", "photographer", "physiotherapist", "pilot", "planner", "plumber", "porter", "president", "principal", "processor", "producer", "programmer", "receptionist", "recruiter", "registrar", "representative", "researcher",
+    "scaffolder", "scientist", "secretary", "solicitor", "specialist", "strategist", "superintendent", "supervisor", "surgeon", "surveyor", "teacher", "technician", "technologist", "therapist", "trader", "trainer", "treasurer", "tutor",
+    "underwriter", "veterinarian", "waiter", "welder", "worker", "writer",
+]
+NOT_JOBS = [
+    "about us", "contact", "home", "menu", "search", "login", "sign up", "register", "our team", "meet the team", "leadership", "management", "our culture", "latest news", "blog", "news", "events", "press", "media",
+    "our services", "products", "solutions", "partners", "clients", "privacy", "terms", "cookie", "disclaimer", "sitemap", "working at", "life at", "why join", "our values", "benefits", "view more", "read more", "learn more", "see all", "load more",
+]
+JOB_ADDRESS = r"/(?:job|position|vacancy|career|opening|role|apply)"
+
+
+def is_real_job(title: Column, url: Column) -> Column:
+    """Whether a row reads like a job: a title of at least five signs without a part that is none, and an occupation in it or a job's address. Nulls count as empty."""
+    low = F.lower(F.trim(F.coalesce(title, F.lit(""))))
+    words = F.split(low, r"[\s/,\-–—()]+")
+    named = F.arrays_overlap(words, F.array(*map(F.lit, JOB_NOUNS)))
+    return (F.length(low) >= 5) & ~low.rlike("|".join(NOT_JOBS)) & (named | F.lower(F.coalesce(url, F.lit(""))).rlike(JOB_ADDRESS))

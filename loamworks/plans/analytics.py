@@ -338,10 +338,25 @@ def a13_by_method(spark, sf_dir):
     return T(spark, sf_dir).extracted_jobs.groupBy("extraction_method").agg(F.count_if(F.col("location_raw").isNotNull()).alias("placed"), F.count_if(F.col("location_raw").isNull()).alias("bare"))
 
 
-@query(f"SELECT sum(pages_crawled)::BIGINT AS pages, sum(jobs_new)::BIGINT AS new_jobs, round(sum(pages_crawled) FILTER (started_at >= TIMESTAMP '{AS_OF}' - INTERVAL 60 DAY) / 60.0, 6) AS pages_a_day FROM crawl_logs WHERE started_at < TIMESTAMP '{AS_OF}'")
+@query(f"""
+    WITH l AS (SELECT *, started_at >= TIMESTAMP '{AS_OF}' - INTERVAL 1 DAY AS today, started_at >= TIMESTAMP '{AS_OF}' - INTERVAL 60 MINUTE AS hour FROM crawl_logs WHERE started_at < TIMESTAMP '{AS_OF}'),
+    q AS (SELECT count(*) AS rows, count(*) FILTER (description IS NOT NULL) AS with_text, count(*) FILTER (description IS NOT NULL AND extraction_confidence >= 0.5) AS good, count(*) FILTER (description IS NOT NULL AND extraction_confidence >= 0.5 AND is_active) AS live FROM extracted_jobs)
+    SELECT coalesce(sum(pages_crawled), 0)::BIGINT AS pages, coalesce(sum(pages_crawled) FILTER (today), 0)::BIGINT AS pages_today, coalesce(sum(jobs_new) FILTER (today), 0)::BIGINT AS new_today, round(coalesce(sum(pages_crawled) FILTER (hour), 0) / 60.0, 6)::DOUBLE AS pages_a_minute,
+        round(count(*) FILTER (hour) / 60.0, 6)::DOUBLE AS crawls_a_minute, any_value(rows) AS rows, any_value(with_text) AS with_text, any_value(good) AS good, any_value(live) AS live FROM l, q""")
 def a14_rolling(spark, sf_dir):
-    recent = F.when(F.col("started_at") >= now() - F.expr("INTERVAL 60 DAYS"), F.col("pages_crawled"))
-    return T(spark, sf_dir).crawl_logs.where(F.col("started_at") < now()).agg(F.sum("pages_crawled").alias("pages"), F.sum("jobs_new").alias("new_jobs"), F.round(F.sum(recent) / 60.0, 6).alias("pages_a_day"))
+    """Sums of today, rates of the last hour, and how many rows pass each step of quality."""
+    t = T(spark, sf_dir)
+    since = lambda span, c: F.when(F.col("started_at") >= now() - F.expr(f"INTERVAL {span}"), F.col(c))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    logs = t.crawl_logs.where(F.col("started_at") < now()).agg(
+        total("pages_crawled").alias("pages"), total(since("1 DAY", "pages_crawled")).alias("pages_today"), total(since("1 DAY", "jobs_new")).alias("new_today"),
+        F.round(total(since("60 MINUTES", "pages_crawled")) / 60.0, 6).alias("pages_a_minute"), F.round(F.count(since("60 MINUTES", "started_at")) / 60.0, 6).alias("crawls_a_minute"),
+    )
+    text = F.col("description").isNotNull()
+    good = text & (F.col("extraction_confidence") >= 0.5)
+    funnel = t.extracted_jobs.agg(F.count("*").alias("rows"), F.count_if(text).alias("with_text"), F.count_if(good).alias("good"), F.count_if(good & F.col("is_active")).alias("live"))
+    # One row each.
+    return logs.crossJoin(F.broadcast(funnel))
 
 
 @query("""
@@ -351,15 +366,25 @@ def a15_pro_rata(spark, sf_dir):
     return r.pro_rata(T(spark, sf_dir).companies, ["market_code"], "quality_score", F.lit(100)).select("company_id", "share")
 
 
-@query("SELECT status, count(*) AS n, count(*) FILTER (greatest(created_at, started_at, completed_at) >= TIMESTAMP '2025-06-01') AS recent FROM company_enrichment_rows GROUP BY 1")
+@query("SELECT status, CASE WHEN job_page_url IS NULL THEN 'open' WHEN job_page_url = 'not found' THEN 'missing' ELSE 'found' END AS kind, count(*) AS n, count(*) FILTER (greatest(created_at, started_at, completed_at) BETWEEN TIMESTAMP '2025-06-01' AND TIMESTAMP '2025-09-01') AS recent FROM company_enrichment_rows GROUP BY 1, 2")
 def a16_greatest(spark, sf_dir):
+    """Queue rows by kind and status, and those last touched within a range; missing times are passed over."""
     last = F.greatest("created_at", "started_at", "completed_at")
-    return T(spark, sf_dir).company_enrichment_rows.groupBy("status").agg(F.count("*").alias("n"), F.count_if(last >= F.lit("2025-06-01").cast("timestamp")).alias("recent"))
+    kind = F.when(F.col("job_page_url").isNull(), "open").when(F.col("job_page_url") == "not found", "missing").otherwise("found")
+    inside = last.between(F.lit("2025-06-01").cast("timestamp"), F.lit("2025-09-01").cast("timestamp"))
+    return T(spark, sf_dir).company_enrichment_rows.groupBy("status", kind.alias("kind")).agg(F.count("*").alias("n"), F.count_if(inside).alias("recent"))
 
 
-@query("SELECT level, market_code, count(*) AS places, count(*) FILTER (is_active) AS active, count(*) FILTER (is_active IS NULL) AS untried FROM geo_locations GROUP BY 1, 2")
+@query("""
+    SELECT level, market_code, count(*) AS places, count(*) FILTER (is_active) AS active, count(*) FILTER (is_active IS NULL) AS untried, count(*) FILTER (NOT is_active) AS failed,
+        count(*) FILTER (name LIKE 'Mount %' OR name LIKE 'Mt %') AS mounts, count(*) FILTER (array_to_string(alt_names, ',') LIKE '%Province%') AS provinces FROM geo_locations GROUP BY 1, 2""")
 def a17_three_states(spark, sf_dir):
-    return T(spark, sf_dir).geo_locations.groupBy("level", "market_code").agg(F.count("*").alias("places"), F.count_if("is_active").alias("active"), F.count_if(F.col("is_active").isNull()).alias("untried"))
+    """Places by level and market in three states, and classes of names by pattern."""
+    mounts = F.col("name").like("Mount %") | F.col("name").like("Mt %")
+    return T(spark, sf_dir).geo_locations.groupBy("level", "market_code").agg(
+        F.count("*").alias("places"), F.count_if("is_active").alias("active"), F.count_if(F.col("is_active").isNull()).alias("untried"), F.count_if(~F.col("is_active")).alias("failed"),
+        F.count_if(mounts).alias("mounts"), F.count_if(F.array_join("alt_names", ",").like("%Province%")).alias("provinces"),
+    )
 
 
 @query("""

@@ -41,10 +41,12 @@ def e1_match(spark, sf_dir):
     return _sites(spark, sf_dir).groupBy(match_kind(F.col("base"), F.col("model")).alias("kind")).agg(F.count("*").alias("sites"))
 
 
-@query("SELECT extraction_method, count(*) AS jobs, count(description) AS with_text, count(*) FILTER (title IS NOT NULL AND description IS NOT NULL AND location_raw IS NOT NULL) AS core FROM extracted_jobs GROUP BY 1")
+@query("SELECT extraction_method, count(*) AS jobs, " + ", ".join(f"count(*) FILTER (trim(coalesce({c}, ''), ' ') <> '') AS with_{c}" for c in composite.CORE_FIELDS) + ", count(*) FILTER (trim(coalesce(title, ''), ' ') <> '' AND trim(coalesce(source_url, ''), ' ') <> '' AND trim(coalesce(location_raw, ''), ' ') <> '') AS core FROM extracted_jobs GROUP BY 1")
 def e2_field_coverage(spark, sf_dir):
-    core = F.col("title").isNotNull() & F.col("description").isNotNull() & F.col("location_raw").isNotNull()
-    return T(spark, sf_dir).extracted_jobs.groupBy("extraction_method").agg(F.count("*").alias("jobs"), F.count("description").alias("with_text"), F.count_if(core).alias("core"))
+    """Rows with each of six fields, and with the three core ones."""
+    has = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
+    core = has("title") & has("source_url") & has("location_raw")
+    return T(spark, sf_dir).extracted_jobs.groupBy("extraction_method").agg(F.count("*").alias("jobs"), *(F.count_if(has(c)).alias(f"with_{c}") for c in composite.CORE_FIELDS), F.count_if(core).alias("core"))
 
 
 #: Site results of two sides: ``old`` are a company's active rows, ``new`` those of good confidence; ``base`` is what its crawls found at most.
@@ -176,14 +178,19 @@ def e10_e14_coverage(spark, sf_dir):
 
 
 @query("""
-    WITH c AS (SELECT c.company_id, c.domain, c.market_code, count(j.job_id) AS n FROM companies c JOIN extracted_jobs j USING (company_id) WHERE c.is_active GROUP BY 1, 2, 3)
-    SELECT company_id, market_code, n FROM (SELECT *, row_number() OVER (PARTITION BY market_code ORDER BY n DESC, company_id) AS place FROM c) WHERE place <= 9""")
+    WITH n AS (SELECT company_id, count(*) AS n FROM extracted_jobs GROUP BY 1), held AS (SELECT DISTINCT regexp_extract(job_page_url, '^[a-z]+://([^/?#]+)', 1) AS domain FROM company_enrichment_rows WHERE status = 'error'),
+    c AS (SELECT company_id, domain, market_code, coalesce(ats_platform, '') AS category, n FROM companies LEFT JOIN n USING (company_id) WHERE is_active AND domain NOT IN (SELECT domain FROM held WHERE domain IS NOT NULL)),
+    d AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY n DESC NULLS LAST, company_id) AS p FROM c),
+    s AS (SELECT *, row_number() OVER (PARTITION BY market_code, category ORDER BY n DESC NULLS LAST, company_id) AS place FROM d WHERE p = 1)
+    SELECT company_id, market_code, category, n FROM s WHERE place <= 9""")
 def e15_seeds(spark, sf_dir):
-    """Three times as many seeds a market as wanted, the fullest first."""
+    """Three times as many seeds a market and category as wanted, the fullest first; blocked domains are left out, each domain counts once."""
     t = T(spark, sf_dir)
     counts = t.extracted_jobs.groupBy("company_id").agg(F.count("*").alias("n"))
-    own = t.companies.where("is_active").select("company_id", "market_code").join(counts, "company_id")
-    return r.first_per(own, ["market_code"], [F.desc("n"), F.asc("company_id")], 9)
+    held = t.company_enrichment_rows.where("status = 'error'").select(F.regexp_extract("job_page_url", "^[a-z]+://([^/?#]+)", 1).alias("domain"))
+    own = r.without(t.companies.where("is_active"), held, ["domain"]).select("company_id", "domain", "market_code", F.coalesce("ats_platform", F.lit("")).alias("category")).join(counts, "company_id", "left")
+    fullest = [F.desc_nulls_last("n"), F.asc("company_id")]
+    return r.first_per(r.first_per(own, ["domain"], fullest), ["market_code", "category"], fullest, 9).drop("domain")
 
 
 @query("""
@@ -226,12 +233,19 @@ def e18_failure_kind(spark, sf_dir):
 
 
 @query("""
-    SELECT company_id, count(DISTINCT title) FILTER (is_active) AS titles, count(*) FILTER (is_active AND salary_raw IS NULL) AS no_pay, round(count(*) FILTER (is_active)::DOUBLE / nullif(count(*) FILTER (NOT is_active), 0), 6) AS volume FROM extracted_jobs GROUP BY 1""")
+    WITH t AS (SELECT company_id, lower(trim(title, ' ')) AS k, bool_or(coalesce(is_active, false)) AS old, bool_or(extraction_confidence >= 0.5) AS new FROM extracted_jobs WHERE trim(coalesce(title, ''), ' ') <> '' GROUP BY 1, 2),
+    d AS (SELECT company_id, count(*) FILTER (old AND NOT coalesce(new, false)) AS missing, count(*) FILTER (new AND NOT old) AS extra FROM t GROUP BY 1),
+    j AS (SELECT company_id, coalesce(is_active, false) AS old, coalesce(extraction_confidence >= 0.5, false) AS new, (salary_raw IS NOT NULL)::INT AS pay FROM extracted_jobs),
+    v AS (SELECT company_id, avg(pay) FILTER (old) - avg(pay) FILTER (new) AS gap, count(*) FILTER (new)::DOUBLE / greatest(1, count(*) FILTER (old)) AS ratio FROM j GROUP BY 1)
+    SELECT company_id, missing, extra, round(gap, 4) AS pay_gap, round(ratio, 4) AS volume_ratio FROM d JOIN v USING (company_id)""")
 def e19_site_difference(spark, sf_dir):
-    active = F.col("is_active")
-    return T(spark, sf_dir).extracted_jobs.groupBy("company_id").agg(
-        F.countDistinct(F.when(active, F.col("title"))).alias("titles"), F.count_if(active & F.col("salary_raw").isNull()).alias("no_pay"), F.round(F.count_if(active) / F.nullif(F.count_if(~active), F.lit(0)), 6).alias("volume")
-    )
+    """Titles that only one of two result sets has, the gap of a field between them and the ratio of their volumes, by site."""
+    jobs = T(spark, sf_dir).extracted_jobs.select("company_id", F.lower(F.trim("title")).alias("k"), F.coalesce("is_active", F.lit(False)).alias("old"), F.coalesce(F.col("extraction_confidence") >= 0.5, F.lit(False)).alias("new"), F.col("salary_raw").isNotNull().cast("int").alias("pay"))
+    titles = jobs.where("k <> ''").groupBy("company_id", "k").agg(F.bool_or("old").alias("old"), F.bool_or("new").alias("new"))
+    differ = titles.groupBy("company_id").agg(F.count_if(F.col("old") & ~F.col("new")).alias("missing"), F.count_if(F.col("new") & ~F.col("old")).alias("extra"))
+    gap = F.avg(F.when(F.col("old"), F.col("pay"))) - F.avg(F.when(F.col("new"), F.col("pay")))
+    sides = jobs.groupBy("company_id").agg(F.round(gap, 4).alias("pay_gap"), F.round(F.count_if("new") / F.greatest(F.lit(1), F.count_if("old")), 4).alias("volume_ratio"))
+    return differ.join(sides, "company_id")
 
 
 @query("""

@@ -102,9 +102,24 @@ def s5_folded(spark, sf_dir):
     return files.folded(events, ["event_id"]).select("event_id", F.array_join(F.array_sort(F.map_keys("selectors")), ",").alias("filled"))
 
 
-@query("SELECT " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '') AS {c}" for c in exports.JOB_COLUMNS) + " FROM extracted_jobs")
+@query(r"""
+    SELECT job_id::VARCHAR AS id, coalesce(title, '') AS title, coalesce(c.name, '') AS company_name, coalesce(c.domain, '') AS company_domain, coalesce(location_raw, '') AS location_raw, '' AS location_city, coalesce(c.market_code, '') AS location_country,
+        CASE WHEN regexp_matches(lower(coalesce(location_raw, '')), 'hybrid') THEN 'hybrid' WHEN regexp_matches(lower(coalesce(location_raw, '')), 'remote|work from home|wfh') THEN 'remote' ELSE '' END AS remote_type, coalesce(employment_type, '') AS employment_type,
+        lower(regexp_extract(coalesce(title, ''), '(?i)\b(trainee|graduate|junior|senior|principal|lead|chief)\b', 1)) AS seniority_level, coalesce(salary_raw, '') AS salary_raw, '' AS salary_min, '' AS salary_max, '' AS salary_currency,
+        coalesce(CAST(round(100 * extraction_confidence) AS INT)::VARCHAR, '') AS quality_score, coalesce(extraction_method, '') AS extraction_method, coalesce(source_url, '') AS source_url, coalesce(date_posted::VARCHAR, '') AS date_posted, coalesce(strftime(first_seen_at, '%Y-%m-%d %H:%M:%S'), '') AS first_seen_at
+    FROM extracted_jobs j LEFT JOIN companies c USING (company_id)""")
 def k1_export_jobs(spark, sf_dir):
-    return exports.exported(T(spark, sf_dir).extracted_jobs, exports.JOB_COLUMNS)
+    """The nineteen columns of jobs with their company's; what no table states is empty."""
+    t = T(spark, sf_dir)
+    company = t.companies.select("company_id", F.col("name").alias("company_name"), F.col("domain").alias("company_domain"), F.col("market_code").alias("location_country"))
+    place = F.lower(F.coalesce("location_raw", F.lit("")))
+    own = t.extracted_jobs.join(company, "company_id", "left").withColumnRenamed("job_id", "id").withColumns({
+        "remote_type": F.when(place.contains("hybrid"), "hybrid").when(place.rlike("remote|work from home|wfh"), "remote"),
+        "seniority_level": F.lower(F.regexp_extract(F.coalesce("title", F.lit("")), r"(?i)\b(trainee|graduate|junior|senior|principal|lead|chief)\b", 1)),
+        "quality_score": F.round(100 * F.col("extraction_confidence")).cast("int"),
+        "first_seen_at": F.date_format("first_seen_at", "yyyy-MM-dd HH:mm:ss"),
+    })
+    return exports.exported(own, exports.JOB_COLUMNS)
 
 
 _COMPANY = """

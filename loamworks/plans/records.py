@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import quality as q
 from ..functions import text as tx
 from ..functions.urls import registrable_domain
 from ..operators import dedup, geocode, merge
@@ -204,7 +205,9 @@ def x24_normal_place(spark, sf_dir):
     return T(spark, sf_dir).extracted_jobs.select("job_id", geocode.normal_place(F.col("location_raw")).alias("place"))
 
 
-@query("SELECT job_id, CASE WHEN regexp_matches(lower(title), 'engineer|nurse|clerk|driver|officer|fitter|manager') THEN 1 ELSE 0 END AS real FROM extracted_jobs")
+@query(rf"""
+    WITH j AS (SELECT job_id, lower(trim(coalesce(title, ''), ' ')) AS t, lower(coalesce(source_url, '')) AS u FROM extracted_jobs)
+    SELECT job_id, length(t) >= 5 AND NOT regexp_matches(t, '{'|'.join(q.NOT_JOBS)}') AND (list_has_any(regexp_split_to_array(t, '[\s/,\-–—()]+'), {q.JOB_NOUNS}) OR regexp_matches(u, '{q.JOB_ADDRESS}')) AS real FROM j""")
 def x27_real_jobs(spark, sf_dir):
-    nouns = ["engineer", "nurse", "clerk", "driver", "officer", "fitter", "manager"]
-    return T(spark, sf_dir).extracted_jobs.select("job_id", tx.text(F.lower("title")).rlike("|".join(nouns)).cast("int").alias("real"))
+    jobs = T(spark, sf_dir).extracted_jobs
+    return jobs.select("job_id", q.is_real_job(F.col("title"), F.col("source_url")).alias("real"))

@@ -5,7 +5,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-JOB_COLUMNS = ["job_id", "title", "company_id", "market_code", "location_raw", "employment_type", "salary_raw", "date_posted", "source_url", "external_id", "is_active", "extraction_method"]
+JOB_COLUMNS = [
+    "id", "title", "company_name", "company_domain", "location_raw", "location_city", "location_country", "remote_type", "employment_type", "seniority_level", "salary_raw", "salary_min", "salary_max", "salary_currency", "quality_score",
+    "extraction_method", "source_url", "date_posted", "first_seen_at",
+]
 
 COMPANY_COLUMNS = ["company_id", "name", "domain", "market_code", "ats_platform", "crawl_priority", "site_count", "expected_jobs", "last_crawl_jobs", "is_active", "discovered_via", "last_crawl_at"]
 SITE_COLUMNS = [
