@@ -603,6 +603,15 @@ def test_levels(spark, data):
     assert {r.doc_id for r in readability.levels(odd, t("reading_labels")).collect()} == {4}
 
 
+def test_counting_where_the_texts_are_gives_the_same_models(spark, data):
+    t = lambda n: spark.read.parquet(f"{data}/sf0.01/{n}.parquet")
+    rows = readability.training_texts(t("documents"), t("reading_labels")).collect()
+    here, there = readability.train([r.text for r in rows], [r.band for r in rows]), readability.trained(t("documents"), t("reading_labels"))
+    assert here.index == there.index and np.allclose(here.table, there.table)
+    none = readability.trained(t("documents").limit(0), t("reading_labels"))
+    assert none.index == {} and none.shares(text("Do not run.")).shape == (1, 3)
+
+
 # ---- registered queries
 
 
