@@ -69,6 +69,8 @@ class Gazetteer:
             for name in names:
                 for form in self._forms(plain(name or "")):
                     self.names.setdefault(form, set()).add(geo_id)
+        #: Longer texts than this and the edits allowed are near no name.
+        self.longest = max(map(len, self.names), default=0)
         for name in self.names:
             node = self.root
             for letter in name:
@@ -120,7 +122,7 @@ class Gazetteer:
         if part in self.names:
             return self.names[part], 0
         edits = 2 if len(part) >= TWO_EDITS else 1 if len(part) >= ONE_EDIT else 0
-        if not fuzzy or not edits:
+        if not fuzzy or not edits or len(part) > self.longest + edits:
             return set(), 0
         near = self.near(part, edits)
         # A slip seldom makes a name of another length class; short names need one edit.
