@@ -8,6 +8,11 @@ tables, verified by Hamming distance and by edit similarity, and takes the label
 the label goes on from the units newly found until none is added. Every unit must
 also stay near the trusted text its label started from, so that chains do not
 drift into real content. A placeholder inside real content never spreads.
+
+Only units near a trusted text can ever be reached, so these are told apart while
+the fields are cut, by a lower bound of the edit distance to each trusted text, bit
+by bit for many units at once. The rounds see them alone, each wording once and
+only for the trusted texts it has no label of yet.
 """
 
 import uuid
@@ -63,7 +68,9 @@ SENT = 20_000
 #: Rounds a label may travel; a round more is an error, not a cut.
 ROUNDS = 40
 CHUNK = 2_000
-UNITS = "job_id long, field_name string, trusted boolean, simhash long, unit string"
+#: Pairs of a unit and a trusted text whose edit distances are bounded at once.
+PAIRS = 16_384
+UNITS = "job_id long, field_name string, units long, trusted long, near array<struct<unit: string, simhash: long, roots: array<int>>>"
 
 _LANES = np.array([sum(((v >> b) & 1) << (8 * b) for b in range(8)) for v in range(256)], np.uint64)
 
@@ -107,9 +114,106 @@ def simhashes(units: pa.Array) -> np.ndarray:
     return out
 
 
-def cut_units(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """The units of each field of a batch (job_id, title, description); ``trusted`` are those that are residue by themselves."""
-    ids, rows = batch.column("job_id").to_numpy(zero_copy_only=False), []
+def letter_codes(units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of all units, offsets by unit)."""
+    units = units.cast(pa.large_binary())
+    offsets = np.frombuffer(units.buffers()[1], np.int64)[units.offset : units.offset + len(units) + 1] if len(units) else np.zeros(1, np.int64)
+    data = np.frombuffer(units.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    if (data < 128).all():
+        return data, offsets
+    starts = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    return np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32), starts[offsets]
+
+
+class Roots:
+    """The trusted texts that labels start from, and the units that can be similar enough to them."""
+
+    def __init__(self, texts: list[str]):
+        self.texts = texts
+        self.length = np.array([len(t) for t in texts], np.int64)
+        self.letters = {c: k for k, c in enumerate(sorted(set("".join(texts))))}
+        self.counts = np.array([[t.count(c) for c in self.letters] for t in texts], np.uint8).reshape(len(texts), len(self.letters))
+        # Where each letter stands in the first 64 letters of a text, as bits; the last column is that of all other letters.
+        self.places = np.zeros((len(texts), len(self.letters) + 1), np.uint64)
+        for k, t in enumerate(texts):
+            for at, c in enumerate(t[:64]):
+                self.places[k, self.letters[c]] |= np.uint64(1 << at)
+        self.class_of = np.full(max(map(ord, self.letters), default=0) + 2, len(self.letters), np.uint8)
+        for c, k in self.letters.items():
+            self.class_of[ord(c)] = k
+
+    def allowed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The edits that texts of these lengths may differ by."""
+        return np.floor((1 - ROOTED) * np.maximum(a, b) + 1e-6).astype(np.int64)
+
+    def near(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs (unit, text), in order, but for those whose edit distance is surely too large."""
+        flat, offsets = letter_codes(units)
+        length = np.diff(offsets)
+        reach = self.length.max(initial=0)
+        able = np.flatnonzero((length > 0) & (length <= reach + self.allowed(reach, np.ceil(reach / ROOTED))))
+        if not len(able) or not len(self.texts):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        n = length[able]
+        letters = np.full((int(n.max()), len(able)), len(self.letters), np.uint8)
+        column = np.repeat(np.arange(len(able)), n)
+        row = np.arange(len(column)) - np.repeat(np.cumsum(n) - n, n)
+        own = self.class_of[np.minimum(flat[np.repeat(offsets[able], n) + row], len(self.class_of) - 1)]
+        letters[row, column] = own
+        counts = np.bincount(own.astype(np.int64) * len(able) + column, minlength=(len(self.letters) + 1) * len(able)).reshape(-1, len(able))
+        counts = np.minimum(counts, 255).astype(np.uint8)
+        pairs = []
+        for k, m in enumerate(self.length.tolist()):
+            # An edit changes one letter; letters that are not common need one each.
+            common = np.zeros(len(able), np.uint8)
+            for c in np.flatnonzero(self.counts[k]):
+                common += np.minimum(counts[c], self.counts[k, c])
+            some = np.flatnonzero(np.maximum(n, m) - common <= self.allowed(n, m))
+            pairs.append(some * len(self.texts) + k)
+        unit, root = np.divmod(np.concatenate(pairs), len(self.texts))
+        order = np.argsort(-n[unit], kind="stable")
+        unit, root = unit[order], root[order]
+        keep = [np.zeros(0, np.int64)]
+        for at in range(0, len(unit), PAIRS):
+            x, y = unit[at : at + PAIRS], root[at : at + PAIRS]
+            good = self.least_edits(letters, n, x, y) <= self.allowed(n[x], self.length[y])
+            keep.append(able[x[good]] * len(self.texts) + y[good])
+        return np.divmod(np.sort(np.concatenate(keep)), len(self.texts))
+
+    def least_edits(self, letters: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The edit distance of each unit ``x`` (longest first) to the text ``y`` by Myers' bit vectors; for a text of more than 64 letters a lower bound of it."""
+        one, length = np.uint64(1), n[x]
+        rest = self.length[y] - np.minimum(self.length[y], 64)
+        score = self.length[y] - rest
+        top = (score - 1).astype(np.uint64)
+        bound = score + np.abs(length - rest)
+        up, down = np.full(len(x), ~np.uint64(0)), np.zeros(len(x), np.uint64)
+        places, first = self.places.ravel(), y * self.places.shape[1]
+        for j in range(int(length.max(initial=0))):
+            a = int(np.searchsorted(-length, -j, "left"))
+            equal = places[first[:a] + letters[j][x[:a]]]
+            p, m = up[:a], down[:a]
+            vertical = equal | m
+            level = (((equal & p) + p) ^ p) | equal
+            plus, minus = m | ~(level | p), p & level
+            score[:a] += ((plus >> top[:a]) & one).astype(np.int64) - ((minus >> top[:a]) & one).astype(np.int64)
+            plus, minus = (plus << one) | one, minus << one
+            up[:a], down[:a] = minus | ~(vertical | plus), plus & vertical
+            # What is left of the unit stands against what is left of the text.
+            if rest.any():
+                bound[:a] = np.minimum(bound[:a], score[:a] + np.abs(length[:a] - j - 1 - rest[:a]))
+        return np.where(rest > 0, bound, score)
+
+
+def root_texts() -> list[str]:
+    """The trusted texts in normal form, in order."""
+    return sorted(set(normal(pa.array(SEEDS, pa.large_string())).to_pylist()))
+
+
+def cut_units(batch: pa.RecordBatch, roots: Roots) -> pa.RecordBatch:
+    """For each field of a batch (job_id, title, description): its units, how many are residue by themselves (``trusted``), and those of the others that a label may reach (``near``) with the roots it may start from."""
+    rows = []
     for field in ("title", "description"):
         texts = tokens.unescaped(tokens.column(batch, field))
         whole = pc.match_substring_regex(pc.utf8_lower(pc.utf8_trim_whitespace(texts)), WHOLE_FIELD)
@@ -118,18 +222,27 @@ def cut_units(batch: pa.RecordBatch) -> pa.RecordBatch:
         raw = pc.replace_substring_regex(pc.list_flatten(lists), r"^[\s•*·-]+", "")
         trusted = pc.or_(pc.match_substring_regex(raw, PLACEHOLDER), whole.take(pa.array(owner)))
         units = normal(raw)
-        keep = pc.or_(trusted, pc.greater(pc.binary_length(units), 0))
-        trusted, units, owner = trusted.filter(keep), units.filter(keep), owner[keep.to_numpy(zero_copy_only=False)]
-        columns = [pa.array(ids[owner]), pa.array([field] * len(units), pa.string()), trusted, pa.array(simhashes(units).view(np.int64)), units.cast(pa.string())]
-        rows.append(pa.RecordBatch.from_arrays(columns, names=["job_id", "field_name", "trusted", "simhash", "unit"]))
-    return pa.Table.from_batches(rows).combine_chunks().to_batches()[0] if sum(r.num_rows for r in rows) else rows[0]
+        filled = pc.greater(pc.binary_length(units), 0).to_numpy(zero_copy_only=False)
+        trusted = trusted.to_numpy(zero_copy_only=False)
+        count = lambda which: pa.array(np.bincount(owner[which], minlength=len(texts)))  # noqa: B023, E731
+        others = np.flatnonzero(filled & ~trusted)
+        unit, root = roots.near(units.take(pa.array(others)))
+        own, first = np.unique(unit, return_index=True)
+        near, near_owner = units.take(pa.array(others[own])), owner[others[own]]
+        starts = pa.ListArray.from_arrays(pa.array(np.append(first, len(root)), pa.int32()), pa.array(root, pa.int32()))
+        found = pa.StructArray.from_arrays([near.cast(pa.string()), pa.array(simhashes(near).view(np.int64)), starts], names=["unit", "simhash", "roots"])
+        found = pa.ListArray.from_arrays(pa.array(np.searchsorted(near_owner, np.arange(len(texts) + 1)), pa.int32()), found)
+        columns = [batch.column("job_id"), pa.array([field] * len(texts), pa.string()), count(filled | trusted), count(trusted), found]
+        rows.append(pa.RecordBatch.from_arrays(columns, names=["job_id", "field_name", "units", "trusted", "near"]))
+    return pa.Table.from_batches(rows).combine_chunks().to_batches()[0] if batch.num_rows else rows[0]
 
 
 def _units(fields: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roots = Roots(root_texts())
         for batch in batches:
             for at in range(0, batch.num_rows, CHUNK):
-                yield cut_units(batch.slice(at, CHUNK))
+                yield cut_units(batch.slice(at, CHUNK), roots)
 
     return spread(fields.select("job_id", "title", "description")).mapInArrow(cut, UNITS)
 
@@ -184,55 +297,76 @@ class Tables:
 
 
 def _met_in_tables(candidates: DataFrame, frontier: list) -> DataFrame:
-    """(unit, simhash, near, root) of units that share a table's key with a text of a small ``frontier``, which every task holds."""
+    """(unit, simhash, root, near) of candidates that share a table's key with a text of the same root in a small ``frontier``, which every task holds."""
     shared = candidates.sparkSession.sparkContext.broadcast([tuple(r) for r in frontier])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near, root = (pa.array([r[k] for r in shared.value], pa.string()) for k in (0, 2))
-        tables = Tables(np.array([r[1] for r in shared.value], np.int64).view(np.uint64))
+        texts, of_root = pa.array([r[0] for r in shared.value], pa.string()), {}
+        for k, r in enumerate(shared.value):
+            of_root.setdefault(r[2], []).append(k)
+        hashes = np.array([r[1] for r in shared.value], np.int64).view(np.uint64)
+        tables = {root: (np.array(own), Tables(hashes[own])) for root, own in of_root.items()}
         for batch in batches:
-            row, other = tables.met(batch.column("simhash").to_numpy(zero_copy_only=False).view(np.uint64))
-            found = batch.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([found.column("unit"), found.column("simhash"), near.take(pa.array(other)), root.take(pa.array(other))], names=["unit", "simhash", "near", "root"])
+            own_hashes = batch.column("simhash").to_numpy(zero_copy_only=False).view(np.uint64)
+            roots = batch.column("root").dictionary_encode()
+            codes = roots.indices.to_numpy(zero_copy_only=False)
+            for code, root in enumerate(roots.dictionary.to_pylist()):
+                if root in tables:
+                    labelled, table = tables[root]
+                    rows = np.flatnonzero(codes == code)
+                    for at in range(0, len(rows), CHUNK):
+                        row, other = table.met(own_hashes[rows[at : at + CHUNK]])
+                        found = batch.take(pa.array(rows[at + row]))
+                        yield pa.RecordBatch.from_arrays([*(found.column(c) for c in ("unit", "simhash", "root")), texts.take(pa.array(labelled[other]))], names=["unit", "simhash", "root", "near"])
 
-    return candidates.select("unit", "simhash").mapInArrow(meet, "unit string, simhash long, near string, root string")
+    return candidates.select("unit", "simhash", "root").mapInArrow(meet, "unit string, simhash long, root string, near string")
 
 
 def _met_by_join(candidates: DataFrame, frontier: DataFrame) -> DataFrame:
-    """Alike for a frontier of any size, as a join on the keys."""
+    """Alike for a frontier of any size, as a join on the roots and keys; a pair counts in the first table where it meets."""
     tables = _keyed(frontier.select(F.col("unit").alias("near"), F.col("simhash").alias("near_hash"), "root", "simhash")).drop("simhash")
-    close = F.bit_count(F.col("simhash").bitwiseXOR(F.col("near_hash"))) <= HAMMING
-    return _keyed(candidates).join(tables, "key").where(close).select("unit", "simhash", "near", "root")
+    differ = F.col("simhash").bitwiseXOR(F.col("near_hash"))
+    met = _keyed(candidates).join(tables, ["root", "key"]).where(F.bit_count(differ) <= HAMMING).withColumn("differ", differ)
+    turned = lambda low: F.shiftrightunsigned("differ", low).bitwiseOR(F.shiftleft("differ", 64 - low)) if low else F.col("differ")
+    earlier = [(turned(low).bitwiseAND(F.lit((1 << KEY_BITS) - 1)) == 0) & (F.lit(t) < F.col("key").bitwiseAND(F.lit(63))) for t, low in enumerate(TABLES)]
+    again = earlier[0]
+    for x in earlier[1:]:
+        again = again | x
+    return met.where(~again).select("unit", "simhash", "root", "near")
 
 
 def near_units(candidates: DataFrame, frontier: DataFrame) -> DataFrame:
-    """The (unit, simhash, root) of ``candidates`` (unit, simhash) that a label of ``frontier`` reaches: one row a unit and root."""
+    """The ``candidates`` (unit, simhash, root) that a label of ``frontier`` reaches, each once."""
     spreading = frontier.where(F.length("unit") >= SPREADS_FROM).select("unit", "simhash", "root")
     few = spreading.limit(SENT + 1).collect()
     pairs = _met_in_tables(candidates, few) if len(few) <= SENT else _met_by_join(candidates, spreading)
     alike_long = F.length("unit").between(F.length("near") * SIMILARITY, F.length("near") / SIMILARITY)
-    pairs = pairs.where(alike_long).distinct()
-    return pairs.where(_alike("unit", "near", SIMILARITY) & _alike("unit", "root", ROOTED)).select("unit", "simhash", "root").distinct()
+    return pairs.where(alike_long & _alike("unit", "near", SIMILARITY)).select("unit", "simhash", "root").distinct()
 
 
 def residue_units(fields: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
-    """``(units, labelled)``: all units, and the units (unit, root) the labels reach; both written below ``folder``."""
+    """``(cut, labelled)``: the fields as cut, and the units (unit, root) the labels reach; both written below ``folder``."""
     spark = fields.sparkSession
     _units(fields).write.parquet(f"{folder}/units", compression="zstd")
-    units = spark.read.parquet(f"{folder}/units")
-    short = seeds(spark).where(F.length("unit") < SPREADS_FROM)
-    candidates = units.where("not trusted").select("unit", "simhash")
+    cut = spark.read.parquet(f"{folder}/units")
+    texts = F.array(*(F.lit(t) for t in root_texts()))
+    each = cut.select(F.explode("near").alias("x")).select("x.unit", "x.simhash", F.explode("x.roots").alias("k"))
+    each = each.select("unit", "simhash", F.element_at(texts, F.col("k") + 1).alias("root")).distinct()
+    each.where(_alike("unit", "root", ROOTED)).write.parquet(f"{folder}/candidates", compression="zstd")
+    candidates = spark.read.parquet(f"{folder}/candidates")
     # A short trusted text is met by the same text only.
-    equal = candidates.join(F.broadcast(short.select("unit", "root")), "unit").distinct()
+    equal = candidates.where((F.length("root") < SPREADS_FROM) & (F.col("unit") == F.col("root")))
     frontier, labelled = seeds(spark), None
     for k in range(ROUNDS + 1):
-        found = near_units(candidates, frontier)
-        found = found.unionByName(equal) if labelled is None else found.join(labelled, ["unit", "root"], "left_anti")
+        # A wording that has a root's label needs it no more.
+        left = candidates if labelled is None else candidates.join(labelled, ["unit", "root"], "left_anti")
+        found = near_units(left, frontier)
+        found = found.unionByName(equal) if labelled is None else found
         found.write.parquet(f"{folder}/labelled/{k}", compression="zstd")
         frontier = spark.read.parquet(f"{folder}/labelled/{k}")
         labelled = spark.read.parquet(*(f"{folder}/labelled/{i}" for i in range(k + 1)))
         if frontier.isEmpty():
-            return units, labelled
+            return cut, labelled
     raise RuntimeError(f"labels still travel after {ROUNDS} rounds")
 
 
@@ -242,10 +376,11 @@ def fields_with_residue(jobs: DataFrame) -> DataFrame:
     Null and empty fields hold none; repeated rows of a job count together.
     """
     folder = f"{shared_folder(jobs.sparkSession)}/residue-{uuid.uuid4().hex}"
-    units, labelled = residue_units(jobs, folder)
+    cut, labelled = residue_units(jobs, folder)
     # Texts of residue, sent only while they are few: their number follows the wordings in use, not the rows.
-    reached = labelled.select("unit").distinct().withColumn("near", F.lit(True))
+    reached = labelled.select("unit").distinct()
     reached = broadcast_if_small(reached, labelled.count(), 300)
-    hit = units.join(reached, "unit", "left").withColumn("bad", F.col("trusted") | F.coalesce("near", F.lit(False)))
-    counted = hit.groupBy("job_id", "field_name").agg(F.count("*").alias("units"), F.sum(F.col("bad").cast("long")).alias("residue"))
-    return counted.where("residue > 0")
+    near = cut.select("job_id", "field_name", F.explode("near.unit").alias("unit")).join(reached, "unit")
+    counts = cut.select("job_id", "field_name", "units", F.col("trusted").alias("residue"))
+    counts = counts.unionByName(near.select("job_id", "field_name", F.lit(0).cast("long").alias("units"), F.lit(1).cast("long").alias("residue")))
+    return counts.groupBy("job_id", "field_name").agg(F.sum("units").alias("units"), F.sum("residue").alias("residue")).where("residue > 0")

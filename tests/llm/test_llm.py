@@ -360,6 +360,46 @@ def test_a_label_travels_but_does_not_drift(spark, monkeypatch, sent):
     assert {r.job_id for r in residue.fields_with_residue(rows).collect()} == set(range(8))
 
 
+def test_rounds_see_each_wording_once_and_only_those_a_label_may_reach(spark, monkeypatch):
+    """Many wordings of one trusted text, each twice, beside real content: what is labelled is not compared again."""
+    rng = random.Random(31)
+    wordings = sorted({slipped(rng, LONG, 1) for _ in range(300)})
+    rows = [(k, "Cook", f"You will bake bread for the {passage(rng, 1)} shop.\n{x}") for k, x in enumerate(2 * wordings)]
+    seen, near_units = [], residue.near_units
+
+    def seeing(candidates, frontier):
+        seen.append(candidates.count())
+        return near_units(candidates, frontier)
+
+    monkeypatch.setattr(residue, "near_units", seeing)
+    out = residue.fields_with_residue(spark.createDataFrame(rows, "job_id long, title string, description string")).collect()
+    assert {(r.job_id, r.units, r.residue) for r in out} == {(k, 2, 1) for k in range(len(rows))}
+    # The trusted text has a twin that is near enough to count as a root of its own.
+    assert len(wordings) <= seen[0] <= 6 * len(wordings) and seen[-1] < 0.2 * seen[0]
+
+
+def test_roots_miss_no_unit_within_the_distance():
+    rng = random.Random(37)
+    texts = ["the page you are looking for", "die seite ist nicht mehr verfügbar", LONG, "page introuvable"]
+    roots = residue.Roots(texts)
+    units = ["", "é", "x" * 5000] + [slipped(rng, t, n) for t in texts for n in range(1, 30)] + [passage(rng, n) for n in range(1, 12)] + [t[k:] + "ü" * j for t in texts for k in (0, 5, 20) for j in (0, 9)]
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j - 1] + (x != y), before[j] + 1, row[-1] + 1))
+        return row[-1]
+
+    unit, root = roots.near(text(*units))
+    found = list(zip(unit.tolist(), root.tolist()))
+    near = {(i, k) for i, u in enumerate(units) if len(u) < 200 for k, t in enumerate(texts) if u and edits(u, t) <= int((1 - residue.ROOTED) * max(len(u), len(t)) + 1e-6)}
+    assert found == sorted(found) and near <= set(found) and len(near) > 60
+    # Exact for texts of up to 64 letters.
+    assert {(i, k) for i, k in found if len(texts[k]) <= 64} == {(i, k) for i, k in near if len(texts[k]) <= 64}
+
+
 def test_tables_find_what_all_pairs_find():
     rng = np.random.default_rng(3)
     own = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
