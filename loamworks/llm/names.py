@@ -15,7 +15,8 @@ cores are copied into the parts next to theirs. Large parts are compared in pair
 of blocks, so that no task holds a whole one. Inside a part the distances to one
 more pivot for each letter (a long run of it: a core is as near as it holds the
 letter) rule out most pairs, again by the triangle inequality, and the exact
-Damerau distance, a true metric, decides the rest.
+Damerau distance, a true metric, decides the rest. Cores of any length are compared;
+the distance of long ones is followed pair by pair, no further than the radius.
 """
 
 import re
@@ -55,13 +56,14 @@ SPREAD, SPREAD_SHARE, OWN_SHARE = 4, 1e-4, 0.08
 TOGETHER, TOGETHER_SHARE = 2, 0.25
 #: A describing word one edit from another that is so many times as frequent is a slip of it.
 SLIPS = 20
-#: Longest core that is compared by edits; longer ones, which are no typed names but texts, count when equal.
+#: Longest core and word compared by tables of many pairs and by forms with letters left out; longer ones are compared one by one.
 LONGEST = 64
-#: Cores of a block; large parts are compared in pairs of blocks.
-BLOCK = 512
+#: Cores and letters of a block; large parts are compared in pairs of blocks.
+BLOCK, BLOCK_LETTERS = 512, 4 << 20
 WORDS = "id long, country string, words array<string>"
 PARSED = "id long, country string, described string, core string"
 
+
 def damerau(a: str, b: str) -> int:
     """The unrestricted Damerau-Levenshtein distance, a metric."""
     last: dict[str, int] = {}
@@ -83,6 +85,35 @@ def damerau(a: str, b: str) -> int:
     return d[-1][-1]
 
 
+def _common(a: str, b: str) -> int:
+    """The letters two texts begin with alike."""
+    low, high = 0, min(len(a), len(b))
+    if a[:high] == b[:high]:
+        return high
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if a[low:middle] == b[low:middle] else (low, middle)
+    return low
+
+
+def damerau_within(a: str, b: str, most: int) -> int:
+    """The same distance where it is ``most`` at most, else ``most`` + 1; for texts of any length."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    same = _common(a, b)
+    a, b = a[same:], b[same:]
+    if not a or not b:
+        return len(a) + len(b)
+    best = most + 1
+    # The first letters differ: one is left out, or changed, or swapped over letters that are left out between.
+    steps = [(1, 1, 1), (1, 0, 1), (0, 1, 1)]
+    steps += [(i + 1, j + 1, i + j - 1) for i in range(1, min(most + 1, len(a))) for j in range(1, min(most + 2 - i, len(b))) if a[i] == b[0] and b[j] == a[0]]
+    for i, j, cost in steps:
+        if cost < best:
+            best = min(best, cost + damerau_within(a[i:], b[j:], best - 1 - cost))
+    return best
+
+
 def name_words(company: str | None) -> list[str]:
     """The words of a typed name, without accents, acronyms in brackets and legal forms."""
     text = unicodedata.normalize("NFKD", company or "")
@@ -106,7 +137,11 @@ class Describing:
     def __init__(self, words: dict[str, str]):
         self.words = words
         self.near: dict[str, list[str]] = {}
+        self.long: dict[int, list[str]] = {}
         for w in words:
+            if len(w) > LONGEST:
+                self.long.setdefault(len(w), []).append(w)
+                continue
             for form in _shorter(w, self.forgiven(w)):
                 self.near.setdefault(form, []).append(w)
         self.known: dict[str, str | None] = {}
@@ -116,14 +151,19 @@ class Describing:
         """Edits of a describing word that are taken for a slip."""
         return 2 if len(word) >= 8 else 1 if len(word) >= 5 else 0
 
+    def met(self, word: str, most: int) -> set[str]:
+        """Describing words that may lie within ``most`` (two at most) edits of ``word``."""
+        found = {w for n in range(len(word) - most, len(word) + most + 1) for w in self.long.get(n, ())}
+        return found if len(word) > LONGEST + most else found | {w for form in _shorter(word, most) for w in self.near.get(form, ())}
+
     def find(self, word: str) -> str | None:
         """The describing word that ``word`` is, shortens or misspells (one slip in words of five letters, two from eight on)."""
         if word in self.words:
             return self.words[word]
         if word not in self.known:
             most = self.forgiven(word)
-            met = {w for form in _shorter(word, most) for w in self.near.get(form, ())} if most else set()
-            near = sorted((d, w) for w in met if (d := damerau(word, w)) <= min(most, self.forgiven(w)))
+            met = self.met(word, most) if most else set()
+            near = sorted((d, w) for w in met if (d := damerau_within(word, w, most)) <= min(most, self.forgiven(w)))
             if len(self.known) < 200_000:
                 self.known[word] = self.words[near[0][1]] if near else None
             else:
@@ -185,8 +225,8 @@ def learnt(names: DataFrame) -> Describing:
     words = {w: w for w in cores}
     index = Describing(words)
     for w in sorted(words):
-        near = [v for v in index.near.get(w, ()) if v != w] + [v for f in _shorter(w, 1) for v in index.near.get(f, ()) if v != w]
-        better = [(count[v], v) for v in set(near) if min(len(v), len(w)) >= FORGIVEN[0] and count[v] >= SLIPS * count[w] and damerau(v, w) <= 1]
+        near = index.met(w, 1) - {w}
+        better = [(count[v], v) for v in near if min(len(v), len(w)) >= FORGIVEN[0] and count[v] >= SLIPS * count[w] and damerau_within(v, w, 1) <= 1]
         if better:
             words[w] = max(better)[1]
     pairs = [(w, v) for w in words for v in words if len(w) < len(v) and words[w] == w and words[v] == v and within(w, v)]
@@ -246,6 +286,14 @@ def coded(cores: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
     return out, length, len(letters) + 1
 
 
+def letter_counts(cores: list[str], length: np.ndarray) -> np.ndarray:
+    """How often each letter stands in each core."""
+    flat = np.frombuffer("".join(cores).encode("utf-32-le"), np.uint32)
+    letters, codes = np.unique(flat, return_inverse=True)
+    at = np.repeat(np.arange(len(cores)) * len(letters), length) + codes
+    return np.bincount(at, minlength=len(cores) * len(letters)).reshape(len(cores), len(letters)).astype(np.int32)
+
+
 def damerau_pairs(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, codes: int) -> np.ndarray:
     """The unrestricted Damerau-Levenshtein distance of each row of coded ``a`` and ``b``, all at once."""
     rows, la, lb = len(a), a.shape[1], b.shape[1]
@@ -271,27 +319,37 @@ def near_pairs(cores: list[str], others: list[str] | None = None, radius: int =
     Pairs go on to the exact distance if their distances to the pivots allow it:
     an edit moves the length by one and the letters' counts by two at most.
     """
-    letters, length, codes = coded(cores + (others or []))
-    counts = np.zeros((len(letters), codes), np.int16)
-    np.add.at(counts, (np.arange(len(letters))[:, None], letters), 1)
-    counts = counts[:, :-1]
+    every = cores + (others or [])
+    length = np.array([len(c) for c in every], np.int64)
+    counts = letter_counts(every, length)
+    short = np.flatnonzero(length <= LONGEST)
+    letters, _, codes = coded([every[k] for k in short])
+    place = np.zeros(len(every), np.int64)
+    place[short] = np.arange(len(short))
+    at_once = max(1, min(20_000, 4_000_000 // max(1, counts.shape[1])))
     split = len(cores) if others is not None else 0
     out = []
     for start in range(0, len(cores), 256):
         rows = np.arange(start, min(start + 256, len(cores)))
-        against = np.arange(split or start, len(letters))
+        against = np.arange(split or start, len(every))
         far = np.abs(length[rows, None] - length[None, against]) > radius
         i, j = np.nonzero(~far)
         i, j = rows[i], against[j]
         if not split:
             i, j = i[i < j], j[i < j]
-        for at in range(0, len(i), 20_000):
-            x, y = i[at : at + 20_000], j[at : at + 20_000]
+        for at in range(0, len(i), at_once):
+            x, y = i[at : at + at_once], j[at : at + at_once]
             keep = np.abs(counts[x] - counts[y]).sum(axis=1) <= 2 * radius
             x, y = x[keep], y[keep]
             if not len(x):
                 continue
-            distance = damerau_pairs(letters[x], length[x], letters[y], length[y], codes)
+            table = np.maximum(length[x], length[y]) <= LONGEST
+            distance = np.zeros(len(x), np.int64)
+            if table.any():
+                p, q = x[table], y[table]
+                distance[table] = damerau_pairs(letters[place[p]], length[p], letters[place[q]], length[q], codes)
+            for k in np.flatnonzero(~table).tolist():
+                distance[k] = damerau_within(every[x[k]], every[y[k]], radius)
             shorter = np.minimum(length[x], length[y])
             good = (distance <= radius) & ((distance == 0) | (shorter >= np.array([0, *FORGIVEN])[np.minimum(distance, radius)]))
             out += zip(x[good].tolist(), (y[good] - split).tolist(), distance[good].tolist(), strict=True)
@@ -307,8 +365,8 @@ def _parts(nodes: DataFrame) -> DataFrame:
     """
     copies = nodes.withColumn("less", F.explode(F.sequence(F.lit(0), F.least(F.lit(RADIUS), F.length("core")))))
     copies = copies.withColumn("part", F.xxhash64("country", "described", F.length("core") - F.col("less"))).withColumn("own", F.col("less") == 0)
-    sizes = copies.groupBy("part").agg(F.count("*").alias("size"), F.max("own").alias("owned")).where("owned and size > 1")
-    copies = copies.join(sizes, "part").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    sizes = copies.groupBy("part").agg(F.count("*").alias("size"), F.sum(F.length("core")).alias("letters"), F.max("own").alias("owned")).where("owned and size > 1")
+    copies = copies.join(sizes, "part").withColumn("blocks", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("letters") / BLOCK_LETTERS)).cast("int"))
     copies = copies.withColumn("block", F.pmod(F.xxhash64("core"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return copies.select("node", "country", "described", "core", "n", "part", "own", "block", F.least("block", "o").alias("one"), F.greatest("block", "o").alias("other"))
 
@@ -338,9 +396,10 @@ def spelled_alike(nodes: DataFrame) -> DataFrame:
         return pa.table({c: pa.array([f[k] for f in found], t) for k, (c, t) in enumerate((("a", pa.int64()), ("b", pa.int64()), ("distance", pa.int32()), ("na", pa.int64()), ("nb", pa.int64())))})
 
     # Many small parts share a group; a large part's pairs of blocks are dealt over all of them.
-    groups = max(4 * nodes.sparkSession.sparkContext.defaultParallelism, nodes.count() // 1_000)
+    size = nodes.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("core")), F.lit(0)).alias("letters")).first()
+    groups = max(4 * nodes.sparkSession.sparkContext.defaultParallelism, size.n // 1_000, size.letters // BLOCK_LETTERS)
     bucket = F.pmod(F.xxhash64("part", "one", "other"), F.lit(groups)).cast("int").alias("bucket")
-    dealt = _parts(nodes.where(F.length("core") <= LONGEST)).select("*", bucket).repartition(groups, "bucket")
+    dealt = _parts(nodes).select("*", bucket).repartition(groups, "bucket")
     return dealt.groupBy("bucket").applyInArrow(join, "a long, b long, distance int, na long, nb long").distinct()
 
 
@@ -357,16 +416,35 @@ def links(nodes: DataFrame) -> DataFrame:
 
 
 def _shortened(nodes: DataFrame) -> DataFrame:
-    """One row for each form of a core with a letter left out, and the core itself; two cores a slip apart share a form."""
-    forms = F.transform(F.sequence(F.lit(1), F.length("core")), lambda k: F.concat(F.substring("core", F.lit(1), k - 1), F.substring("core", k + 1, F.length("core"))))
-    return nodes.withColumn("form", F.explode(F.array_distinct(F.concat(F.array("core"), F.when(F.length("core").between(FORGIVEN[0], LONGEST), forms).otherwise(F.array().cast("array<string>"))))))
+    """One row for each form of a core with a letter left out, and the core itself; two cores a slip apart share a form.
 
+    Of two long cores a slip apart, all letters but two stand before or behind the
+    slip. They share the half before or behind it, which is a form by its hash and
+    by the length of the shorter core: its own or one less.
+    """
+    left_out = F.transform(F.sequence(F.lit(1), F.length("core")), lambda k: F.concat(F.substring("core", F.lit(1), k - 1), F.substring("core", k + 1, F.length("core"))))
+    none = F.array().cast("array<string>")
+    halves = []
+    for n in (F.length("core"), F.length("core") - 1):
+        half = F.floor((n - 2) / 2).cast("int")
+        for side, start in (("before", F.lit(1)), ("behind", F.length("core") - half + 1)):
+            halves.append(F.when(n >= LONGEST, F.concat_ws(":", F.lit(side), n.cast("string"), F.xxhash64(F.substring("core", start, half)).cast("string"))))
+    forms = F.concat(
+        F.array("core"),
+        F.when(F.length("core").between(FORGIVEN[0], LONGEST), left_out).otherwise(none),
+        F.when(F.length("core") >= LONGEST, F.array_compact(F.array(*halves))).otherwise(none),
+    )
+    return nodes.withColumn("form", F.explode(F.array_distinct(forms)))
+
+
+def _one_slip(pairs: DataFrame) -> DataFrame:
+    """The pairs (short_firm, core, full_core, firm) whose cores are one edit or one swap of neighbours apart, or equal."""
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[[a == b or (min(len(a), len(b)) >= FORGIVEN[0] and damerau_within(a, b, 1) <= 1) for a, b in zip(pdf.core, pdf.full_core, strict=True)]]
 
-def _one_slip(a: str, b: str):
-    """Whether two cores are one edit or one swap of neighbours apart, or equal."""
-    swapped = f"exists(sequence(1, greatest(length({a}) - 1, 1)), i -> concat(substring({a}, 1, i - 1), substring({a}, i + 1, 1), substring({a}, i, 1), substring({a}, i + 2)) = {b})"
-    long = f"least(length({a}), length({b})) >= {FORGIVEN[0]}"
-    return F.expr(f"{a} = {b} OR ({long} AND (levenshtein({a}, {b}, 1) >= 0 OR (length({a}) = length({b}) AND {swapped})))")
+    return pairs.mapInPandas(keep, pairs.schema)
 
 
 def firms(rows: DataFrame) -> DataFrame:
@@ -383,7 +461,7 @@ def firms(rows: DataFrame) -> DataFrame:
     placed = cut_lineage(nodes.join(grouped, "node", "left").withColumn("firm", F.coalesce("component", "node")).drop("component"))
     short = _shortened(placed.where("described = ''").select("core", "country", F.col("firm").alias("short_firm")))
     full = _shortened(placed.where("described <> ''").select("core", "country", "firm")).withColumnRenamed("core", "full_core")
-    met = short.join(full, ["country", "form"]).select("short_firm", "core", "full_core", "firm").distinct().where(_one_slip("core", "full_core"))
+    met = _one_slip(short.join(full, ["country", "form"]).select("short_firm", "core", "full_core", "firm").distinct())
     one = met.groupBy("short_firm").agg(F.min("firm").alias("firm"), F.countDistinct("firm").alias("firms")).where("firms = 1")
     joined = components.components(one.select(F.col("short_firm").alias("a"), F.col("firm").alias("b")))
     final = placed.join(joined.withColumnRenamed("node", "firm"), "firm", "left").select("country", "described", "core", F.coalesce("component", "firm").alias("firm"))

@@ -500,6 +500,44 @@ def test_parts_and_blocks_lose_no_pair(spark, monkeypatch):
         assert {(r.a, r.b, r.distance) for r in names.spelled_alike(nodes).collect()} == whole
 
 
+def test_long_names_are_compared_by_edits(spark):
+    """Slips in names of any length, also where one is no longer than LONGEST, and in their short forms."""
+    rng = random.Random(13)
+    letters = lambda n: "".join(rng.choice("bdfgklmnprst") for _ in range(n))
+    cores = []
+    for n in (63, 64, 65, 66, 90, 400, 40_000):
+        c = letters(n)
+        swapped = next(c[:k] + c[k + 1] + c[k] + c[k + 2 :] for k in range(n // 2, n) if c[k] != c[k + 1])
+        cores += [c, c[:-1], "z" + c, c[:5] + "z" + c[6:], swapped, "z" + c[:-1], c[:2] + "z" + c[3:-1], "zzz" + c, c[::-1]]
+    nodes = spark.createDataFrame([(k, "id", "retail", c, 1) for k, c in enumerate(cores)], "node long, country string, described string, core string, n long")
+    whole = {(i, j, d) for i in range(len(cores)) for j in range(i + 1, len(cores)) if (d := names.damerau_within(cores[i], cores[j], 2)) <= 2}
+    assert {(r.a, r.b, r.distance) for r in names.spelled_alike(nodes).collect()} == whole and len(whole) > 80
+
+    rows = [(100 + k, f"{a}{b}{c} {TRADES[k % 5]}", "MY") for k, (a, b, c) in enumerate(itertools.product(("ba", "ke", "li", "mo"), ("ran", "tes", "vil", "zon"), ("akup", "emod", "ipaf", "ulit")))]
+    for k, n in enumerate((63, 64, 65, 200)):
+        c = letters(n)
+        rows += [(10 * k + 300, f"{c} Retail", "SG"), (10 * k + 301, f"{c[:30]}z{c[31:]} Retail", "SG"), (10 * k + 302, f"{c[:20]}z{c[20:]}", "SG"), (10 * k + 303, c[:-1], "SG"), (10 * k + 304, c[::-1], "SG")]
+    out = {r.id: r.firm for r in names.firms(spark.createDataFrame(rows, "id long, company string, country string")).collect()}
+    for k in range(4):
+        assert [out[10 * k + 300 + j] - 10 * k - 300 for j in range(5)] == [0, 0, 0, 0, 4]
+
+
+def test_bounded_distance_is_the_distance():
+    rng = random.Random(17)
+    for _ in range(3_000):
+        a = "".join(rng.choice("abc") for _ in range(rng.randint(0, 8)))
+        b = slipped(rng, a, rng.randint(0, 3)) if len(a) > 4 else "".join(rng.choice("abc") for _ in range(rng.randint(0, 4)))
+        for most in (0, 1, 2, 3):
+            assert names.damerau_within(a, b, most) == min(names.damerau(a, b), most + 1)
+
+
+def test_a_very_long_word_is_looked_up():
+    long = "retail" * 20_000
+    known = names.Describing({"retail": "retail", "holding": "holding", long: long})
+    assert known.find("x" * 100_000) is None and known.find("retial") == "retail" and known.find(long[:500] + long[501:]) == long
+    assert known.parts(["x" * 100_000, "holdng"]) == ("holding", "x" * 100_000)
+
+
 # ---- 8: packing
 
 
