@@ -690,6 +690,24 @@ def test_counting_where_the_texts_are_gives_the_same_models(spark, data):
     assert none.index == {} and none.shares(text("Do not run.")).shape == (1, 3)
 
 
+def test_all_marked_and_all_clear_texts_teach(spark):
+    """Each text has a word of its own, which the models know."""
+    easy, hard = "Do not run in the big shop w{}.", "Institutional accountability necessitates interdisciplinary epistemological considerations w{} regarding constitutional administration."
+    documents = [(k, "en", (easy if k % 2 else hard).format(k)) for k in range(3_000)] + [(k, "en", f"A man of reason went home again in haste w{k}.") for k in range(3_000, 10_000)] + [(10_000, "de", easy.format(10_000)), (10_001, "en", None)]
+    assert [readability.seed_levels(text(documents[k][2])).tolist() for k in (0, 1, 3_000)] == [[3], [1], [0]]
+    documents, marks = spark.createDataFrame(documents, "doc_id long, lang string, text string"), spark.createDataFrame([(k, 2) for k in range(3_000, 10_002)], "doc_id long, band int")
+    assert {f"w{k}" for k in range(10_000)} <= set(readability.trained(documents, marks).index)
+    counted = {r.band: r.n for r in readability.training_texts(documents, marks).groupBy("band").agg(F.count("*").alias("n")).collect()}
+    assert counted == {1: 1_500, 2: 7_000, 3: 1_500}
+
+
+def test_grades_of_many_texts_at_once():
+    rng = random.Random(29)
+    odd = ["", " ", "...", "Hm", "Wow!? Yes. No", "A.B.c d", "One.\u00a0Two.\x0bThree.\u2003Four.", "covid19 in e2e tests", "Ende.\n", "naïve café über alles. Ok.", "AT&amp;T rings."]
+    texts = odd + ["".join(rng.choice("abeiy .!?\n2é") for _ in range(rng.randint(1, 60))) for _ in range(500)]
+    assert np.allclose(readability.grades(text(*texts)), [np.nan if (g := readability.grade(t)) is None else g for t in texts], equal_nan=True)
+
+
 # ---- registered queries
 
 
