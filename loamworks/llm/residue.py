@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import broadcast_if_small, shared_folder, spread
+from ..runtime import broadcast_if_small, cut_lineage, shared_folder, spread
 from . import tokens
 
 # Unfilled placeholders.
@@ -63,8 +63,8 @@ SIMILARITY, ROOTED = 0.8, 0.6
 SPREADS_FROM = 12
 #: Lowest bit of each table's key, whose bits wrap around, and the bits of a key.
 TABLES, KEY_BITS = tuple(range(0, 64, 2)), 12
-#: Labelled texts of a round up to which their tables are sent to every task; more are joined by key.
-SENT = 20_000
+#: Labelled texts of a round up to which their tables are sent to every task; more are met in blocks of BLOCK texts.
+SENT, BLOCK = 20_000, 4_096
 #: Rounds a label may travel; a round more is an error, not a cut.
 ROUNDS = 40
 CHUNK = 2_000
@@ -72,6 +72,8 @@ CHUNK = 2_000
 PAIRS = 16_384
 UNITS = "job_id long, field_name string, units long, trusted long, near array<struct<unit: string, simhash: long, roots: array<int>>>"
 
+MET = pa.schema([("unit", pa.string()), ("simhash", pa.int64()), ("root", pa.string()), ("near", pa.string())])
+
 _LANES = np.array([sum(((v >> b) & 1) << (8 * b) for b in range(8)) for v in range(256)], np.uint64)
 
 
@@ -247,13 +249,6 @@ def _units(fields: DataFrame) -> DataFrame:
     return spread(fields.select("job_id", "title", "description")).mapInArrow(cut, UNITS)
 
 
-def _keyed(units: DataFrame) -> DataFrame:
-    """One row for each table that a unit stands in: the bits of its SimHash from the table's lowest on."""
-    turned = lambda low: F.shiftrightunsigned("simhash", low).bitwiseOR(F.shiftleft("simhash", 64 - low)) if low else F.col("simhash")
-    keys = [(F.shiftleft(turned(low).bitwiseAND(F.lit((1 << KEY_BITS) - 1)), 6) + F.lit(t)).cast("int") for t, low in enumerate(TABLES)]
-    return units.withColumn("key", F.explode(F.array(*keys)))
-
-
 def _alike(a: str, b: str, least: float):
     """Whether two texts are so similar by edits; the distance is not followed beyond what is allowed, which gives -1."""
     edits = f"cast(floor({1 - least:.6f} * greatest(length({a}), length({b}))) AS int)"
@@ -296,52 +291,77 @@ class Tables:
         return np.divmod(np.unique(np.concatenate(found)), max(len(self.hashes), 1))
 
 
-def _met_in_tables(candidates: DataFrame, frontier: list) -> DataFrame:
+def _meet(candidates: pa.RecordBatch, texts: pa.Array, hashes: np.ndarray, table: Tables, nearest: bool) -> Iterator[pa.RecordBatch]:
+    """The candidates (unit, simhash, root) of one root with the labelled texts that they meet, or with the nearest of these only."""
+    own = candidates.column("simhash").to_numpy(zero_copy_only=False).view(np.uint64)
+    for at in range(0, len(own), CHUNK):
+        row, other = table.met(own[at : at + CHUNK])
+        row = row + at
+        if nearest:
+            order = np.lexsort((other, np.bitwise_count(own[row] ^ hashes[other]), row))
+            first = order[np.unique(row[order], return_index=True)[1]]
+            row, other = row[first], other[first]
+        found = candidates.take(pa.array(row))
+        yield pa.RecordBatch.from_arrays([*(found.column(c) for c in ("unit", "simhash", "root")), texts.take(pa.array(other))], schema=MET)
+
+
+def _met_in_tables(candidates: DataFrame, frontier: list, nearest: bool) -> DataFrame:
     """(unit, simhash, root, near) of candidates that share a table's key with a text of the same root in a small ``frontier``, which every task holds."""
     shared = candidates.sparkSession.sparkContext.broadcast([tuple(r) for r in frontier])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, of_root = pa.array([r[0] for r in shared.value], pa.string()), {}
-        for k, r in enumerate(shared.value):
-            of_root.setdefault(r[2], []).append(k)
-        hashes = np.array([r[1] for r in shared.value], np.int64).view(np.uint64)
-        tables = {root: (np.array(own), Tables(hashes[own])) for root, own in of_root.items()}
+        labelled = {}
+        for unit, simhash, root in shared.value:
+            labelled.setdefault(root, []).append((unit, simhash))
+        tables = {}
+        for root, own in labelled.items():
+            hashes = np.array([h for _, h in own], np.int64).view(np.uint64)
+            tables[root] = (pa.array([u for u, _ in own], pa.string()), hashes, Tables(hashes))
         for batch in batches:
-            own_hashes = batch.column("simhash").to_numpy(zero_copy_only=False).view(np.uint64)
-            roots = batch.column("root").dictionary_encode()
-            codes = roots.indices.to_numpy(zero_copy_only=False)
-            for code, root in enumerate(roots.dictionary.to_pylist()):
+            for root in batch.column("root").unique().to_pylist():
                 if root in tables:
-                    labelled, table = tables[root]
-                    rows = np.flatnonzero(codes == code)
-                    for at in range(0, len(rows), CHUNK):
-                        row, other = table.met(own_hashes[rows[at : at + CHUNK]])
-                        found = batch.take(pa.array(rows[at + row]))
-                        yield pa.RecordBatch.from_arrays([*(found.column(c) for c in ("unit", "simhash", "root")), texts.take(pa.array(labelled[other]))], names=["unit", "simhash", "root", "near"])
+                    yield from _meet(batch.filter(pc.equal(batch.column("root"), root)), *tables[root], nearest)
+
+    return candidates.mapInArrow(meet, "unit string, simhash long, root string, near string")
 
-    return candidates.select("unit", "simhash", "root").mapInArrow(meet, "unit string, simhash long, root string, near string")
 
+def _met_in_blocks(candidates: DataFrame, frontier: DataFrame, nearest: bool) -> DataFrame:
+    """Alike for a frontier of any size: blocks of the candidates of a root against blocks of its labelled texts."""
+    one, other = (-(-df.count() // BLOCK) or 1 for df in (candidates, frontier))
+    block = lambda n: F.pmod(F.xxhash64("unit"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    both = candidates.select("unit", "simhash", "root", F.lit(False).alias("labelled"), block(one).alias("one"), every(other).alias("other"))
+    both = both.unionByName(frontier.select("unit", "simhash", "root", F.lit(True).alias("labelled"), every(one).alias("one"), block(other).alias("other")))
 
-def _met_by_join(candidates: DataFrame, frontier: DataFrame) -> DataFrame:
-    """Alike for a frontier of any size, as a join on the roots and keys; a pair counts in the first table where it meets."""
-    tables = _keyed(frontier.select(F.col("unit").alias("near"), F.col("simhash").alias("near_hash"), "root", "simhash")).drop("simhash")
-    differ = F.col("simhash").bitwiseXOR(F.col("near_hash"))
-    met = _keyed(candidates).join(tables, ["root", "key"]).where(F.bit_count(differ) <= HAMMING).withColumn("differ", differ)
-    turned = lambda low: F.shiftrightunsigned("differ", low).bitwiseOR(F.shiftleft("differ", 64 - low)) if low else F.col("differ")
-    earlier = [(turned(low).bitwiseAND(F.lit((1 << KEY_BITS) - 1)) == 0) & (F.lit(t) < F.col("key").bitwiseAND(F.lit(63))) for t, low in enumerate(TABLES)]
-    again = earlier[0]
-    for x in earlier[1:]:
-        again = again | x
-    return met.where(~again).select("unit", "simhash", "root", "near")
+    def meet(rows: pa.Table) -> pa.Table:
+        own, own_texts = (rows.filter(x).combine_chunks() for x in (pc.invert(rows["labelled"]), rows["labelled"]))
+        if not own.num_rows or not own_texts.num_rows:
+            return MET.empty_table()
+        hashes = own_texts["simhash"].to_numpy().view(np.uint64)
+        texts = own_texts["unit"].combine_chunks().cast(pa.string())
+        return pa.Table.from_batches(list(_meet(own.to_batches()[0], texts, hashes, Tables(hashes), nearest)), MET)
+
+    return both.groupBy("root", "one", "other").applyInArrow(meet, "unit string, simhash long, root string, near string")
 
 
 def near_units(candidates: DataFrame, frontier: DataFrame) -> DataFrame:
-    """The ``candidates`` (unit, simhash, root) that a label of ``frontier`` reaches, each once."""
+    """The ``candidates`` (unit, simhash, root) that a label of ``frontier`` reaches, each once.
+
+    Each is held against the nearest text it meets; only where that is not
+    similar enough against all others it meets.
+    """
     spreading = frontier.where(F.length("unit") >= SPREADS_FROM).select("unit", "simhash", "root")
     few = spreading.limit(SENT + 1).collect()
-    pairs = _met_in_tables(candidates, few) if len(few) <= SENT else _met_by_join(candidates, spreading)
     alike_long = F.length("unit").between(F.length("near") * SIMILARITY, F.length("near") / SIMILARITY)
-    return pairs.where(alike_long & _alike("unit", "near", SIMILARITY)).select("unit", "simhash", "root").distinct()
+
+    def reached(rows: DataFrame, nearest: bool) -> DataFrame:
+        # Few bytes, but much work for each.
+        rows = rows.select("unit", "simhash", "root").repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+        pairs = _met_in_tables(rows, few, nearest) if len(few) <= SENT else _met_in_blocks(rows, spreading, nearest)
+        return pairs.where(alike_long & _alike("unit", "near", SIMILARITY)).select("unit", "simhash", "root").distinct()
+
+    first = cut_lineage(reached(candidates, True))
+    return first.unionByName(reached(candidates.join(first, ["unit", "root"], "left_anti"), False))
 
 
 def residue_units(fields: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
