@@ -314,11 +314,11 @@ def _met_in_tables(candidates: DataFrame, frontier: list, nearest: bool) -> Data
         for unit, simhash, root in shared.value:
             labelled.setdefault(root, []).append((unit, simhash))
         tables = {}
-        for root, own in labelled.items():
-            hashes = np.array([h for _, h in own], np.int64).view(np.uint64)
-            tables[root] = (pa.array([u for u, _ in own], pa.string()), hashes, Tables(hashes))
         for batch in batches:
             for root in batch.column("root").unique().to_pylist():
+                if root in labelled and root not in tables:
+                    hashes = np.array([h for _, h in labelled[root]], np.int64).view(np.uint64)
+                    tables[root] = (pa.array([u for u, _ in labelled[root]], pa.string()), hashes, Tables(hashes))
                 if root in tables:
                     yield from _meet(batch.filter(pc.equal(batch.column("root"), root)), *tables[root], nearest)
 
@@ -356,7 +356,8 @@ def near_units(candidates: DataFrame, frontier: DataFrame) -> DataFrame:
 
     def reached(rows: DataFrame, nearest: bool) -> DataFrame:
         # Few bytes, but much work for each.
-        rows = rows.select("unit", "simhash", "root").repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+        tasks = min(4 * rows.sparkSession.sparkContext.defaultParallelism, 1 + rows.count() // 500)
+        rows = rows.select("unit", "simhash", "root").repartition(tasks)
         pairs = _met_in_tables(rows, few, nearest) if len(few) <= SENT else _met_in_blocks(rows, spreading, nearest)
         return pairs.where(alike_long & _alike("unit", "near", SIMILARITY)).select("unit", "simhash", "root").distinct()
 
