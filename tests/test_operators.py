@@ -4,6 +4,7 @@ import itertools
 import json
 import math
 import random
+from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from loamworks import runtime
 from loamworks.functions import text as tx
 from loamworks.functions import urls
 from loamworks.operators import blocks, composite, dedup, geocode, merge, relational, statistics, suffixes, templates
+from loamworks.plans import records
 from loamworks.sinks import exports
 from loamworks.sources import files
 from loamworks.streaming import jobs as streams
@@ -61,6 +63,51 @@ def test_pair_rule_finds_what_all_pairs_find(spark, data):
     assert found == every and {r.id for r in dedup.grouped(rows, dedup.linked_pairs(rows)).collect()} == {x for pair in every for x in pair} and (9005, 9006) in found and (9003, 9004) not in found
 
 
+def owned(spark, n, seed=5, titles=("cook", "head cook north shore", "cook head north", "north cook head shore", "é", "ü", None)):
+    """Rows of one owner with few titles, gaps in every field, and copies."""
+    rng = random.Random(seed)
+    words = ["alpha", "bravo", "carol", "delta", "echos", "fancy", "gamma", "hotel"]
+    some = lambda k: rng.choice([None, "", "1 2", *(" ".join(rng.sample(words, k)) for _ in range(9))])
+    fields = [(7, rng.choice([None, f"https://x.example/{i % 23}"]), rng.choice([None, "", f"E{i % 29}"]), rng.choice(titles), some(6), some(2), rng.choice([None, date(2025, 1, 1 + i % 28), date(2025, 6, 1)])) for i in range(n)]
+    rows = [(i, *f) for i, f in enumerate(fields + fields[: n // 5])] + [(10_000, None, *fields[0][1:]), (10_001, None, *fields[1][1:])]
+    return dedup.prepared(spark.createDataFrame(rows, "job_id long, company_id long, source_url string, external_id string, title string, description string, location_raw string, date_posted date"))
+
+
+@pytest.mark.parametrize("block, tile", [(5, 2), (2_048, 512)])
+def test_linked_pairs_of_one_class_in_blocks_match_all_pairs(spark, block, tile):
+    rows = owned(spark, 150).cache()
+    first = rows.join(dedup.copies(rows).where("id = representative").select("id"), "id", "left_semi")
+    a, b = (first.select("owner", F.col("id").alias(x), F.struct(*dedup.FIELDS).alias(y)) for x, y in (("a", "x"), ("b", "y")))
+    linked, title = dedup.pair_rule("x", "y")
+    every = sorted(a.join(b, "owner").where("a < b").where(linked).select("a", "b", F.round(title, 3)).collect())
+    assert len(every) > 500 and sorted(dedup.linked_pairs(rows, block, tile).collect()) == every
+
+
+HOT = {"d2_groups": {(8, 8, 1), (1_500, 8, 1)}}
+
+
+@pytest.mark.parametrize("name", sorted(HOT))
+def test_candidates_of_a_hot_title_are_not_written(spark, data, tmp_path, name):
+    """1,500 adverts with one title and texts of their own: 1.1 million pairs are compared, only the linked ones travel."""
+    rng = random.Random(1)
+    text = lambda: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(12))
+    rows = [(i, 7, f"u{i}", "Cook", text(), "Perth", "llm") for i in range(1_500)]
+    rows.append((1_500, 7, "u-again", "Cook (Weekends)", rows[8][4], "Perth", "ats_api"))
+    jobs = spark.createDataFrame(rows, "job_id long, company_id long, source_url string, title string, description string, location_raw string, extraction_method string")
+    none = spark.read.parquet(f"{data}/sf0.001/extracted_jobs.parquet").limit(0)
+    none.unionByName(jobs, allowMissingColumns=True).write.parquet(f"{tmp_path}/extracted_jobs.parquet")
+
+    def written():
+        spark.range(9).repartition(3).count()
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = written()
+    assert {tuple(r) for r in records.QUERIES[name](spark, str(tmp_path)).collect()} == HOT[name]
+    assert written() - before < 2_000_000
+
+
 def test_text_of_a_page_keeps_its_order():
     """Hand-worked: own text before, between and after children; unclosed and stray tags; hidden parts."""
     page = "<body><p>You will <b>not</b> smoke here</p><ul><li>one<li>two <a href='/x'>link <i>text</i></a> tail</ul></b><div>open<script>var a = 1;</script><style>p {}</style>"
