@@ -83,7 +83,7 @@ def test_linked_pairs_of_one_class_in_blocks_match_all_pairs(spark, block, tile)
     assert len(every) > 500 and sorted(dedup.linked_pairs(rows, block, tile).collect()) == every
 
 
-HOT = {"d1_linked_pairs": {(8, 1_500, 1.0)}, "d2_groups": {(8, 8, 1), (1_500, 8, 1)}}
+HOT = {"d1_linked_pairs": {(8, 1_500, 1.0)}, "d2_groups": {(8, 8, 1), (1_500, 8, 1)}, "d4_canonical": {(8, 1_500, 1), (1_500, 1_500, 1)}}
 
 
 @pytest.mark.parametrize("name", sorted(HOT))
